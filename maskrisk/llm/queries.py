@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .packing import packing_digest
+from .simhash import near_groups
 from .url_filter import judge_urls
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -22,7 +23,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), bits=4, shingle=4)
+
+
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op8_url_filter": op8_url_filter,
     "op10_packing": op10_packing,
 }
