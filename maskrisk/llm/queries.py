@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .packing import packing_digest
+from .quality_mil import classify
 from .simhash import near_groups
 from .url_filter import judge_urls
 
@@ -27,8 +28,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), bits=4, shingle=4)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op6_quality": op6_quality,
     "op8_url_filter": op8_url_filter,
     "op10_packing": op10_packing,
 }
