@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .packing import packing_digest
 from .quality_mil import classify
+from .quality_rules import judge_quality
 from .simhash import near_groups
 from .url_filter import judge_urls
 
@@ -32,9 +33,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op6_quality": op6_quality,
+    "op7_rules": op7_rules,
     "op8_url_filter": op8_url_filter,
     "op10_packing": op10_packing,
 }

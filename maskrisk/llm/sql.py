@@ -29,6 +29,39 @@ SELECT p.page_id, p.host, p.path, h.rule,
 FROM p LEFT JOIN hits h ON h.host = p.host AND h.path = p.path LEFT JOIN alias s ON s.a = p.key
 """
 
+OP7 = r'''
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, stratum, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, least(8, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 8)) AS n FROM dup) GROUP BY doc_id),
+f AS (SELECT w.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+             length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS upper_n, length(regexp_replace(text, '[^!]', '', 'g')) AS bang_n
+      FROM w LEFT JOIN cov USING (doc_id)),
+p AS (SELECT *, least(100 * n_symbols // greatest(word_chars, 1), 100) AS symbol_pct, least(100 * n_dup_lines // greatest(n_lines, 1), 100) AS dup_line_pct,
+             least(100 * n_repeat_words // greatest(n_words, 1), 100) AS repeat_pct, least(100 * upper_n // greatest(word_chars, 1), 100) AS upper_pct,
+             least(100 * bang_n // greatest(n_words, 1), 100) AS bang_pct FROM f),
+lab AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+v AS (SELECT stratum, rule, m, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN quality = 1 THEN 0 ELSE 1 END) AS bad
+      FROM (UNPIVOT (SELECT doc_id, stratum, symbol_pct, dup_line_pct, repeat_pct, upper_pct, bang_pct FROM p) ON symbol_pct, dup_line_pct, repeat_pct, upper_pct, bang_pct INTO NAME rule VALUE m)
+      JOIN lab USING (doc_id) GROUP BY stratum, rule, m),
+t AS (SELECT stratum, rule, m, sum(good) OVER (PARTITION BY stratum, rule) AS n, sum(good) OVER (PARTITION BY stratum, rule ORDER BY m DESC) AS k,
+             sum(bad) OVER (PARTITION BY stratum, rule ORDER BY m DESC) AS g FROM v),
+c AS (SELECT stratum, rule, m, g - k AS gain FROM t WHERE n > 0 AND g > k AND k <= n * 0.01
+      AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99))))
+          <= 0.05 / (5 * (SELECT count(DISTINCT stratum) FROM v))),
+cut AS (SELECT stratum, rule, m FROM c QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, m DESC) = 1),
+hit AS (SELECT DISTINCT doc_id FROM (UNPIVOT (SELECT doc_id, stratum, symbol_pct, dup_line_pct, repeat_pct, upper_pct, bang_pct FROM p) ON symbol_pct, dup_line_pct, repeat_pct, upper_pct, bang_pct INTO NAME rule VALUE m) x
+        JOIN cut ON cut.stratum = x.stratum AND cut.rule = x.rule AND x.m >= cut.m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+       (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND hit.doc_id IS NULL) AS kept
+FROM p LEFT JOIN hit USING (doc_id)
+'''
+
 SQL = {
+    "op7_rules": OP7,
     "op8_url_filter": OP8,
 }
