@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .minhash import fingerprint_edits
 from .packing import packing_digest
 from .quality_mil import classify
 from .quality_rules import judge_quality
@@ -37,10 +38,15 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op6_quality": op6_quality,
     "op7_rules": op7_rules,
     "op8_url_filter": op8_url_filter,
+    "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
 }
