@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,46 +15,82 @@ from pyspark.sql import functions as F
 
 from .common import ship, written
 
-#: Words whose ids a Python worker remembers.
+#: Words, and parts of words, whose ids a Python worker remembers.
 REMEMBERED = 300_000
 #: Slices of each length class, so that a length which most pieces share is ranked by many tasks.
 SLICES = 16
 
-_encoders: dict[str, tuple] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str):
-    """The tokenizer at ``path`` and what this worker remembers of it, loaded once for each worker."""
-    if path not in _encoders:
+class Encoder:
+    """A tokenizer file in a Python worker, with the ids of common words and word parts remembered.
+
+    Where the file lower-cases, drops white space and splits by one pattern before byte-level merges, no id depends on
+    what lies beyond a blank, so a text's ids are those of its words. Any other file, a text with the marker of a
+    special token, and a word with unusual characters go to the tokenizer as they are.
+    """
+
+    FORM = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+
+    def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {"": b""})
-    return _encoders[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [[x["type"] for x in (spec[k] or {}).get(name, [])] for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.by_word = steps == list(self.FORM) and spec["model"]["type"] == "BPE" and spec["pre_tokenizer"]["pretokenizers"][0]["invert"]
+        self.marks = [x["content"] for x in spec["added_tokens"]]
+        self.words: dict[str, bytes] = {"": b""}
+        if self.by_word:
+            self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            self.parts: dict[str, bytes] = {}
+            shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # byte-level alphabet: these as they are
+            rest = [b for b in range(256) if b not in shown]
+            self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def part(self, text: str) -> bytes:
+        if (out := self.parts.get(text)) is None:
+            merged = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))
+            out = struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
+            if len(self.parts) < REMEMBERED:
+                self.parts[text] = out
+        return out
+
+    def word(self, text: str) -> bytes:
+        if not text.isprintable() or "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+            out = self.whole(text)
+        else:
+            low = text.lower()
+            if low.isalpha():
+                out = self.part(low)
+            elif low[:-1].isalpha() and low[-1] in ",.!?:;":
+                out = self.part(low[:-1]) + self.part(low[-1])
+            else:
+                out = b"".join(map(self.part, self.pattern.findall(low)))
+        if len(self.words) < REMEMBERED:
+            self.words[text] = out
+        return out
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_word or any(x in text for x in self.marks):
+            return self.whole(text)
+        words = text.replace("\n", " ").split(" ")
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            ids = [self.word(w) if x is None else x for w, x in zip(words, ids, strict=True)]
+        return b"".join(ids)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, without special tokens.
-
-    The tokenizer never joins characters across a blank or a line feed, so the ids of a text are those of its parts,
-    and ids of common parts are remembered. A text with the marker of a special token is encoded as a whole.
-    """
-    tokenizer, known = _encoder(path)
-    whole = {i: t for i, t in enumerate(texts) if "<|" in t}
-    split = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-    new = list(set().union(*split).difference(known)) if split else []
-    ids = {}
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-    if len(known) < REMEMBERED:
-        known.update(ids)
-        get = known.__getitem__
-    else:
-        get = lambda w: known[w] if w in known else ids[w]
-    out = [b"".join(map(get, words)) for words in split]
-    for i, t in whole.items():
-        out[i] = np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    return out
+    """Ids of each text as little-endian unsigned 32-bit numbers, without special tokens."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return list(map(_encoders[path].encode, texts))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
