@@ -11,6 +11,7 @@ from .packing import packing_digest
 from .quality_mil import classify
 from .quality_rules import judge_quality
 from .simhash import near_groups
+from .suffix_dedup import covered_bytes
 from .url_filter import judge_urls
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -42,8 +43,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = covered_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
     "op7_rules": op7_rules,
     "op8_url_filter": op8_url_filter,
