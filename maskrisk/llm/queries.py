@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .line_dedup import line_digest
 from .minhash import fingerprint_edits
 from .packing import packing_digest
 from .quality_mil import classify
@@ -48,8 +49,13 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_lines": op2_lines,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
     "op7_rules": op7_rules,
