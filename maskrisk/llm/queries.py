@@ -11,6 +11,7 @@ from .minhash import fingerprint_edits
 from .packing import packing_digest
 from .quality_mil import classify
 from .quality_rules import judge_quality
+from .sentencepiece_codec import round_trip
 from .simhash import near_groups
 from .suffix_dedup import covered_bytes
 from .url_filter import judge_urls
@@ -53,9 +54,16 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_lines": op2_lines,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
     "op7_rules": op7_rules,
