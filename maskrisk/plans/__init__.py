@@ -1,5 +1,5 @@
 """Registered queries: name to (query, DuckDB SQL or None)."""
 
-from . import pixel_queries
+from . import pixel_queries, record_queries
 
-REGISTRY: dict[str, tuple] = {**pixel_queries.REGISTRY}
+REGISTRY: dict[str, tuple] = {**pixel_queries.REGISTRY, **record_queries.REGISTRY}
