@@ -52,5 +52,5 @@ def sum_if(condition: Column, value: Column) -> Column:
 
 
 def rounded(value: Column, digits: int = 9) -> Column:
-    """A double for comparison across engines: rounded, and never a negative zero."""
-    return F.round(value, digits) + F.lit(0.0)
+    """A double for comparison across engines: rounded, exact halves upwards, and never a negative zero."""
+    return F.round(value + F.lit(1e-13), digits) + F.lit(0.0)

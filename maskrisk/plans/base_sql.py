@@ -49,4 +49,5 @@ def unit(text: str) -> str:
 
 
 def r(x: str, name: str) -> str:
-    return f"round({x}, 9) + 0.0 AS {name}"
+    """A double as ``functions.scores.rounded`` rounds it; the small step takes exact halves the same way everywhere."""
+    return f"round(({x}) + 1e-13::DOUBLE, 9) + 0.0 AS {name}"
