@@ -25,7 +25,8 @@ from .common import parts, ship
 LENGTH, RUN = 50, 24
 SPREAD = LENGTH - RUN + 1  # anchors that a string chooses from, and strings that an anchor has at most: below 32
 WIDTH = 80  # a suffix with its context: SPREAD - 1 + LENGTH bytes, its anchor's offset, its number of strings
-CHUNK_BYTES = 16 << 20
+#: Text bytes of a chunk and of what a part or range is about answerable for, so that tasks need little memory.
+CHUNK_BYTES, PART_BYTES = 4 << 20, 12 << 20
 BLOCK_BYTES = 1 << 20
 LARGEST = np.iinfo(np.int64).max
 _M = [0x9E3779B97F4A7C15]
@@ -256,9 +257,9 @@ def covered_bytes(docs: DataFrame, decoded: bool = False) -> DataFrame:
     """
     spark = ship(docs).sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    n = max(parts(spark), ceil(total[0] / CHUNK_BYTES))
+    chunks, n = (max(parts(spark), ceil(total[0] / x)) for x in (CHUNK_BYTES, PART_BYTES))
     names, last = docs.columns, "kept_text" if decoded else "kept"
-    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "_chunk": F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")})
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "_chunk": F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")})
     splitters = sampled_splitters(docs, total[1], n)
 
     def ask(table: pa.Table) -> pa.Table:
@@ -317,15 +318,15 @@ def covered_bytes(docs: DataFrame, decoded: bool = False) -> DataFrame:
             change[at + LENGTH] -= 1
         gone = np.cumsum(change[:-1]) > 0
         size, start, end = chunk.sizes, chunk.starts, chunk.ends
-        sums = np.concatenate(([0], np.cumsum(gone)))
+        sums = np.concatenate(([0], np.cumsum(gone, dtype=np.int32)))
         begins = gone & ~np.concatenate(([False], gone[:-1]))
         begins[start[(size > 0)]] = gone[start[(size > 0)]]
-        begun = np.concatenate(([0], np.cumsum(begins)))
+        begun = np.concatenate(([0], np.cumsum(begins, dtype=np.int32)))
         removed = sums[end] - sums[start]
         kept = [chunk.raw[a:b].tobytes() if not r else chunk.raw[a:b][~gone[a:b]].tobytes() for a, b, r in zip(start.tolist(), end.tolist(), removed.tolist(), strict=True)]
         kept = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if decoded else pa.array(kept, pa.binary())
         out = left.select(names)
-        for name, x in (("n_bytes", pa.array(size)), ("n_removed", pa.array(removed)), ("n_spans", pa.array(begun[end] - begun[start])), (last, kept)):
+        for name, x in (("n_bytes", pa.array(size)), ("n_removed", pa.array(removed.astype(np.int64))), ("n_spans", pa.array((begun[end] - begun[start]).astype(np.int64))), (last, kept)):
             out = out.append_column(name, x)
         return out
 
