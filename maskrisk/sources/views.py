@@ -56,7 +56,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_rows(df: DataFrame) -> DataFrame:
     """Labelled predictions over time from rows of ``events``, batch or streaming."""
-    return df.selectExpr("ts", "user_id", "value/(value+50) AS p", "CASE WHEN event_type='error' THEN 1 ELSE 0 END AS truth", "event_type", "value")
+    return df.selectExpr("CAST(ts AS TIMESTAMP) AS ts", "user_id", "value/(value+50) AS p", "CASE WHEN event_type='error' THEN 1 ELSE 0 END AS truth", "event_type", "value")
 
 
 def documents_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
