@@ -26,8 +26,8 @@ LENGTH, RUN = 50, 24
 SPREAD = LENGTH - RUN + 1  # anchors that a string chooses from, and strings that an anchor has at most: below 32
 WIDTH = 80  # a suffix with its context: SPREAD - 1 + LENGTH bytes, its anchor's offset, its number of strings
 #: Text bytes of a chunk and of what a part or range is about answerable for, so that tasks need little memory.
-CHUNK_BYTES, PART_BYTES = 4 << 20, 12 << 20
-BLOCK_BYTES = 1 << 20
+CHUNK_BYTES, PART_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES = 1 << 18
 LARGEST = np.iinfo(np.int64).max
 _M = [0x9E3779B97F4A7C15]
 for _ in range(3):
