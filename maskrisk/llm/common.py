@@ -47,6 +47,22 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def named(column: str) -> str:
+    """A column name as an expression refers to it, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

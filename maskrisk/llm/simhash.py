@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, ship, written
+from .common import connected_components, fresh, ship, written
 
 
 def fingerprint(text: str, shingle: int, words: int = 1) -> np.ndarray:
@@ -66,30 +66,73 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
-def forest(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """A part of the edges that joins what they join, found in each task by union and find, so few need to move."""
+def differing(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Number of differing bits between fingerprints, over the last axis."""
+    return np.bitwise_count(one ^ many).sum(axis=-1, dtype=np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while (p := up.setdefault(x, x)) != x:
-                up[x] = up[p]
-                x = up[x]
-            return x
 
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s, t = top(x), top(y)
-                if s != t:
-                    up[max(s, t)] = min(s, t)
-                    kept.append((x, y))
-            if kept:
-                left, right = zip(*kept, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+def spanning(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join what all pairs within ``bits`` bits join, one for each row but the first of a component.
 
-    return ship(edges).select(F.col(a).cast("long"), F.col(b).cast("long")).mapInArrow(run, "a long, b long")
+    A component grows from a pivot; each member looks at rows that no component has yet, and of those only at such
+    whose distance from the pivot can be near enough by the triangle inequality. So a dense group costs about its size.
+    """
+    links, left = [], np.arange(len(fps))
+    while len(left) > 1:
+        pivot, left = left[0], left[1:]
+        away = differing(fps[pivot], fps[left])
+        queue = [(pivot, 0)]
+        while queue and len(left):
+            row, own = queue.pop()
+            look = np.flatnonzero(np.abs(away - own) <= bits)
+            hit = look[differing(fps[row], fps[left[look]]) <= bits]
+            if len(hit):
+                links += [(int(row), int(x)) for x in left[hit]]
+                queue += list(zip(left[hit].tolist(), away[hit].tolist(), strict=True))
+                keep = np.ones(len(left), bool)
+                keep[hit] = False
+                left, away = left[keep], away[keep]
+    return links
+
+
+class Linker:
+    """Links within runs of rows of equal key; what is already joined in this task is not passed on again."""
+
+    SMALL = 24
+
+    def __init__(self, bits: int):
+        self.bits, self.up = bits, {}
+
+    def top(self, x: int) -> int:
+        up = self.up
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = up[p]
+            x = up[x]
+        return x
+
+    def new(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out = []
+        for x, y in pairs:
+            s, t = self.top(x), self.top(y)
+            if s != t:
+                self.up[max(s, t)] = min(s, t)
+                out.append((x, y))
+        return out
+
+    def runs(self, key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        pairs: list[tuple[int, int]] = []
+        for n in np.unique(size[(size > 1) & (size <= self.SMALL)]).tolist():  # all pairs of all short runs of a length at once
+            at = first[size == n]
+            i, j = np.triu_indices(n, 1)
+            a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            near = np.flatnonzero(differing(fps[a], fps[b]) <= self.bits)
+            pairs += zip(node[a[near]].tolist(), node[b[near]].tolist(), strict=True)
+        for at, n in zip(first[size > self.SMALL].tolist(), size[size > self.SMALL].tolist(), strict=True):
+            own = node[at : at + n]
+            pairs += [(int(own[i]), int(own[j])) for i, j in spanning(fps[at : at + n], self.bits)]
+        return self.new(pairs)
 
 
 def around(part: Column, tag: Column, masks: list[int]) -> Column:
@@ -103,22 +146,33 @@ def near_links(nodes: DataFrame, words: int, m: int, sure: int, bits: int) -> Da
     """(a, b): links between rows of ``nodes`` (node, f0, f1, ...) that join all found pairs within ``bits`` bits.
 
     Multi-index hashing. Every fingerprint is entered in a table for each segment, and it enumerates the small Hamming
-    ball around each of its segments; matches in the tables are verified over all bits. Of a pair only the one whose
-    lowest differing bit of the segment is 0 looks for the other, so half of a ball is enumerated. Tables meet probes
-    in a join that splits hot keys, and each task passes on a forest of what it verified.
+    ball around each of its segments; what meets under a key is verified over all bits. Of a pair only the one whose
+    lowest differing bit of the segment is 0 looks for the other, so half of a ball is enumerated. Rows are dealt by key
+    and sorted, and each task passes on a forest of what it verified, so a dense group is never written out as pairs.
     """
     names = [f"f{j}" for j in range(words)]
-    entries, probes = [], []
+    keys = []
     for i, (j, shift, width, radius) in enumerate(segments(words, m, sure)):
         part = F.shiftrightunsigned(names[j], shift).bitwiseAND(F.lit((1 << width) - 1))
-        tag = F.lit(i << 32).cast("long")
         if radius >= 0:
-            entries.append(part + tag)
-            probes.append(around(part, tag, ball(width, radius)))
-    table = nodes.select(F.explode(F.array(*entries)).alias("key"), F.col("node").alias("b"), *[F.col(n).alias(f"b_{n}") for n in names])
-    asked = nodes.select(F.explode(F.concat(*probes)).alias("key"), F.col("node").alias("a"), *names)
-    differ = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    return forest(asked.join(table, (asked.key == table.key) & (F.col("a") != F.col("b")) & (differ <= bits)), "a", "b")
+            keys.append(around(part, F.lit(i << 32).cast("long"), ball(width, radius)))  # the ball's centre is the entry
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        linker, held = Linker(bits), None
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + words)]
+            now = columns[0], columns[1], np.column_stack(columns[2:]).view(np.uint64)
+            if held is not None:
+                now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last key may go on
+            held = tuple(x[cut:] for x in now)
+            if cut and (found := linker.runs(*(x[:cut] for x in now))):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+        if held is not None and len(held[0]) and (found := linker.runs(*held)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    rows = ship(nodes).select(F.explode(F.concat(*keys)).alias("key"), F.col("node").cast("long").alias("node"), *names)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, bits: int = 4, shingle: int = 4, words: int = 1, m: int = 3, sure: int | None = None) -> DataFrame:
@@ -153,5 +207,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     groups = near_groups(docs, **SIMILAR)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
+    (row,) = fresh(docs, "_row")
     once = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_row", F.row_number().over(once)).where("_row = 1 or doc_id is null").drop("_row")
+    return kept.withColumn(row, F.row_number().over(once)).where((F.col(row) == 1) | F.col("doc_id").isNull()).drop(row)
