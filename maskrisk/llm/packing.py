@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import fresh, named, ship, written
 
 #: Words, and parts of words, whose ids a Python worker remembers.
 REMEMBERED = 300_000
@@ -170,9 +170,10 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     pieces of each length comes to the driver. Pieces of one length are interchangeable, so each is ranked within a
     slice of its length class, and the plan turns ranks into places. An empty table gives an empty table.
     """
-    sliced = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)))
-    sizes = sliced.groupBy("length", "_slice").agg(F.count("*").alias("_n"))
-    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("_n")).collect()}  # capacity rows at most
+    slice_, rank, before_, n_ = fresh(pieces, "_slice", "_rank", "_before", "_n")
+    sliced = pieces.withColumn(slice_, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)))
+    sizes = sliced.groupBy("length", slice_).agg(F.count("*").alias(n_))
+    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum(n_)).collect()}  # capacity rows at most
     lengths, starts, stops, copies, bases, offsets = [], [], [], [], [], []
     base, used = 0, dict.fromkeys(counts, 0)
     for pattern, times in plan_bins(counts, capacity):
@@ -188,20 +189,20 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         base += times
     order = np.lexsort((starts, lengths))
     plan = [np.array(x, np.int64)[order] for x in (lengths, starts, copies, bases, offsets)]
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = sizes.withColumn(before_, F.coalesce(F.sum(n_).over(W.partitionBy("length").orderBy(slice_).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    order_by = ["doc_id", "piece", *[c for c in names if c not in ("doc_id", "piece", "length", "ids")]]
+    order_by = ["doc_id", "piece", *[named(c) for c in names if c not in ("doc_id", "piece", "length", "ids")]]
     ranked = (
-        sliced.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_slice").orderBy(*order_by)) - 1)
-        .join(F.broadcast(before.select("length", "_slice", "_before")), ["length", "_slice"])  # capacity * SLICES rows at most
-        .select(*names, (F.col("_rank") + F.col("_before")).cast("long").alias("_rank"))
+        sliced.withColumn(rank, F.row_number().over(W.partitionBy("length", slice_).orderBy(*order_by)) - 1)
+        .join(F.broadcast(before.select("length", slice_, before_)), ["length", slice_])  # capacity * SLICES rows at most
+        .select(*map(named, names), (F.col(rank) + F.col(before_)).cast("long").alias(rank))
     )
-    schema = ranked.select(*names, F.col("_rank").alias("sequence_id"), F.col("_rank").alias("offset")).schema
+    schema = ranked.select(*map(named, names), F.col(rank).alias("sequence_id"), F.col(rank).alias("offset")).schema
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, start, copy, first, offset = plan
         for batch in batches:
-            n, r = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
+            n, r = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", rank))
             lo, hi = np.searchsorted(length, n, "left"), np.searchsorted(length, n, "right")
             while (lo + 1 < hi).any():  # the last start of this length that is at most the rank
                 mid = (lo + hi) // 2

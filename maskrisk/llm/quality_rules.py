@@ -116,7 +116,7 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     tried = by_value.select("stratum", "rule", "m", F.sum("good").over(w).alias("n"), F.sum("good").over(down).alias("k"), F.sum("bad").over(down).alias("g"))
     tests = by_value.agg((F.count_distinct("stratum") * len(RULES)).alias("tests"))
     tail = F.when(F.col("k") <= F.col("n") * alpha, binomial_tail(F.col("k"), F.col("n"), alpha)).otherwise(F.lit(1.0))
-    good = tried.join(F.broadcast(tests)).where((F.col("n") > 0) & (F.col("g") > F.col("k")) & (tail <= F.lit(delta) / F.col("tests")))  # one row
+    good = tried.join(F.broadcast(tests)).where((F.col("n") > 0) & (F.col("g") > F.col("k")) & (tail <= F.lit(delta) / F.greatest("tests", F.lit(1))))  # one row
     best = good.groupBy("stratum", "rule").agg(F.max(F.struct((F.col("g") - F.col("k")).alias("gain"), F.col("m").alias("m")))["m"].alias("m"))
     return best.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("m"))
 

@@ -13,6 +13,7 @@ several times is sent once, so a passage of a third of all documents is a row fo
 
 from __future__ import annotations
 
+import re
 from math import ceil
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, ship
+from .common import named, parts, ship
 
 LENGTH, RUN = 50, 24
 SPREAD = LENGTH - RUN + 1  # anchors that a string chooses from, and strings that an anchor has at most: below 32
@@ -248,13 +249,15 @@ def _replies(chunk: Chunk, table: pa.Table, n: int) -> np.ndarray:
 
 
 def covered_bytes(docs: DataFrame, decoded: bool = False) -> DataFrame:
-    """``docs`` (doc_id, text, more) with n_bytes, n_removed, n_spans and kept (binary: the remaining bytes), or with
-    kept_text if ``decoded``: those of them that make whole characters.
+    """doc_id, text, n_bytes, n_removed, n_spans and kept (binary: the remaining bytes), or kept_text if ``decoded``:
+    those of them that make whole characters. ``docs`` has doc_id and text; other columns may come as _x0, _x1, ...,
+    and are passed on, others are left out.
 
     A byte is removed if a string of 50 bytes that covers it also starts in a document with a smaller doc_id, judged on
     the input. Null texts are empty; a null doc_id counts as the largest; rows of equal doc_id do not remove each
     other's bytes; texts under 50 bytes stay as they are; an empty table gives an empty table.
     """
+    docs = docs.select("doc_id", "text", *[c for c in docs.columns if re.fullmatch(r"_x\d+", c)])
     spark = ship(docs).sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     chunks, n = (max(parts(spark), ceil(total[0] / x)) for x in (CHUNK_BYTES, PART_BYTES))
@@ -356,6 +359,8 @@ def sampled_splitters(docs: DataFrame, count: int, n: int) -> np.ndarray:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with texts cut to the bytes that stay; part of a character left by a cut goes too; nulls stay null."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    made = covered_bytes(docs.select("doc_id", "text", *[F.col(named(c)).alias(f"_x{i}") for i, c in enumerate(more)]), decoded=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    made = covered_bytes(docs, decoded=True)
-    return made.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    back = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"_x{i}") for i, c in enumerate(more)}
+    return made.select(*[back[c].alias(c) for c in docs.columns])
