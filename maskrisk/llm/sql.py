@@ -61,7 +61,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 FROM p LEFT JOIN hit USING (doc_id)
 '''
 
+OP5 = '''
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blk AS (SELECT doc_id, b, substr(h, 2 * b + 1, 1122) AS t FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49, 512)) AS b FROM d)),
+w AS (SELECT doc_id, b + j AS i, substr(t, 2 * j + 1, 100) AS s FROM (SELECT doc_id, b, t, unnest(range(0, len(t) // 2 - 49)) AS j FROM blk)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN f ON f.s = w.s AND f.m < w.doc_id),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM hit),
+r AS (SELECT doc_id, i, p, sum(CASE WHEN p IS NULL OR i - p > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS k FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+'''
+
 SQL = {
+    "op5_suffix_dedup": OP5,
     "op7_rules": OP7,
     "op8_url_filter": OP8,
 }
