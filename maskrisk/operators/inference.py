@@ -25,11 +25,17 @@ def cluster_weights(rows: DataFrame, cond: list[str], cluster: str, resamples: i
 
 
 def bootstrap_differences(rows: DataFrame, cond: list[str], left: str, right: str, risk: str, cluster: str, resamples: int, seed: Column) -> DataFrame:
-    """difference of the areas of two scores for each replicate; both use the same drawn rows."""
-    drawn = rows.join(cluster_weights(rows, cond, cluster, resamples, seed), [*cond, cluster])
-    a = aurc(drawn, [*cond, "rep"], left, risk, "weight").select(*cond, "rep", F.col("aurc").alias("left"))
-    b = aurc(drawn, [*cond, "rep"], right, risk, "weight").select(*cond, "rep", F.col("aurc").alias("right"))
-    return a.join(b, [*cond, "rep"]).select(*cond, "rep", "left", "right", (F.col("left") - F.col("right")).alias("difference"))
+    """Areas of two scores and their difference for each replicate; both use the same drawn rows.
+
+    The two scores are two sides of one table, so clusters are drawn once and meet the records once. Records that agree
+    in cluster, score and risk are counted first, so that replicates multiply distinct ones only.
+    """
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col(left).alias("score")), F.struct(F.lit(1).alias("side"), F.col(right).alias("score")))
+    each = rows.select(*cond, cluster, F.col(risk).alias("risk"), F.explode(sides).alias("x")).groupBy(*cond, cluster, "x.side", "x.score", "risk").agg(F.count("*").alias("copies"))
+    drawn = each.join(cluster_weights(rows, cond, cluster, resamples, seed), [*cond, cluster]).withColumn("weight", F.col("weight") * F.col("copies"))
+    areas = aurc(drawn, [*cond, "rep", "side"], "score", "risk", "weight")
+    a = areas.groupBy(*cond, "rep").agg(F.max(F.when(F.col("side") == 0, F.col("aurc"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("aurc"))).alias("right"))
+    return a.withColumn("difference", F.col("left") - F.col("right"))
 
 
 def contrast(rows: DataFrame, cond: list[str], left: str, right: str, risk: str, cluster: str, resamples: int = 10_000, level: float = 0.95, seed: Column | None = None) -> DataFrame:

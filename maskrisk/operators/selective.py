@@ -6,11 +6,13 @@ so a window sees ties once, and every window is within a group.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Terms of the harmonic sum that are added one by one; beyond, its expansion is exact to a double.
+#: Terms of the harmonic sum that are looked up; beyond, its expansion is exact to a double.
 TERMS = 64
 
 
@@ -18,8 +20,8 @@ def harmonic(n: Column) -> Column:
     """1 + 1/2 + ... + 1/n for each whole n >= 0."""
     x = n.cast("double")
     large = F.ln(x) + F.lit(0.5772156649015329) + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4.0))) - 1 / (252 * F.pow(x, F.lit(6.0)))
-    small = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(TERMS)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
-    return F.when(n <= 0, F.lit(0.0)).when(n <= TERMS, small).otherwise(large)
+    table = F.array(*[F.lit(float(h)) for h in accumulate((1 / i for i in range(1, TERMS + 1)), initial=0.0)])  # a constant
+    return F.when(n <= TERMS, F.get(table, F.greatest(n, F.lit(0)).cast("int"))).otherwise(large)
 
 
 def running(rows: DataFrame, group: list[str], order: str, sums: dict[str, str], buckets: int = 64) -> DataFrame:
