@@ -13,20 +13,27 @@ from pyspark.sql import functions as F
 from .common import connected_components, fresh, ship, written
 
 
-def fingerprint(text: str, shingle: int, words: int = 1) -> np.ndarray:
-    """SimHash of the A-Z lower-cased words of ``text``, ``words`` times 64 bits: a bit is set if over half the shingle
-    hashes set it. The first 64 bits are those of XXH64 with seed 42; further ones come from mixing it anew."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 with seed 42 of each shingle of the A-Z lower-cased words of ``text``; a shorter text is one shingle."""
     from xxhash import xxh64_digest
 
     raw = text.encode("utf-8", "surrogatepass").lower().split()
     if not raw:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, ">u8")
     joined = b" ".join(raw)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     ends = np.cumsum(sizes + 1) - 1
     k = min(shingle, len(raw))
     first, last = (ends - sizes)[: len(raw) - k + 1].tolist(), ends[k - 1 :].tolist()
-    hashes = np.frombuffer(b"".join([xxh64_digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)]), ">u8")
+    return np.frombuffer(b"".join([xxh64_digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)]), ">u8")
+
+
+def fingerprint(text: str, shingle: int, words: int = 1) -> np.ndarray:
+    """SimHash of the A-Z lower-cased words of ``text``, ``words`` times 64 bits: a bit is set if over half the shingle
+    hashes set it. The first 64 bits are those of XXH64 with seed 42; further ones come from mixing it anew."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
     votes = np.zeros((words, 64), np.int64)
     for at in range(0, len(hashes), 65536):
         h = hashes[at : at + 65536].astype(np.uint64)
@@ -194,9 +201,82 @@ def near_groups(docs: DataFrame, bits: int = 4, shingle: int = 4, words: int = 1
     return fps.join(every, names).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-#: Near copies of five-word shingles: 256 bits, of which documents with four fifths of their shingles in common differ in
-#: about 39; found by sixteen segments of 16 bits, five of them with a ball of one bit, without loss up to 20 bits.
-SIMILAR = {"bits": 40, "shingle": 5, "words": 4, "m": 4, "sure": 20}
+def alike(sets: list[np.ndarray], share: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join what all pairs of ``sets`` with a Jaccard similarity of ``share`` or more join.
+
+    Components grow as in ``spanning``: one minus the similarity is a metric too. Empty sets are like nothing.
+    """
+    rows = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)
+    if len(rows) < 2:
+        return []
+    sizes = np.array([len(sets[i]) for i in rows], np.int64)
+    codes = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True)[1]
+    starts, marked = np.cumsum(sizes) - sizes, np.zeros(codes.max() + 1, np.int64)
+
+    def similarity(one: int, many: np.ndarray) -> np.ndarray:
+        if not len(many):
+            return np.zeros(0)
+        own = codes[starts[one] : starts[one] + sizes[one]]
+        n = sizes[many]
+        ends = np.cumsum(n)
+        marked[own] = 1
+        both = np.add.reduceat(marked[codes[np.arange(ends[-1]) + np.repeat(starts[many] - ends + n, n)]], ends - n)
+        marked[own] = 0
+        return both / (sizes[one] + n - both)
+
+    links, left = [], np.arange(len(rows))
+    while len(left) > 1:
+        pivot, left = left[0], left[1:]
+        away = similarity(pivot, left)
+        queue = [(pivot, 1.0)]
+        while queue and len(left):
+            row, own = queue.pop()
+            fits = np.minimum(sizes[left], sizes[row]) >= share * np.maximum(sizes[left], sizes[row]) - 1e-6
+            look = np.flatnonzero(fits & (np.abs(away - own) <= 1 - share + 1e-9))
+            hit = look[similarity(row, left[look]) >= share]
+            if len(hit):
+                links += [(int(rows[row]), int(rows[x])) for x in left[hit]]
+                queue += list(zip(left[hit].tolist(), away[hit].tolist(), strict=True))
+                keep = np.ones(len(left), bool)
+                keep[hit] = False
+                left, away = left[keep], away[keep]
+    return links
+
+
+#: Candidates for near copies of five-word shingles: 256 bits, of which documents with four fifths of their shingles in
+#: common differ in about 39, with a spread of 6; found by sixteen segments of 16 bits with balls of one bit each.
+SIMILAR = {"bits": 57, "shingle": 5, "words": 4, "m": 4, "sure": 31}
+#: A group of candidates with more rows is dealt to pairs of blocks of about so many, so that no task holds all of it.
+BLOCK = 4000
+
+
+def similar_groups(docs: DataFrame, share: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs`` (doc_id, text) that has an id.
+
+    component_id is the smallest doc_id that links of documents with a Jaccard similarity of ``share`` or more reach.
+    Fingerprints (``SIMILAR``) give groups of candidates; within a group, shingle sets decide, and any two members meet.
+    Texts of equal fingerprints are one node. Texts without a word are copies of each other.
+    """
+    names = [f"f{j}" for j in range(SIMILAR["words"])]
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    fps = written(fingerprints(docs, SIMILAR["shingle"], SIMILAR["words"]), "fingerprints")
+    nodes = written(fps.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
+    groups = written(connected_components(near_links(nodes, SIMILAR["words"], SIMILAR["m"], SIMILAR["sure"], SIMILAR["bits"])), "groups")
+    sized = groups.join(groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "root")
+    own = sized.select("root", "node", "blocks", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)").alias("own"))
+    dealt = own.select("root", "node", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("blocks = 1 or own <> other")
+    dealt = dealt.select("root", "node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    members = dealt.join(docs, dealt["node"] == docs["doc_id"]).select("root", "low", "high", "node", "text")
+
+    def link(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_pylist()
+        sets = [np.unique(shingle_hashes(x.as_py() or "", SIMILAR["shingle"])) for x in group.column("text")]
+        found = [(node[i], node[j]) for i, j in alike(sets, share)]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    links = ship(members).groupBy("root", "low", "high").applyInArrow(link, "a long, b long")
+    every = written(nodes.join(connected_components(links), "node", "left").select(*names, F.coalesce("root", "node").alias("component_id")), "components")
+    return fps.join(every, names).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -204,8 +284,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Of repeated rows of a doc_id one stays; rows without doc_id all stay, for they are in no group.
     """
-    groups = near_groups(docs, **SIMILAR)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     (row,) = fresh(docs, "_row")
     once = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
