@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,27 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+def trimmed(task: Callable) -> Callable:
+    """``task`` of a Python worker, which gives freed memory back to the system before and after it."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        trim()
+        out = task(*tables)
+        del tables
+        trim()
+        return out
+
+    # the number of parameters tells Spark what a task of groups wants
+    return (lambda table: run(table)) if task.__code__.co_argcount == 1 else (lambda left, right: run(left, right))
+
+
+def trim() -> None:
+    """Freed memory of this process back to the system: idle Python workers and their executor share one limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have, in any case of letters."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, ship, written
+from .common import connected_components, fresh, ship, trimmed, written
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -268,6 +268,7 @@ def similar_groups(docs: DataFrame, share: float = 0.8, block: int = BLOCK) -> D
     dealt = dealt.select("root", "node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     members = dealt.join(docs, dealt["node"] == docs["doc_id"]).select("root", "low", "high", "node", "text")
 
+    @trimmed
     def link(group: pa.Table) -> pa.Table:
         node = group.column("node").to_pylist()
         sets = [np.unique(shingle_hashes(x.as_py() or "", SIMILAR["shingle"])) for x in group.column("text")]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, parts, ship
+from .common import named, parts, ship, trimmed
 
 LENGTH, RUN = 50, 24
 SPREAD = LENGTH - RUN + 1  # anchors that a string chooses from, and strings that an anchor has at most: below 32
@@ -29,6 +29,8 @@ WIDTH = 80  # a suffix with its context: SPREAD - 1 + LENGTH bytes, its anchor's
 #: Text bytes of a chunk and of what a part or range is about answerable for, so that tasks need little memory.
 CHUNK_BYTES, PART_BYTES = 4 << 20, 8 << 20
 BLOCK_BYTES = 1 << 18
+#: Strings that a task sorts at once.
+STRINGS = 200_000
 LARGEST = np.iinfo(np.int64).max
 _M = [0x9E3779B97F4A7C15]
 for _ in range(3):
@@ -165,15 +167,21 @@ def distinct(context: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nda
     for j in range(words.shape[1]):
         code = mix((code ^ words[:, j]) * _M[0] + np.uint64(j))
     order = np.lexsort((code, start))
-    s, c, w = start[order], code[order], words[order]
+    s, c = start[order], code[order]
     same = (s[1:] == s[:-1]) & (c[1:] == c[:-1])
-    if (w[1:][same] != w[:-1][same]).any():  # two codes met: by all bytes then
-        order, group = multikey(np.column_stack([start.astype(np.uint64), words]))
-        return order, group
+    for j in range(words.shape[1]):  # word by word, so that no copy of all bytes is made
+        w = words[:, j][order]
+        if (same & (w[1:] != w[:-1])).any():  # two codes met: by all bytes then
+            return multikey(np.column_stack([start.astype(np.uint64), words]))
     new = np.concatenate(([True], ~same)) if len(order) else np.zeros(0, bool)
     return order, np.cumsum(new) - 1
 
 
+def bytes_at(context: np.ndarray, row: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """``n`` bytes of each of the suffixes ``row`` from ``place`` on."""
+    return np.lib.stride_tricks.sliding_window_view(context.ravel(), n)[row * WIDTH + place].copy()
+
+
 def answer(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each suffix a bit for each of its strings: whether a document with a smaller id has that string.
 
@@ -192,33 +200,37 @@ def answer(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
     offset, count = unique[:, WIDTH - 2].astype(np.int64), unique[:, WIDTH - 1].astype(np.int64)
     every = ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
     out = np.where(least[of] < ids, every[of], 0).astype(np.uint32)
-    run = np.take_along_axis(unique, offset[:, None] + np.arange(RUN)[None, :], axis=1).copy().view(np.uint64)
+    run = bytes_at(unique, np.arange(len(unique)), offset, RUN).view(np.uint64)
     by_run, run_group = multikey(run)
     sizes = np.bincount(run_group)
     mixed = sizes[run_group] > 1
     several = by_run[mixed]  # suffixes of anchors with several contexts, anchor by anchor
     if not len(several):
         return out
-    before = np.full((len(unique), SPREAD), LARGEST)  # the smallest id of each string
+    before = np.full((len(several), SPREAD), LARGEST)  # the smallest id of each string
+    slot = np.full(len(unique), -1)
+    slot[several] = np.arange(len(several))
     edge = np.flatnonzero(np.concatenate(([True], np.diff(run_group[mixed]) != 0)))
     strings = np.concatenate(([0], np.cumsum(count[several])))
     at = 0
     while at < len(edge):  # some hundred thousand strings at a time, whole anchors
         to = at + 1
-        while to < len(edge) and strings[edge[to]] - strings[edge[at]] < 200_000:
+        while to < len(edge) and strings[edge[to]] - strings[edge[at]] < STRINGS:
             to += 1
         rows = several[edge[at] : edge[to] if to < len(edge) else len(several)]
         row = np.repeat(rows, count[rows])
         place = np.arange(len(row)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
         padded = np.zeros((len(row), 56), np.uint8)
-        padded[:, :LENGTH] = np.take_along_axis(unique[row], place[:, None] + np.arange(LENGTH)[None, :], axis=1)
+        padded[:, :LENGTH] = bytes_at(unique, row, place, LENGTH)
         order, group = multikey(padded.view(np.uint64))
         first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        before[row[order], place[order]] = np.minimum.reduceat(least[row[order]], first)[group]
+        before[slot[row[order]], place[order]] = np.minimum.reduceat(least[row[order]], first)[group]
         at = to
-    rows = np.flatnonzero(np.isin(of, several))
-    bits = before[of[rows]] < ids[rows, None]
-    out[rows] = (bits << np.arange(SPREAD, dtype=np.uint32)[None, :]).sum(axis=1).astype(np.uint32)
+    rows, shift = np.flatnonzero(slot[of] >= 0), np.arange(SPREAD, dtype=np.uint32)[None, :]
+    for at in range(0, len(rows), STRINGS // SPREAD):
+        some = rows[at : at + STRINGS // SPREAD]
+        bits = before[slot[of[some]]] < ids[some, None]
+        out[some] = (bits.astype(np.uint32) << shift).sum(axis=1, dtype=np.uint32)
     return out
 
 
@@ -265,6 +277,7 @@ def covered_bytes(docs: DataFrame, decoded: bool = False) -> DataFrame:
     rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "_chunk": F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")})
     splitters = sampled_splitters(docs, total[1], n)
 
+    @trimmed
     def ask(table: pa.Table) -> pa.Table:
         """Of each distinct anchor 32 bits, to the part that its hash names."""
         chunk, key = _chunk(table), table.column("_chunk")[0].as_py()
@@ -273,6 +286,7 @@ def covered_bytes(docs: DataFrame, decoded: bool = False) -> DataFrame:
         full = np.flatnonzero(np.diff(bounds))
         return message("part", key, full.tolist(), [low[bounds[i] : bounds[i + 1]].tobytes() for i in full], "chunk")
 
+    @trimmed
     def reply(table: pa.Table) -> pa.Table:
         """For each anchor whether several chunks have it; other anchors with these bits only make more work."""
         part = table.column("part")[0].as_py()
@@ -281,6 +295,7 @@ def covered_bytes(docs: DataFrame, decoded: bool = False) -> DataFrame:
         bits = np.split(times[of] > 1, np.cumsum([len(x) for x in got])[:-1])
         return pa.table({"chunk": table.column("chunk"), "part": pa.array([part] * len(got), pa.int32()), "kind": pa.array([0] * len(got), pa.int32()), "blob": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
 
+    @trimmed
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         """The distinct suffixes of shared anchors, to the range of their leading bytes."""
         if not left.num_rows:
@@ -291,6 +306,7 @@ def covered_bytes(docs: DataFrame, decoded: bool = False) -> DataFrame:
         full = np.flatnonzero(np.diff(bounds))
         return message("range", key, full.tolist(), [ids[a:b].tobytes() + context[a:b].tobytes() for a, b in ((bounds[i], bounds[i + 1]) for i in full)], "chunk")
 
+    @trimmed
     def settle(table: pa.Table) -> pa.Table:
         """The strings of a range that an earlier document has, as bits for each suffix sent."""
         part, blobs = table.column("range")[0].as_py(), table.column("blob").to_pylist()
@@ -300,6 +316,7 @@ def covered_bytes(docs: DataFrame, decoded: bool = False) -> DataFrame:
         masks = np.split(answer(context, ids), np.cumsum(sizes)[:-1])
         return pa.table({"chunk": table.column("chunk"), "part": pa.array([part] * len(sizes), pa.int32()), "kind": pa.array([1] * len(sizes), pa.int32()), "blob": pa.array([x.tobytes() for x in masks], pa.binary())})
 
+    @trimmed
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return left.select(names).append_column("n_bytes", pa.array([], pa.int64())).append_column("n_removed", pa.array([], pa.int64())).append_column("n_spans", pa.array([], pa.int64())).append_column(last, pa.array([], pa.string() if decoded else pa.binary()))
