@@ -57,26 +57,6 @@ def test_patience():
     assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
 
 
-def test_lines_against_pairs(spark, sf, docs):
-    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
-    lines = {i: [x if x.strip(" \t\n\x0b\f\r") else None for x in t.split("\n")] for i, t in rows}
-    n, first = {}, {}
-    for i, ls in lines.items():
-        for x in set(ls) - {None}:
-            n[x] = n.get(x, 0) + 1
-            first.setdefault(x, i)
-    want = {}
-    for i, t in rows:
-        shared = {}
-        for x in set(lines[i]) - {None}:
-            if first[x] < i:
-                shared.setdefault(first[x], []).append(n[x])
-        gone = {j for o, k in shared.items() if min(k) <= L.RARE or len(k) >= L.SHARED for _, j in L.patience(lines[o], lines[i])}
-        kept = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone)
-        want[i] = (len(lines[i]), len(kept), hashlib.sha256(kept.encode()).hexdigest())
-    assert {r.doc_id: (r.n_lines, r.kept_chars, r.kept_sha256) for r in op2_lines(spark, sf).collect()} == want
-
-
 def test_lines_of_odd_rows(odd_docs, no_docs):
     out = L.without_lines(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == 12
