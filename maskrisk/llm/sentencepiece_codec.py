@@ -1,11 +1,11 @@
-"""SentencePiece encoding by a streaming lattice search, and decoding.
-
-The vocabulary is of merges: a text's ids are not the best sum of piece scores but what greedy merging gives. A lattice
-still finds them. The merged form of every beginning of a text is the merged form of a shorter beginning and one piece
-more, and a piece may follow another exactly if merging the two alone leaves both as they are. So each boundary has one
-surviving backpointer, as in a Viterbi search where all other paths into it are ruled out. Only boundaries within the
-longest piece's length can still be extended; where the paths back from all of them meet, ids are final and leave the
-window.
+"""SentencePiece encoding by a streaming Viterbi search, and decoding.
+
+Each boundary of a text keeps one surviving backpointer. In a vocabulary of scores (unigram) it is that of the best sum.
+In a vocabulary of merges (BPE) ids are not a best sum but what greedy merging gives: the merged form of every beginning
+is the merged form of a shorter beginning and one piece more, and a piece may follow another exactly if merging the two
+alone leaves both as they are; so all paths into a boundary but one are ruled out. Only boundaries that no more than the
+longest piece separates from the last read character can still be extended. Where the paths back from all of them meet,
+ids are final and leave the window.
 """
 
 from __future__ import annotations
@@ -29,16 +29,59 @@ START, UNKNOWN = -1, -2
 _codecs: dict[str, Codec] = {}
 
 
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a message in a model file; floats stay as their four bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            at += 1
+            value |= (raw[at - 1] & 127) << shift
+            shift += 7
+            if raw[at - 1] < 128:
+                return value
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            n = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, raw[at : at + n]
+            at += n
+
+
 class Codec:
-    """A vocabulary file in a Python worker."""
+    """A vocabulary file in a Python worker.
 
-    def __init__(self, path: str):
+    Supported are unigram and BPE models that keep texts as they are but for an optional blank in front. Others (word
+    and character models, normalising ones, pieces defined by users) would get wrong ids and raise ValueError.
+    """
+
+    #: Characters that are looked at together, up to the next place that no piece spans.
+    SLICE = 1 << 16
+
+    def __init__(self, path: str | None = None, raw: bytes | None = None):
         from sentencepiece import SentencePieceProcessor
 
-        sp = SentencePieceProcessor(model_file=path)
+        if raw is None:
+            with open(path, "rb") as file:
+                raw = file.read()
+        parts = list(fields(raw))
+        trainer, form = (dict(fields(next((v for k, v in parts if k == n), b""))) for n in (2, 3))
+        kinds = [dict(fields(v)).get(3, 1) for k, v in parts if k == 1]
+        self.merges, self.prefix = trainer.get(3, 1) == 2, SPACE if form.get(3, 1) else ""
+        wrong = {"kind of model": trainer.get(3, 1) not in (1, 2), "blanks behind words": trainer.get(24, 0), "normalisation": form.get(2, b""), "removal of blanks": form.get(4, 1), "unescaped blanks": not form.get(5, 1), "pieces defined by users": 4 in kinds}
+        if any(wrong.values()):
+            raise ValueError("not supported: " + ", ".join(k for k, v in wrong.items() if v))
+        sp = SentencePieceProcessor(model_proto=raw)
         n = sp.get_piece_size()
-        self.ids = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        self.ids = {sp.id_to_piece(i): i for i in range(n) if kinds[i] == 1}
         self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
+        self.score = [sp.get_score(i) for i in range(n)]
+        self.poor = min(self.scores.values()) - 10  # of a character that no piece has, by definition of the format
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.surface: list[str | int] = ["" if sp.is_control(i) else sp.id_to_piece(i).replace(SPACE, " ") for i in range(n)]
@@ -57,8 +100,10 @@ class Codec:
         apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         lines = "" if any("\n" in p for p in self.ids) else "\n"
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}{lines}]+|{SPACE}+|\n" if apart else r"(?s).+")
+        self.cut = re.compile(f"(?<![ {SPACE}]) " + ("|\n" if lines else "")) if apart else None
         self.known: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.commits = self.peak = 0  # how often paths met before the end, and the longest window so far
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging its best neighbours until none are left."""
@@ -83,49 +128,78 @@ class Codec:
         return out
 
     def pieces(self, text: str) -> Iterator[list[tuple[int, int]]]:
-        """(id, length) of the pieces of a stretch of any length; what is kept is bounded by how far back paths meet."""
-        pairs, follows, trie, longest = self.pairs, self.follows, self.trie, self.longest
-        n, base = len(text), 0
-        window = 6 * longest
-        ids, sizes = [START], [0]  # of the surviving piece that ends at each boundary from base on; size 0: none yet
-        at = 0
+        """(id, length) of the pieces of a stretch of any length, as soon as they are final.
+
+        The window begins where paths last met. Once it is as long as the longest piece, ids are final at the first place
+        that no piece spans; where none comes, the paths back are followed after each ``longest`` characters. So the
+        window is a few times the longest piece, plus how far paths run apart.
+        """
+        pairs, follows, trie, longest, score = self.pairs, self.follows, self.trie, self.longest, self.score
+        n, base, at, reach, look, peak, merges = len(text), 0, 0, 0, 2 * longest, self.peak, self.merges
+        room = min(n, 4 * longest)
+        ids, sizes = [START] + [UNKNOWN] * room, [0] * (room + 1)  # surviving backpointers at boundaries from base on; size 0: none yet
+        sums = [0.0] if merges else [0.0] * (room + 1)
         while at < n:
-            before, node, to = ids[at - base], trie, at
-            head = (before + 2) << 20
+            here = at - base
+            if room < here + longest and room < n - base:
+                ids += [UNKNOWN] * room
+                sizes += [0] * room
+                sums += [0.0] * (0 if merges else room)
+                room *= 2
+            before, node, to = ids[here], trie, at
+            head, single = (before + 2) << 20, False
             while to < n and (step := node.get(text[to])) is not None:
                 piece, node = step
                 to += 1
-                while len(sizes) <= to - base:
-                    ids.append(UNKNOWN)
-                    sizes.append(0)
-                if piece >= 0 and not sizes[to - base]:
-                    ok = pairs.get(head | piece)
-                    if ok is None:
-                        ok = follows(before, piece)
-                    if ok:
-                        ids[to - base], sizes[to - base] = piece, to - at
+                if piece < 0:
+                    continue
+                if merges:
+                    if not sizes[to - base]:
+                        ok = pairs.get(head | piece)
+                        if ok is None:
+                            ok = follows(before, piece)
+                        if ok:
+                            ids[to - base], sizes[to - base] = piece, to - at
+                            if to > reach:
+                                reach = to
+                else:
+                    single, sum_ = single or to == at + 1, sums[here] + score[piece]
+                    if not sizes[to - base] or sum_ > sums[to - base]:
+                        ids[to - base], sizes[to - base], sums[to - base] = piece, to - at, sum_
+                        if to > reach:
+                            reach = to
             at += 1
-            if len(sizes) <= at - base:
-                ids.append(UNKNOWN)
-                sizes.append(0)
-            if not sizes[at - base]:  # no piece ends here: a character on its own
-                sizes[at - base] = 1
-            if at - base >= window:
-                # boundaries that pieces can still begin at or have reached; their paths back meet somewhere
-                path, walk = set(), at - base
+            here += 1
+            if merges:
+                if not sizes[here]:  # no piece ends here: a character on its own
+                    sizes[here] = 1
+            elif not single and (not sizes[here] or sums[here - 1] + self.poor > sums[here]):
+                ids[here], sizes[here], sums[here] = UNKNOWN, 1, sums[here - 1] + self.poor
+            if at >= reach:  # the one boundary that is left: paths meet here
+                reach = at
+                if longest <= here < n - base:  # a shorter window can wait
+                    self.commits += 1
+                    yield self._back(ids, sizes, here)
+                    base, look, room = at, 2 * longest, min(n - at, 4 * longest)
+                    ids, sizes = [ids[here]] + [UNKNOWN] * room, [0] * (room + 1)
+                    sums = [0.0] if merges else [sums[here]] + [0.0] * room
+            elif here >= look:
+                peak, look = max(peak, reach - base), here + longest
+                path, walk, meet = set(), here, here
                 while walk > 0:
                     path.add(walk)
                     walk -= sizes[walk]
-                meet = at - base
-                for frontier in range(max(1, at - base - longest), len(sizes)):
-                    walk = frontier
-                    while walk > 0 and sizes[walk] and walk not in path:
+                for frontier in range(here + 1, reach - base + 1):
+                    walk = frontier if sizes[frontier] else meet
+                    while walk > 0 and walk not in path:
                         walk -= sizes[walk]
-                    meet = min(meet, walk) if sizes[frontier] else meet
+                    meet = min(meet, walk)
                 if meet > 0:
+                    self.commits += 1
                     yield self._back(ids, sizes, meet)
-                    ids, sizes, base = ids[meet:], sizes[meet:], base + meet
-                window = max(6 * longest, 2 * (at - base))
+                    ids, sizes, sums = ids[meet:], sizes[meet:], sums if merges else sums[meet:]
+                    base, look, room = base + meet, max(look - meet, 2 * longest), room - meet
+        self.peak = max(peak, n - base)
         yield self._back(ids, sizes, n - base)
 
     @staticmethod
@@ -154,13 +228,21 @@ class Codec:
         return ids
 
     def encode(self, text: str) -> bytes:
+        """Ids of a whole text. It is read as one stream: ids leave it at each place that no piece spans, and those of
+        stretches between such places are remembered."""
         if not text:
             return b""
-        stretches = self.stretch.findall(SPACE + text.replace(" ", SPACE))
-        ids = list(map(self.known.get, stretches))
-        if None in ids:
-            ids = [self.packed(s) if x is None else x for s, x in zip(stretches, ids, strict=True)]
-        return b"".join(ids)
+        out, at, n = [], 0, len(text)
+        while at < n:
+            cut = self.cut.search(text, at + self.SLICE) if self.cut and at + self.SLICE < n else None
+            end = cut.start() if cut else n
+            stretches = self.stretch.findall((self.prefix if not at else "") + text[at:end].replace(" ", SPACE))
+            at = end
+            ids = list(map(self.known.get, stretches))
+            if None in ids:
+                ids = [self.packed(s) if x is None else x for s, x in zip(stretches, ids, strict=True)]
+            out += ids
+        return b"".join(out)
 
     def decode(self, raw: bytes) -> str:
         out, run, surface = [], bytearray(), self.surface
@@ -176,7 +258,7 @@ class Codec:
         if run:
             out.append(run.decode("utf-8", "replace"))
         text = "".join(out)
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 def codec(path: str) -> Codec:

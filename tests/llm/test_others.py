@@ -111,6 +111,60 @@ def test_ids_are_those_of_the_library(docs):
         assert c.decode(c.encode(x)) == x
 
 
+def edited(kind=None, **form):
+    """The model file with another kind or other flags of its normaliser: fields of one byte, changed in place."""
+    with open(MODEL, "rb") as file:
+        raw = bytearray(file.read())
+    trainer, normaliser = (b"\x0a" + bytes([len(x)]) + x for x in (b"tok_v0", b"identity"))
+    if kind:
+        at = raw.index(b"\x18\x02\x20", raw.rindex(trainer[2:]))
+        raw[at + 1] = kind
+    at = raw.rindex(normaliser)
+    for name, value in form.items():
+        key = {"prefix": b"\x18", "squeeze": b"\x20"}[name]
+        raw[raw.index(key, at) + 1] = value
+    return bytes(raw)
+
+
+def test_unigram_paths_are_the_best(docs):
+    """The same pieces and scores as a unigram model: the sum of the library's best path through the whole lattice."""
+    raw = edited(kind=1, prefix=0)
+    sp, c = sentencepiece.SentencePieceProcessor(model_proto=raw), C.Codec(raw=raw)
+    assert not c.merges and c.prefix == ""
+    words = " ".join(r.text for r in docs.limit(40).collect()).split()
+    exact = 0
+    for x in [" ".join(words[i : i + 20]) for i in range(0, 8000, 20)]:
+        best = sp.nbest_encode_as_ids(x, 2)[0]
+        if min(map(sp.get_score, best)) < -(2**20):  # the library's sums have 24 bits
+            continue
+        got = np.frombuffer(c.encode(x), "<u4").tolist()
+        assert sum(map(sp.get_score, got)) == sum(map(sp.get_score, best)) and "".join(map(sp.id_to_piece, got)) == x.replace(" ", C.SPACE)
+        exact += 1
+    assert exact > 50
+
+
+def test_other_models_are_refused():
+    for raw in (edited(kind=3), edited(squeeze=1)):
+        with pytest.raises(ValueError):
+            C.Codec(raw=raw)
+
+
+def test_stream_of_a_long_text_without_blanks():
+    rng = np.random.default_rng(3)
+    sp, c = sentencepiece.SentencePieceProcessor(model_file=MODEL), C.Codec(MODEL)
+    text = "".join(rng.choice(list("etaoinshrdluthe"), 300_000))
+    assert np.frombuffer(c.encode(text), "<u4").tolist() == sp.encode(text)
+    assert c.commits > 15_000 and c.peak <= 4 * c.longest
+
+
+def test_slices_do_not_change_ids(docs, monkeypatch):
+    c = C.Codec(MODEL)
+    texts = [r.text for r in docs.limit(15).collect()] + ["a  b\n\n c \n  d", " x" * 40, "\u2581 \u2581a b", "\n" * 9]
+    want = [c.encode(x) for x in texts]
+    monkeypatch.setattr(C.Codec, "SLICE", 7)
+    assert [c.encode(x) for x in texts] == want
+
+
 def test_round_trip(spark, sf, docs, odd_docs, no_docs):
     got = {r.doc_id: r.decoded_sha256 for r in op4_sentencepiece(spark, sf).collect()}
     assert got == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}
