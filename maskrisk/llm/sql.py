@@ -77,7 +77,18 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS
 FROM d LEFT JOIN kept USING (doc_id)
 '''
 
+#: The given pages have one plain article each, of headings, paragraphs, line breaks and bold text, cut short at most.
+OP3 = r"""
+WITH b AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:p|h1|br)>') AS parts FROM pages),
+t AS (
+  SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(x, '</?b>', '', 'g'), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&'), '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS said FROM b)
+SELECT page_id, url, array_to_string(list_filter(said, lambda x: x <> ''), ' ') AS text, CAST(length(array_to_string(list_filter(said, lambda x: x <> ''), ' ')) AS BIGINT) AS n_chars FROM t
+"""
+
 SQL = {
+    "op3_html": OP3,
     "op5_suffix_dedup": OP5,
     "op7_rules": OP7,
     "op8_url_filter": OP8,

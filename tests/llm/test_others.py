@@ -90,6 +90,45 @@ def test_query_has_the_articles(spark, sf):
         assert (got[i].text, got[i].n_chars, got[i].url) == (want, len(want), r.url)
 
 
+def test_names_inside_an_article():
+    page = lambda x: f"<body><article><p>one</p>{x}<p>two</p></article>"
+    for gone in ("ad", "share-buttons", "post-comments", "article-footer", "content-ad", "entry-share", "related-story", "cookieNotice", "comment-list"):
+        assert H.main_text(page(f'<div class="{gone}">x y</div>'), set()) == "one two", gone
+    for kept in ('<div class="form-notes">x y</div>', '<figcaption class="banner">x y</figcaption>', '<div class="article-body">x y</div>', '<div class="note">x y</div>'):
+        assert H.main_text(page(kept), set()) == "one x y two", kept
+    doubt = page('<div class="form-notes">a b c d e f</div>')
+    assert H.main_text(doubt, {"a b c d e"}) == "one f two" and H.main_text(doubt, {"a b c d e", "b c d e f"}) == "one two"
+
+
+def test_deep_and_unmatched_tags_cost_their_number():
+    import time
+
+    for n, html in ((40_000, "<div>" * 40_000 + "</b>" * 40_000), (20_000, "<p><button>" + "<b>" * 20_000 + "<hr>" * 20_000)):
+        began = time.time()
+        H.blocks(html)
+        assert time.time() - began < 5, n
+
+
+def test_hosts_without_articles_against_brute_force(spark):
+    """Every window of LONG tokens of a page is held against all other pages of its host."""
+    rng = np.random.default_rng(8)
+    word = lambda: str(rng.choice(list("abcdefgh"))) + str(rng.integers(30))
+    phrases = [" ".join(word() for _ in range(int(rng.integers(4, 12)))) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        parts = [phrases[int(rng.integers(8))] if rng.random() < 0.4 else " ".join(word() for _ in range(int(rng.integers(1, 15)))) for _ in range(6)]
+        rows.append((i, f"http://h{i % 3}.example/{i}", "<body>" + "".join(f"<div>{x}</div>" for x in parts)))
+    tokens = {i: re.sub("<[^>]*>", " ", h).split() for i, _, h in rows}
+    windows = {i: {tuple(t[k : k + H.LONG]) for k in range(len(t) - H.LONG + 1)} for i, t in tokens.items()}
+    want = {}
+    for i, t in tokens.items():
+        others = set().union(*(windows[j] for j in tokens if j % 3 == i % 3 and j != i))
+        gone = {k + d for k in range(len(t) - H.LONG + 1) if tuple(t[k : k + H.LONG]) in others for d in range(H.LONG)}
+        want[i] = " ".join(x for k, x in enumerate(t) if k not in gone) or " ".join(t)
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and sum(len(want[i].split()) < len(t) for i, t in tokens.items()) > 20
+
+
 def test_repeated_runs_of_a_host_go(spark):
     menu = "All the news that we have today in one place"
     rows = [(i, "http://h.example/a", f"<body><div>{menu}</div><div>own{i} words{i} of page number {i} and{i} nothing{i} else{i}</div>") for i in range(4)]
