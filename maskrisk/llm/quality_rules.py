@@ -15,7 +15,8 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 #: Whole percentages that a rule may reject from above.
 RULES = ("symbol_pct", "dup_line_pct", "repeat_pct", "upper_pct", "bang_pct")
-#: A rule may reject this share of a stratum's good documents, and all bounds hold at once with probability 1 - DELTA.
+#: All rules together may reject this share of a stratum's good documents; the bounds of all strata hold at once with
+#: probability 1 - DELTA.
 ALPHA, DELTA = 0.01, 0.05
 
 
@@ -54,7 +55,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum (the language), the base counts and the rules' percentages, for every row of ``docs``."""
+    """doc_id, stratum (the language), the base counts, the rules' percentages, and copy (equal for equal texts)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), text.alias("text"))
     read = read.withColumn("words", words_of(F.col("text")))
@@ -69,6 +70,7 @@ def features(docs: DataFrame) -> DataFrame:
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
         F.regexp_count("text", F.lit(r"\p{Lu}")).alias("upper"),
         F.regexp_count("text", F.lit("!")).alias("bang"),
+        F.md5("text").alias("copy"),
     )
 
     def pct(part: Column | str, whole: Column | str) -> Column:
@@ -81,7 +83,7 @@ def features(docs: DataFrame) -> DataFrame:
         pct("lines.dup", "lines.n").alias("dup_line_pct"),
         pct("n_repeat_words", "n_words").alias("repeat_pct"),
         pct("upper", "word_chars").alias("upper_pct"),
-        pct("bang", "n_words").alias("bang_pct"),
+        pct("bang", "n_words").alias("bang_pct"), "copy",
     )
 
 
@@ -101,24 +103,44 @@ def binomial_tail(k: Column, n: Column, share: float) -> Column:
 def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, one column of each rule): the percentage from which the rule rejects, or null where it never does.
 
-    On the labelled documents of a stratum a cutoff is certified if the exact binomial bound says that it rejects
-    less than ``alpha`` of the good ones, at ``delta`` divided by the number of strata and rules; cutoffs of a rule are
-    tested from the laxest on, so they need no further correction. Of the certified ones the rule takes that which
-    rejects most bad documents less good ones, the laxest of equals, and none if that is not above 0.
+    Labelled texts of a stratum are halved by a hash, copies of a text counting once. On the first half each rule
+    takes the percentage from which it rejects most bad texts less good ones (the laxest of equals; none if that is not
+    above 0, or where it rejects more than ``alpha`` of the good ones), and rules are ordered by that gain. On the second
+    half they are certified in this order: the exact binomial bound must say that the rules so far together reject less
+    than ``alpha`` of the stratum's good documents, at ``delta`` divided by the number of strata. The first rule that
+    fails ends the sequence, so a fixed order needs no further correction, and what is promised holds for all rules of
+    a stratum jointly. Near copies count as texts of their own. A text with labels of both kinds has the larger one.
     """
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    seen = feats.join(known, "doc_id").select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("m")) for r in RULES])).alias("x"))
-    by_value = seen.groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.m").alias("m")).agg(
-        F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 1, 0).otherwise(1)).alias("bad")
+    seen = feats.join(known, "doc_id").groupBy("stratum", "copy").agg(F.max("quality").alias("quality"), *[F.first(r).alias(r) for r in RULES])
+    seen = seen.select("stratum", "copy", (F.col("quality") == 1).alias("good"), (F.substr("copy", F.lit(1), F.lit(1)) < "8").alias("chooses"), *RULES)
+    seen = written(seen, "labelled")
+    long = seen.where("chooses").select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("m")) for r in RULES])).alias("x"))
+    by_value = long.groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.m").alias("m")).agg(
+        F.sum(F.when(F.col("good"), 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("good"), 0).otherwise(1)).alias("bad")
     )  # at most 101 rows for each stratum and rule
     w = W.partitionBy("stratum", "rule")
     down = w.orderBy(F.desc("m")).rowsBetween(W.unboundedPreceding, 0)
     tried = by_value.select("stratum", "rule", "m", F.sum("good").over(w).alias("n"), F.sum("good").over(down).alias("k"), F.sum("bad").over(down).alias("g"))
-    tests = by_value.agg((F.count_distinct("stratum") * len(RULES)).alias("tests"))
-    tail = F.when(F.col("k") <= F.col("n") * alpha, binomial_tail(F.col("k"), F.col("n"), alpha)).otherwise(F.lit(1.0))
-    good = tried.join(F.broadcast(tests)).where((F.col("n") > 0) & (F.col("g") > F.col("k")) & (tail <= F.lit(delta) / F.greatest("tests", F.lit(1))))  # one row
-    best = good.groupBy("stratum", "rule").agg(F.max(F.struct((F.col("g") - F.col("k")).alias("gain"), F.col("m").alias("m")))["m"].alias("m"))
-    return best.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("m"))
+    useful = tried.where((F.col("g") > F.col("k")) & (F.col("k") <= F.col("n") * alpha))
+    best = useful.groupBy("stratum", "rule").agg(F.max(F.struct((F.col("g") - F.col("k")).alias("gain"), F.col("m").alias("m"))).alias("b"))
+    order = W.partitionBy("stratum").orderBy(F.desc("b.gain"), "rule")
+    chosen = best.select("stratum", "rule", F.col("b.m").alias("m"), F.row_number().over(order).alias("place"))  # a row for each stratum and rule
+    wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.struct("m", "place"))).alias(f"_{r}") for r in RULES])
+    first = F.least(*[F.when(F.col(r) >= F.col(f"_{r}.m"), F.col(f"_{r}.place")).otherwise(len(RULES) + 1) for r in RULES])
+    met = seen.where("good and not chooses").join(wide, "stratum").select("stratum", first.alias("place"))
+    lost = met.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("place") <= i, 1)).alias(f"k{i}") for i in range(1, len(RULES) + 1)])
+    tests = seen.agg(F.count_distinct("stratum").alias("tests"))  # one row
+
+    def bound(k: Column) -> Column:
+        return F.when(k <= F.col("n") * alpha, binomial_tail(k, F.col("n"), alpha)).otherwise(F.lit(1.0)) <= F.lit(delta) / F.greatest("tests", F.lit(1))
+
+    depth = F.lit(0)
+    for i in range(1, len(RULES) + 1):  # what is rejected grows with the place, so the bounds fail from some place on
+        depth = depth + bound(F.col(f"k{i}")).cast("int")
+    certified = lost.join(F.broadcast(tests)).select("stratum", depth.alias("depth"))
+    cut = [F.when(F.col(f"_{r}.place") <= F.col("depth"), F.col(f"_{r}.m")).alias(r) for r in RULES]
+    return wide.join(certified, "stratum").select("stratum", *cut)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

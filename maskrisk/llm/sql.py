@@ -12,7 +12,10 @@ links AS (
   SELECT key AS a, replace(unnest([regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)\bhref\s*=\s*["'']?([^\s"''>]+)', 1),
          regexp_extract(regexp_extract(html, '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), '(?is)\burl\s*=\s*["'']?([^\s"''>]+)', 1)]), '&amp;', '&') AS b
   FROM p WHERE url LIKE '%://%'),
-e AS (SELECT a, split_part(b, '#', 1) AS b FROM links WHERE b LIKE '%://%'),
+full_ AS (SELECT a, CASE WHEN b LIKE '%://%' THEN b WHEN b LIKE '//%' THEN split_part(a, '://', 1) || ':' || b
+         WHEN b LIKE '/%' THEN regexp_extract(a, '(?s)^(.*?://[^/?#]*)', 1) || b
+         ELSE coalesce(nullif(regexp_extract(a, '(?s)^(.*?://[^/?#]*/(?:[^?#]*/)?)', 1), ''), regexp_extract(a, '(?s)^(.*?://[^/?#]*)', 1) || '/') || b END AS b FROM links WHERE b <> ''),
+e AS (SELECT a, lower(regexp_extract(split_part(b, '#', 1), '(?s)^(.*?://[^/?#]*)', 1)) || substr(split_part(b, '#', 1), length(regexp_extract(split_part(b, '#', 1), '(?s)^(.*?://[^/?#]*)', 1)) + 1) AS b FROM full_),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a),
 named AS (SELECT DISTINCT b, translate(regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -39,21 +42,25 @@ cov AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, least(8, coalesce(i - la
 f AS (SELECT w.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
-             length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS upper_n, length(regexp_replace(text, '[^!]', '', 'g')) AS bang_n
+             length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS upper_n, length(regexp_replace(text, '[^!]', '', 'g')) AS bang_n, md5(text) AS copy
       FROM w LEFT JOIN cov USING (doc_id)),
 p AS (SELECT *, least(100 * n_symbols // greatest(word_chars, 1), 100) AS symbol_pct, least(100 * n_dup_lines // greatest(n_lines, 1), 100) AS dup_line_pct,
              least(100 * n_repeat_words // greatest(n_words, 1), 100) AS repeat_pct, least(100 * upper_n // greatest(word_chars, 1), 100) AS upper_pct,
              least(100 * bang_n // greatest(n_words, 1), 100) AS bang_pct FROM f),
 lab AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-v AS (SELECT stratum, rule, m, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN quality = 1 THEN 0 ELSE 1 END) AS bad
-      FROM (UNPIVOT (SELECT doc_id, stratum, symbol_pct, dup_line_pct, repeat_pct, upper_pct, bang_pct FROM p) ON symbol_pct, dup_line_pct, repeat_pct, upper_pct, bang_pct INTO NAME rule VALUE m)
-      JOIN lab USING (doc_id) GROUP BY stratum, rule, m),
+s AS (SELECT stratum, copy, max(quality) = 1 AS good, substr(copy, 1, 1) < '8' AS chooses, any_value(symbol_pct) AS symbol_pct, any_value(dup_line_pct) AS dup_line_pct,
+             any_value(repeat_pct) AS repeat_pct, any_value(upper_pct) AS upper_pct, any_value(bang_pct) AS bang_pct FROM p JOIN lab USING (doc_id) GROUP BY stratum, copy),
+u AS (UNPIVOT s ON symbol_pct, dup_line_pct, repeat_pct, upper_pct, bang_pct INTO NAME rule VALUE m),
+v AS (SELECT stratum, rule, m, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM u WHERE chooses GROUP BY stratum, rule, m),
 t AS (SELECT stratum, rule, m, sum(good) OVER (PARTITION BY stratum, rule) AS n, sum(good) OVER (PARTITION BY stratum, rule ORDER BY m DESC) AS k,
              sum(bad) OVER (PARTITION BY stratum, rule ORDER BY m DESC) AS g FROM v),
-c AS (SELECT stratum, rule, m, g - k AS gain FROM t WHERE n > 0 AND g > k AND k <= n * 0.01
+best AS (SELECT stratum, rule, m, g - k AS gain FROM t WHERE g > k AND k <= n * 0.01 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY g - k DESC, m DESC) = 1),
+chosen AS (SELECT stratum, rule, m, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, rule) AS place FROM best),
+first_ AS (SELECT u.stratum, u.copy, min(CASE WHEN u.m >= c.m THEN c.place END) AS place FROM u JOIN chosen c USING (stratum, rule) WHERE good AND NOT chooses GROUP BY u.stratum, u.copy),
+lost AS (SELECT c.stratum, c.rule, c.m, count(*) AS n, count(*) FILTER (f.place <= c.place) AS k FROM chosen c JOIN first_ f USING (stratum) GROUP BY c.stratum, c.rule, c.m),
+cut AS (SELECT stratum, rule, m FROM lost WHERE k <= n * 0.01
       AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99))))
-          <= 0.05 / (5 * (SELECT count(DISTINCT stratum) FROM v))),
-cut AS (SELECT stratum, rule, m FROM c QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, m DESC) = 1),
+          <= 0.05 / (SELECT count(DISTINCT stratum) FROM s)),
 hit AS (SELECT DISTINCT doc_id FROM (UNPIVOT (SELECT doc_id, stratum, symbol_pct, dup_line_pct, repeat_pct, upper_pct, bang_pct FROM p) ON symbol_pct, dup_line_pct, repeat_pct, upper_pct, bang_pct INTO NAME rule VALUE m) x
         JOIN cut ON cut.stratum = x.stratum AND cut.rule = x.rule AND x.m >= cut.m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,

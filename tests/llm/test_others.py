@@ -249,11 +249,72 @@ def test_binomial_tail(spark):
         assert got == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-9)
 
 
+def feature_rows(spark, rows):
+    """(doc_id, stratum, quality, percentages of the rules) as features and labels; every row is a text of its own."""
+    feats = spark.createDataFrame([(i, s, hashlib.md5(str(i).encode()).hexdigest(), *m) for i, s, _, m in rows], "doc_id long, stratum string, copy string, " + ", ".join(f"{r} int" for r in R.RULES))
+    return feats, spark.createDataFrame([(i, q) for i, _, q, _ in rows], "doc_id long, quality int")
+
+
 def test_cutoffs_keep_their_promise(spark):
-    rows = [(i, "en", 1 if i % 10 else 0, 0 if i % 10 else 40) for i in range(10000)] + [(10000 + i, "xx", 1, 0) for i in range(20)]
-    feats = spark.createDataFrame([(i, s, m) for i, s, _, m in rows], "doc_id long, stratum string, symbol_pct int").withColumns({c: F.lit(0) for c in R.RULES[1:]})
-    cuts = {r.stratum: r.symbol_pct for r in R.cutoffs(feats, spark.createDataFrame([(i, q) for i, _, q, _ in rows], "doc_id long, quality int")).collect()}
+    rows = [(i, "en", 1 if i % 10 else 0, (0 if i % 10 else 40, 0, 0, 0, 0)) for i in range(10000)] + [(10000 + i, "xx", 1, (0,) * 5) for i in range(20)]
+    cuts = {r.stratum: r.symbol_pct for r in R.cutoffs(*feature_rows(spark, rows)).collect()}
     assert cuts == {"en": 40}
+    again = [(i, "en", 1 if i % 10 else 0, (0 if i % 10 else 40, 0, 0, 0, 0)) for i in range(400)]
+    feats, labels = feature_rows(spark, again)
+    copies = feats.withColumn("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda k: F.col("doc_id") + 1000 * k)))
+    labels = labels.withColumn("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda k: F.col("doc_id") + 1000 * k)))
+    assert all(r.symbol_pct is None for r in R.cutoffs(copies, labels).collect())  # copies are not further evidence
+
+
+def test_rules_together_reject_less_than_alpha(spark):
+    """Each rule rejects other 0.6 % of the good documents: fit for the bound one by one, not together."""
+    rng = np.random.default_rng(1)
+    rows, n = [], 12000
+    for i in range(n):
+        good = i % 4 > 0
+        hit = int(rng.integers(5)) if rng.random() < (0.03 if good else 0.9) else -1
+        rows.append((i, "en", int(good), tuple(60 if hit == r else 0 for r in range(5))))
+    (cut,) = R.cutoffs(*feature_rows(spark, rows)).collect()
+    on = [r for r in range(5) if cut[R.RULES[r]] is not None]
+    lost = np.mean([any(m[r] >= 60 for r in on) for _, _, q, m in rows if q])
+    assert len(on) == 1 and lost < R.ALPHA
+
+
+def test_rules_against_sql_where_cutoffs_exist(spark, docs, duck):
+    """Enough labelled documents for cutoffs: the given ones thirty times, with a word of their own each."""
+    many = docs.select("doc_id", "text", "lang").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(29)))).selectExpr("doc_id * 30 + k AS doc_id", "concat(text, ' word', k) AS text", "lang")
+    labels = many.selectExpr("doc_id", "CAST(NOT (text RLIKE '[#*$%&|<>]{3}') AND length(text) - length(replace(text, '!', '')) < 5 AS INT) AS quality")
+    got = {r.doc_id: (r.n_words, r.base_failed, r.kept) for r in R.judge_quality(many, labels).collect()}
+    d, l = many.toPandas(), labels.toPandas()  # noqa: E741, F841: DuckDB reads them
+    import duckdb
+
+    with duckdb.connect() as own:
+        own.register("documents", d)
+        own.register("labels", l)
+        want = {r[0]: r[1:] for r in own.sql("SELECT doc_id, n_words, base_failed, kept FROM (" + SQL["op7_rules"] + ")").fetchall()}
+    assert got == want
+    assert sum(not kept and not failed for _, failed, kept in got.values()) > 0
+
+
+def test_aliases_against_sql(spark):
+    """Pages with absolute, rooted, relative and scheme-relative links, in chains and rings, through both."""
+    import duckdb
+
+    rng = np.random.default_rng(2)
+    hosts = ["a.org", "b.net", "www.example.net", "C.example.com", "d.example.org"]
+    url = lambda: f"http://{rng.choice(hosts)}{rng.choice(['/en/', '/de/', '/fr/', '/'])}{rng.integers(12)}{rng.choice(['', '?q=1', '#top'])}"
+    link = lambda: str(rng.choice([url(), "/fr/3", "5", "//b.net/7", "/de/2#x", url()]))
+    pages = []
+    for i in range(80):
+        kind = rng.integers(4)
+        html = {0: "", 1: f'<link rel="canonical" href="{link()}">', 2: f"<meta http-equiv='refresh' content='0; url={link()}'>"}.get(int(kind))
+        pages.append((i, url(), html))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge_urls(df, URL_RULES).collect()}
+    with duckdb.connect() as own:
+        own.register("pages", df.toPandas())
+        want = {r[0]: r[1:] for r in own.sql("SELECT page_id, host, path, rule, verdict FROM (" + SQL["op8_url_filter"] + ")").fetchall()}
+    assert got == want and sum(v[3] == "block" and v[2] is None for v in got.values()) > 0
 
 
 def test_rules_of_odd_rows(odd_docs, no_docs, no_labels):
