@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import WORD, ship
 
+ASCII_WORD = re.compile(WORD)
 #: Words of a passage.
 PASSAGE = 64
-#: Labelled documents that the model is fitted on, at most.
-TRAIN_ROWS = 8000
+#: Labelled documents that the model is fitted on, at most, and passages of each, evenly spaced; scores use all passages.
+TRAIN_ROWS, TRAIN_PASSAGES = 8000, 16
+#: Hash buckets that a passage's words are counted in, and words whose bucket a Python worker remembers.
+BUCKETS, REMEMBERED = 128, 500_000
 #: Score from which a document is accepted.
 ACCEPT = 0.3
 
@@ -34,12 +39,24 @@ def _classes() -> np.ndarray:
 
 CLASS = _classes()
 CLASSES = int(CLASS.max()) + 1
-FEATURES = CLASSES + 6
+RATIOS = 6
+FEATURES = CLASSES + RATIOS + BUCKETS
+
+_buckets: dict[str, int] = {}
+
+
+def bucket(word: str) -> int:
+    """The hash bucket of a word without regard to case; the same in every worker."""
+    out = crc32(word.lower().encode("utf-8", "replace")) % BUCKETS
+    if len(_buckets) < REMEMBERED and len(word) < 40:
+        _buckets[word] = out
+    return out
 
 
 def passages(text: str) -> np.ndarray:
-    """One row of features for each passage of the whole text; a text without a word has one row of zeros."""
-    words = text.split()
+    """One row of features for each passage of the whole text: shares of kinds of characters, ratios of its words, and
+    how often its words fall in each hash bucket. A text without a word has one row of zeros."""
+    words = ASCII_WORD.findall(text)
     if not words:
         return np.zeros((1, FEATURES), np.float32)
     n = -(-len(words) // PASSAGE)
@@ -55,10 +72,13 @@ def passages(text: str) -> np.ndarray:
     counts = np.bincount(passage * CLASSES + CLASS[raw], minlength=n * CLASSES).reshape(n, CLASSES)
     size = np.maximum(counts.sum(axis=1), 1)
     out[:, :CLASSES] = counts / size[:, None]
+    of = [b if b is not None else bucket(w) for w, b in zip(words, map(_buckets.get, words), strict=True)]
+    found = np.bincount(np.arange(len(words)) // PASSAGE * BUCKETS + np.array(of), minlength=n * BUCKETS).reshape(n, BUCKETS)
+    out[:, CLASSES + RATIOS :] = np.sqrt(found / PASSAGE)
     for i, part in enumerate(parts):
         k = len(part)
         same = sum(map(str.__eq__, part, part[1:]))
-        out[i, CLASSES:] = (len(set(part)) / k, same / k, sum(map(len, part)) / k / 10, np.log1p(k) / 4, sum(map(str.isupper, part)) / k, k < 8)
+        out[i, CLASSES : CLASSES + RATIOS] = (len(set(part)) / k, same / k, sum(map(len, part)) / k / 10, np.log1p(k) / 4, sum(map(str.isupper, part)) / k, k < 8)
     return out
 
 
@@ -78,18 +98,17 @@ def forward(model: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> t
     return _sigmoid(z @ model["c"] + model["c0"]), z, a, h, t, g, sizes
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, attention: int = 8, steps: int = 700, batch: int = 384, seed: int = 7) -> dict[str, np.ndarray]:
+def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, attention: int = 8, steps: int = 500, batch: int = 256, seed: int = 7) -> dict[str, np.ndarray]:
     """Weights learned by Adam from document labels alone: passages carry no labels, attention finds those that tell."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags).astype(np.float64)
-    mean, sd = every.mean(axis=0), every.std(axis=0) + 1e-3
-    bags = [((x - mean) / sd).clip(-8, 8) for x in bags]
-    d = every.shape[1]
+    n, d = sum(map(len, bags)), bags[0].shape[1]
+    mean = sum(x.sum(axis=0, dtype=np.float64) for x in bags) / n
+    sd = np.sqrt(sum(((x - mean) ** 2).sum(axis=0) for x in bags) / n) + 1e-3
     p = {"W": rng.normal(0, d**-0.5, (d, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, 0.3, (hidden, attention)), "U": rng.normal(0, 0.3, (hidden, attention)), "w": rng.normal(0, 0.3, attention), "c": rng.normal(0, 0.3, hidden), "c0": np.zeros(1)}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         pick = rng.choice(len(bags), min(batch, len(bags)), replace=False)
-        x, y = np.concatenate([bags[i] for i in pick]), labels[pick]
+        x, y = ((np.concatenate([bags[i] for i in pick]) - mean) / sd).clip(-8, 8), labels[pick]
         first = np.concatenate(([0], np.cumsum([len(bags[i]) for i in pick])[:-1]))
         score, z, a, h, t, g, sizes = forward(p, x, first)
         dl = (score - y) / len(pick)
@@ -112,8 +131,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def some_passages(text: str) -> np.ndarray:
+    """At most TRAIN_PASSAGES evenly spaced passages of a text."""
+    x = passages(text)
+    return x if len(x) <= TRAIN_PASSAGES else x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).round().astype(int)]
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """The model of at most ``rows`` labelled documents that are not held out, the first by a hash of the id.
+    """The model of at most ``rows`` labelled documents that are not held out, the first by a hash of the id, of which
+    each gives at most TRAIN_PASSAGES passages.
 
     Ids with no label, a null label or no document teach nothing; of several labels of an id the largest counts.
     Without any label, or with one kind only, the model is that constant (0.5 without any).
@@ -124,15 +150,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [passages(x.as_py() or "").tobytes() for x in batch.column(2)]
+            out = [some_passages(x.as_py() or "").tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
 
     read = found.select(F.col("doc_id").cast("long"), "y", F.col("text").cast("string")).mapInArrow(run, "doc_id long, y double, x binary")
-    got = sorted(((r.doc_id, r.x, r.y) for r in read.collect()), key=lambda r: r[:2])[:rows]  # a bounded sample
-    y = np.array([r[2] for r in got])
+    got = read.orderBy("doc_id", "x").limit(rows).collect()  # ``rows`` rows of TRAIN_PASSAGES passages at most, also where ids repeat
+    y = np.array([r.y for r in got])
     if len(set(y.tolist())) < 2:
         return {"constant": float(y[0]) if len(y) else 0.5}
-    return fit([np.frombuffer(r[1], np.float32).reshape(-1, FEATURES) for r in got], y)
+    return fit([np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got], y)
 
 
 def score_texts(texts: list[str], model: dict) -> np.ndarray:

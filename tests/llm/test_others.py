@@ -231,6 +231,40 @@ def test_scores_of_odd_rows(spark, odd_docs, no_docs, no_labels):
     assert Q.classify(no_docs, labels).count() == 0 and Q.drop_rejected(no_docs, no_labels).count() == 0
 
 
+def test_scores_against_loops(docs):
+    """The attention pooling once more, passage by passage and number by number."""
+    from math import exp, tanh
+
+    texts = [r.text for r in docs.orderBy("doc_id").limit(12).collect()] + ["", "one\u00a0word", "x " * 500]
+    bags = [Q.passages(x) for x in texts]
+    y = np.array([float(i % 2) for i in range(len(texts))])
+    model = Q.fit(bags, y, steps=20, batch=8)
+    plain = {k: v.tolist() for k, v in model.items()}
+    dot = lambda x, name: [sum(a * b for a, b in zip(x, column)) for column in zip(*plain[name])]
+    got = Q.score_texts(texts, model)
+    for text, bag, score in zip(texts, bags, got):
+        assert len(bag) == max(1, -(-len(re.findall(r"[^\x20\x09-\x0D]+", text)) // Q.PASSAGE))
+        hidden, gates = [], []
+        for row in bag.tolist():
+            x = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(row, plain["mean"], plain["sd"])]
+            h = [tanh(a + b) for a, b in zip(dot(x, "W"), plain["b"])]
+            gate = sum(tanh(t) / (1 + exp(-u)) * w for t, u, w in zip(dot(h, "V"), dot(h, "U"), plain["w"]))
+            hidden.append(h)
+            gates.append(exp(gate))
+        bagged = [sum(g * h[k] for g, h in zip(gates, hidden)) / sum(gates) for k in range(len(hidden[0]))]
+        assert score == pytest.approx(1 / (1 + exp(-(sum(a * b for a, b in zip(bagged, plain["c"])) + plain["c0"][0]))), rel=1e-5)
+
+
+def test_words_tell_where_characters_do_not(spark):
+    """Two kinds of texts of the same letters: only the words themselves tell them apart."""
+    rng = np.random.default_rng(0)
+    good, bad = ["stone", "later", "night"], ["notes", "alert", "thing"]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad, 90))) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = Q.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out]) > 0.9
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, Q.FEATURES)) for n in (1, 3, 2, 5) * 20]
