@@ -7,10 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, ship, trimmed, written
+from .common import connected_components, named, ship, trimmed, written
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -283,10 +282,12 @@ def similar_groups(docs: DataFrame, share: float = 0.8, block: int = BLOCK) -> D
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of the smallest doc_id; all columns stay.
 
-    Of repeated rows of a doc_id one stays; rows without doc_id all stay, for they are in no group.
+    Of repeated rows of a doc_id one stays, that of the smallest hash of its text; rows without doc_id all stay, for they
+    are in no group.
     """
     gone = similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    (row,) = fresh(docs, "_row")
-    once = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn(row, F.row_number().over(once)).where((F.col(row) == 1) | F.col("doc_id").isNull()).drop(row)
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*map(named, docs.columns))
+    row = F.struct(*[F.col(named(c)).alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    one = kept.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("_row"))  # partial results from each task
+    once = one.select(*[F.col(f"_row._{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return once.unionByName(docs.where("doc_id is null"))
