@@ -17,8 +17,8 @@ from .common import fresh, named, ship, written
 
 #: Words, and parts of words, whose ids a Python worker remembers.
 REMEMBERED = 300_000
-#: Slices of each length class, so that a length which most pieces share is ranked by many tasks.
-SLICES = 16
+#: Pieces of a slice of a length class, about: a length which most pieces share is ranked by many tasks.
+SLICE_ROWS = 20_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -171,9 +171,10 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     slice of its length class, and the plan turns ranks into places. An empty table gives an empty table.
     """
     slice_, rank, before_, n_ = fresh(pieces, "_slice", "_rank", "_before", "_n")
-    sliced = pieces.withColumn(slice_, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)))
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}  # capacity rows at most
+    slices = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // SLICE_ROWS))) for n in range(max(counts, default=0) + 1)])
+    sliced = pieces.withColumn(slice_, F.pmod(F.xxhash64("doc_id", "piece"), F.get(slices, F.col("length").cast("int"))))
     sizes = sliced.groupBy("length", slice_).agg(F.count("*").alias(n_))
-    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum(n_)).collect()}  # capacity rows at most
     lengths, starts, stops, copies, bases, offsets = [], [], [], [], [], []
     base, used = 0, dict.fromkeys(counts, 0)
     for pattern, times in plan_bins(counts, capacity):
@@ -194,7 +195,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     order_by = ["doc_id", "piece", *[named(c) for c in names if c not in ("doc_id", "piece", "length", "ids")]]
     ranked = (
         sliced.withColumn(rank, F.row_number().over(W.partitionBy("length", slice_).orderBy(*order_by)) - 1)
-        .join(F.broadcast(before.select("length", slice_, before_)), ["length", slice_])  # capacity * SLICES rows at most
+        .join(F.broadcast(before.select("length", slice_, before_)), ["length", slice_])  # a row for SLICE_ROWS pieces, and capacity more
         .select(*map(named, names), (F.col(rank) + F.col(before_)).cast("long").alias(rank))
     )
     schema = ranked.select(*map(named, names), F.col(rank).alias("sequence_id"), F.col(rank).alias("offset")).schema
