@@ -15,6 +15,8 @@ SHINGLE, BINS, BITS = 5, 256, 4
 SHIFT = 56
 EMPTY = (1 << SHIFT) - 1
 PER_LONG = 64 // BITS
+#: Text bytes of a range of doc_ids, about, and ids sampled for each range.
+RANGE_BYTES, SAMPLE = 64 << 20, 40
 #: Attempts at filling a bin, in steps between which a fingerprint without empty bins is done.
 ATTEMPTS = ((1, 8), (9, 32), (33, BINS))
 
@@ -117,20 +119,36 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (1 - differ / F.lit(float(BINS)) - chance) / (1 - chance))
 
 
+def range_of(key: Column, limits: list[int], step: int) -> Column:
+    """How many of the sorted ``limits`` are at most ``key``: first among each ``step``-th, then in that stretch."""
+    if not limits:
+        return F.lit(0)
+    every = longs(limits) if -(2**63) not in limits else F.array(*[F.lit(x) for x in limits])
+    tops = longs(limits[step - 1 :: step]) if -(2**63) not in limits else F.array(*[F.lit(x) for x in limits[step - 1 :: step]])
+
+    def within(c: Column) -> Column:
+        return c * step + F.size(F.filter(F.slice(every, c * step + 1, F.lit(step)), lambda b: b <= key))
+
+    return let(F.size(F.filter(tops, lambda b: b <= key)), within)
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, text, fp and those of the next row by descending doc_id (after the last: the first): next_text, next_fp.
 
-    Rows are dealt into ranges of doc_id with about equal counts. The first row of each range is copied behind the last
+    Rows are dealt into ranges of doc_id with about equal counts, between splitters from a sample of ids. The first row of each range is copied behind the last
     of the range before it, so one shuffle brings every row to its next one and no range needs another. Only the
     ranges' bounds and first ids come to the driver. Rows of one id are ordered by a hash of their texts.
     """
     spark = docs.sparkSession
-    n = min(buckets or 2 * parts(spark), 1024)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or [] if n > 1 else []
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    limits = longs(sorted(set(bounds)) or [0])
-    rows = rows.withColumn("bucket", F.size(F.filter(limits, lambda b: b <= key)))
+    count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = buckets or max(2 * parts(spark), size // RANGE_BYTES)
+    some = rows.select(key.alias("id")).sample(fraction=min(1.0, SAMPLE * n / max(count, 1)), seed=7)
+    ids = sorted(r.id for r in some.collect())  # SAMPLE numbers for each range
+    limits = sorted({ids[len(ids) * i // n] for i in range(1, n)}) if ids else []
+    step = max(1, round(len(limits) ** 0.5))
+    rows = rows.withColumn("bucket", range_of(key, limits, step))
     tops = rows.groupBy("bucket").agg(F.max(F.struct(key.alias("id"), "h")).alias("top")).collect()  # a row for each range
     tops = sorted(((r.bucket, r.top.id, r.top.h) for r in tops), reverse=True)
     own = rows.select("doc_id", "text", "h", "bucket", F.lit(0).alias("copy"))
