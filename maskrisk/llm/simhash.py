@@ -102,7 +102,10 @@ def spanning(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 
 class Linker:
-    """Links within runs of rows of equal key; what is already joined in this task is not passed on again."""
+    """Joins rows within runs of rows of equal key; at its end each joined row has one link, to the smallest joined with it.
+
+    So tasks that see the same group under other keys mostly name the same links.
+    """
 
     SMALL = 24
 
@@ -116,29 +119,27 @@ class Linker:
             x = up[x]
         return x
 
-    def new(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        out = []
+    def join(self, pairs: list[tuple[int, int]]) -> None:
         for x, y in pairs:
             s, t = self.top(x), self.top(y)
             if s != t:
                 self.up[max(s, t)] = min(s, t)
-                out.append((x, y))
-        return out
 
-    def runs(self, key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
+    def links(self) -> list[tuple[int, int]]:
+        return [(x, t) for x in list(self.up) if (t := self.top(x)) != x]
+
+    def runs(self, key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> None:
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(first, len(key)))
-        pairs: list[tuple[int, int]] = []
         for n in np.unique(size[(size > 1) & (size <= self.SMALL)]).tolist():  # all pairs of all short runs of a length at once
             at = first[size == n]
             i, j = np.triu_indices(n, 1)
             a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
             near = np.flatnonzero(differing(fps[a], fps[b]) <= self.bits)
-            pairs += zip(node[a[near]].tolist(), node[b[near]].tolist(), strict=True)
+            self.join(zip(node[a[near]].tolist(), node[b[near]].tolist(), strict=True))
         for at, n in zip(first[size > self.SMALL].tolist(), size[size > self.SMALL].tolist(), strict=True):
             own = node[at : at + n]
-            pairs += [(int(own[i]), int(own[j])) for i, j in spanning(fps[at : at + n], self.bits)]
-        return self.new(pairs)
+            self.join([(int(own[i]), int(own[j])) for i, j in spanning(fps[at : at + n], self.bits)])
 
 
 def around(part: Column, tag: Column, masks: list[int]) -> Column:
@@ -154,7 +155,7 @@ def near_links(nodes: DataFrame, words: int, m: int, sure: int, bits: int) -> Da
     Multi-index hashing. Every fingerprint is entered in a table for each segment, and it enumerates the small Hamming
     ball around each of its segments; what meets under a key is verified over all bits. Of a pair only the one whose
     lowest differing bit of the segment is 0 looks for the other, so half of a ball is enumerated. Rows are dealt by key
-    and sorted, and each task passes on a forest of what it verified, so a dense group is never written out as pairs.
+    and sorted, and each task passes on one link for each row that it joined, so a dense group is never written out as pairs.
     """
     names = [f"f{j}" for j in range(words)]
     keys = []
@@ -172,10 +173,13 @@ def near_links(nodes: DataFrame, words: int, m: int, sure: int, bits: int) -> Da
                 now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last key may go on
             held = tuple(x[cut:] for x in now)
-            if cut and (found := linker.runs(*(x[:cut] for x in now))):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
-        if held is not None and len(held[0]) and (found := linker.runs(*held)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+            if cut:
+                linker.runs(*(x[:cut] for x in now))
+        if held is not None and len(held[0]):
+            linker.runs(*held)
+        found = linker.links()
+        for at in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found[at : at + 10_000], strict=True)], ["a", "b"])
 
     rows = ship(nodes).select(F.explode(F.concat(*keys)).alias("key"), F.col("node").cast("long").alias("node"), *names)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
