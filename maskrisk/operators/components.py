@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import dice_loss, hash_unit
+from ..functions.shared import shared_dir
 
 
 def _settled(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder, which cuts the growing lineage of a loop."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

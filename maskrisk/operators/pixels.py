@@ -117,9 +117,7 @@ def level_set_risk(px: DataFrame, key: list[str], weights: dict[float, float], l
     ``loss`` is a function of columns (overlap, level size, action size). Thresholds lie in (0, 1) and rise; weights are
     not negative and sum to 1.
     """
-    at = sorted(weights)
-    if not at or at[0] <= 0 or at[-1] >= 1 or min(weights.values()) < 0 or abs(sum(weights.values()) - 1) > 1e-9:
-        raise ValueError("thresholds must lie in (0, 1), weights must not be negative and must sum to 1")
+    at = checked_nodes(weights)
     ladders = count_ladders(px, key, at, gamma)
     size = F.col("action")
     each = F.zip_with("z", "w", lambda z, w: loss(z, z + w, size))
@@ -127,6 +125,28 @@ def level_set_risk(px: DataFrame, key: list[str], weights: dict[float, float], l
     return ladders.select(*key, total.alias("risk"))
 
 
+def mask_risk(px: DataFrame, key: list[str], weights: dict[float, float], loss, gamma: float = 0.5) -> DataFrame:
+    """risk: the weighted sum over thresholds of any loss of two masks, as one that needs places and not only counts.
+
+    ``loss`` turns (masks, key) into rows of key and loss; masks has key, y, x, level and action, both 0 or 1, and its
+    key is that of the image and t, the threshold. Every pixel comes once for each threshold: where counts suffice,
+    ``level_set_risk`` is cheaper. Thresholds and weights are as there.
+    """
+    at = checked_nodes(weights)
+    each = px.select(*key, "y", "x", "p", F.explode(F.array(*[F.lit(float(t)) for t in at])).alias("t"))
+    masks = each.select(*key, "t", "y", "x", (F.col("p") >= F.col("t")).cast("int").alias("level"), (F.col("p") >= gamma).cast("int").alias("action"))
+    weight = F.element_at(F.create_map(*[F.lit(float(x)) for t in at for x in (t, weights[t])]), F.col("t"))
+    return loss(masks, [*key, "t"]).groupBy(*key).agg(F.sum(weight * F.col("loss")).alias("risk"))
+
+
+def checked_nodes(weights: dict[float, float]) -> list[float]:
+    """The thresholds in order; they lie in (0, 1), and weights are not negative and sum to 1."""
+    at = sorted(weights)
+    if not at or at[0] <= 0 or at[-1] >= 1 or min(weights.values()) < 0 or abs(sum(weights.values()) - 1) > 1e-9:
+        raise ValueError("thresholds must lie in (0, 1), weights must not be negative and must sum to 1")
+    return at
+
+
 def exact_dice(px: DataFrame, key: list[str], gamma: float = 0.5) -> DataFrame:
     """confidence_dice_exact: minus the Dice risk integrated over all thresholds, from distinct probabilities."""
     a = F.col("p") >= gamma

@@ -123,30 +123,44 @@ def rank_disagreement(rows: DataFrame, cond: list[str], key: str, left: str, rig
     return r.withColumn("gap", F.abs(F.col("left_rank") - F.col("right_rank")))
 
 
-def failures(rows: DataFrame, cond: list[str], key: str, losses: dict[str, str]) -> DataFrame:
-    """Candidates of confident failure for each loss: observed risk, and how much it exceeds what the score predicts."""
-    out = None
-    for risk, score in losses.items():
-        one = rows.select(*cond, key, F.lit(risk).alias("loss"), F.col(risk).alias("risk"), (F.col(risk) + F.col(score)).alias("excess")).where("excess > 0")
-        out = one if out is None else out.unionByName(one)
-    return out
+def failures(rows: DataFrame, cond: list[str], key: str, losses: dict[str, str], action: str) -> DataFrame:
+    """Candidates of two kinds for each loss (risk column to score column): cond, key, kind, loss, risk, value.
+
+    confident_failure: every row, with value the observed risk less what the score predicts. empty_action: rows whose
+    ``action`` is 0, with value the observed risk. Rows with a null risk, score or action are no candidates of that kind.
+    """
+    each = F.array(*[F.struct(F.lit(r).alias("loss"), F.col(r).alias("risk"), F.col(c).alias("score")) for r, c in losses.items()])
+    one = rows.select(*cond, key, F.col(action).alias("_a"), F.explode(each).alias("x")).select(*cond, key, "_a", "x.*")
+    kinds = F.array(F.struct(F.lit("confident_failure").alias("kind"), (F.col("risk") + F.col("score")).alias("value")), F.struct(F.lit("empty_action").alias("kind"), F.when(F.col("_a") == 0, F.col("risk")).alias("value")))
+    return one.select(*cond, key, "loss", "risk", F.explode(kinds).alias("y")).select(*cond, key, "y.kind", "loss", "risk", "y.value").where("value is not null")
 
 
-def pick_cases(candidates: DataFrame, group: list[str], key: str, kinds: list[str]) -> DataFrame:
-    """One case of each kind in each group, kinds in order, no key twice in a group; value null where none is left.
+def pick_cases(candidates: DataFrame, group: list[str], key: str, kinds: list[str], ties: list[str]) -> DataFrame:
+    """One case of each kind in each group, kinds in order: group, kind, status, reason, fallback, value and ``ties``.
 
-    ``candidates`` has group, key, kind and value; the largest value wins, the smallest key of equals. Each kind is one
-    window after an anti join with what earlier kinds took, so rounds are as many as kinds, not as groups.
+    ``candidates`` has group, kind, value and the columns ``ties``, of which ``key`` is one. The largest value wins, the
+    smallest ``ties`` of equals. A key that an earlier kind took in the group is taken again only where the kind has no
+    other, and fallback is 1 then. Where a kind has no candidate at all, status is unavailable, with a reason.
+
+    Each kind is one aggregation with partial results after a join with what earlier kinds took; rounds are as many as
+    kinds, not as groups. ``candidates`` should be a written table, as each round reads it. Rows with a null value are
+    no candidates; repeated rows change nothing; an empty table gives an empty table.
     """
+    candidates = candidates.where("value is not null")
     groups = candidates.select(*group).distinct()
-    taken = None
+    taken, out = None, None
     for kind in kinds:
         left = candidates.where(F.col("kind") == kind)
+        used = F.lit(0)
         if taken is not None:
-            left = left.join(taken.select(*group, key), [*group, key], "left_anti")
-        best = left.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("value"), key))).where("_r = 1").select(*group, key, "value")
-        one = groups.join(best, group, "left").withColumn("kind", F.lit(kind))
-        taken = one if taken is None else taken.unionByName(one)
-    return taken.select(*group, "kind", key, "value")
-
-
+            left, used = left.join(taken, [*group, key], "left"), F.coalesce("_used", F.lit(0))
+        best = left.groupBy(*group).agg(F.min(F.struct(used.alias("fallback"), (-F.col("value")).alias("_v"), *ties)).alias("b")).select(*group, "b.*")
+        now = best.select(*group, key, F.lit(1).alias("_used"))
+        taken = now if taken is None else taken.unionByName(now).distinct()
+        found = F.col("fallback").isNotNull()
+        one = groups.join(best, group, "left").select(
+            *group, F.lit(kind).alias("kind"), F.when(found, "selected").otherwise("unavailable").alias("status"), F.when(~found, F.lit(f"no candidate of kind {kind}")).alias("reason"),
+            F.coalesce("fallback", F.lit(0)).alias("fallback"), (-F.col("_v")).alias("value"), *ties,
+        )
+        out = one if out is None else out.unionByName(one)
+    return out

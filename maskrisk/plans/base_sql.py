@@ -15,7 +15,7 @@ REC = """rec AS (
 
 DISC = """disc AS (
   WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 AS r FROM lineitem),
-  k AS (SELECT l_suppkey AS s, CAST(floor(r / 24) AS INT) AS y, CAST(r % 24 AS INT) AS x, CAST(round(100 * l_discount) AS INT) AS d, CAST(round(100 * l_tax) AS INT) AS t FROM r WHERE r < 504),
+  k AS (SELECT l_suppkey AS s, CAST(floor(r / 24) AS INT) AS y, CAST(r % 24 AS INT) AS x, CAST(round(100 * l_discount) AS INT) AS d, CAST(round(100 * l_tax) AS INT) AS t FROM r),
   g AS (SELECT s, y, x, d, t, (y-10-s%3)*(y-10-s%3) + (x-11-s%4)*(x-11-s%4) AS d2, 25+s%40 AS r2 FROM k)
   SELECT 'disc' AS dataset, CAST(s % 5 AS VARCHAR) AS condition, s AS sample_id, y, x, CAST(r2 AS DOUBLE) / (r2+d2+d) AS p, CASE WHEN d2+t <= r2 THEN 1 ELSE 0 END AS truth FROM g)"""
 

@@ -74,16 +74,31 @@ def levels(m: int, name: str) -> str:
 
 
 for name, col in (("q4_nhd_ladder", "nhd"), ("q5_nhd95_ladder", "nhd95")):
-    cols = tuple(f"confidence_{col}_m{m}" for m in (2, 8))
-    add(name, lambda s, d, c=cols: geometry.distance_ladder(large_pixels(s, d), KEY, [2, 8]).select(*KEY, *c), f"{DISC}, {levels(2, 'x')}, {levels(8, 'z')} SELECT {K}, {r('x.' + col, cols[0])}, {r('z.' + col, cols[1])} FROM x JOIN z USING ({K})", cols)
+    cols = tuple(f"confidence_{col}_m{m}" for m in (2, 8, 32))
+    add(
+        name, lambda s, d, c=cols: geometry.distance_ladder(large_pixels(s, d), KEY, [2, 8, 32]).select(*KEY, *c),
+        f"{DISC}, {levels(2, 'x')}, {levels(8, 'z')}, {levels(32, 'v')} SELECT {K}, {r('x.' + col, cols[0])}, {r('z.' + col, cols[1])}, {r('v.' + col, cols[2])} FROM x JOIN z USING ({K}) JOIN v USING ({K})", cols,
+    )
+
+
+def nhd_loss(masks, key):
+    return geometry.mask_distances(masks, key, "level", "action").select(*key, F.col("nhd").alias("loss"))
+
+
+KT = f"{K}, t"
+add("q2_mask_loss", lambda s, d: P.mask_risk(large_pixels(s, d), KEY, {0.25: 0.25, 0.75: 0.75}, nhd_loss),
+    f"""{DISC}, qv AS (SELECT {K}, y, x, t, w, CAST(p >= t AS INT) AS v, CAST(p >= 0.5 AS INT) AS a FROM disc, (VALUES (0.25::DOUBLE, 0.25::DOUBLE), (0.75::DOUBLE, 0.75::DOUBLE)) AS g(t, w)),
+ {surf('ql', 'qv', 'v', KT)}, {surf('qa', 'qv', 'a', KT)}, {pooled('qd', 'ql', 'qa', KT)},
+ qs AS (SELECT {KT}, max(w) AS w, sqrt((max(y) + 1) * (max(y) + 1) + (max(x) + 1) * (max(x) + 1)) AS diagonal, sum(v) AS ls, sum(a) AS rs FROM qv GROUP BY {KT})
+ SELECT {K}, {r('sum(w * ' + capped('m') + ')', 'risk')} FROM qs LEFT JOIN qd USING ({KT}) GROUP BY {K}""", ("risk",))
 
 
 def q8(spark, sf_dir):
     """Scores of the fine and of the working grid, and their difference, for each image."""
     px = large_pixels(spark, sf_dir)
     dice = P.dice_ladder(px, KEY, [32, 128])
-    nhd = geometry.distance_ladder(px, KEY, [8, 16])
-    return dice.join(nhd, KEY).select(*KEY, "confidence_dice_m32", "confidence_dice_m128", (F.col("confidence_dice_m32") - F.col("confidence_dice_m128")).alias("dice_error"), (F.col("confidence_nhd_m8") - F.col("confidence_nhd_m16")).alias("nhd_error"), (F.col("confidence_nhd95_m8") - F.col("confidence_nhd95_m16")).alias("nhd95_error"))
+    nhd = geometry.distance_ladder(px, KEY, [32, 128])
+    return dice.join(nhd, KEY).select(*KEY, "confidence_dice_m32", "confidence_dice_m128", (F.col("confidence_dice_m32") - F.col("confidence_dice_m128")).alias("dice_error"), (F.col("confidence_nhd_m32") - F.col("confidence_nhd_m128")).alias("nhd_error"), (F.col("confidence_nhd95_m32") - F.col("confidence_nhd95_m128")).alias("nhd95_error"))
 
 
 def dice_mean(m: int, name: str) -> str:
@@ -91,7 +106,7 @@ def dice_mean(m: int, name: str) -> str:
  {name} AS (SELECT {K}, -avg(CASE WHEN s + a = 0 THEN 0 ELSE 1 - 2.0::DOUBLE * z / (s + a) END) AS c FROM {name}c GROUP BY {K})"""
 
 
-add("q8_fine_grid", q8, f"{DISC}, {dice_mean(32, 'a32')}, {dice_mean(128, 'a128')}, {levels(8, 'x')}, {levels(16, 'z')} SELECT {K}, {r('a32.c', 'confidence_dice_m32')}, {r('a128.c', 'confidence_dice_m128')}, {r('a32.c - a128.c', 'dice_error')}, {r('x.nhd - z.nhd', 'nhd_error')}, {r('x.nhd95 - z.nhd95', 'nhd95_error')} FROM a32 JOIN a128 USING ({K}) JOIN x USING ({K}) JOIN z USING ({K})", ("confidence_dice_m32", "confidence_dice_m128", "dice_error", "nhd_error", "nhd95_error"))
+add("q8_fine_grid", q8, f"{DISC}, {dice_mean(32, 'a32')}, {dice_mean(128, 'a128')}, {levels(32, 'x')}, {levels(128, 'z')} SELECT {K}, {r('a32.c', 'confidence_dice_m32')}, {r('a128.c', 'confidence_dice_m128')}, {r('a32.c - a128.c', 'dice_error')}, {r('x.nhd - z.nhd', 'nhd_error')}, {r('x.nhd95 - z.nhd95', 'nhd95_error')} FROM a32 JOIN a128 USING ({K}) JOIN x USING ({K}) JOIN z USING ({K})", ("confidence_dice_m32", "confidence_dice_m128", "dice_error", "nhd_error", "nhd95_error"))
 
 # --- components ---
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.scores import rounded
+from ..functions.shared import scratch
 from ..operators import assembly as T
 from ..operators import pixels as P
 from ..operators import selective as S
@@ -32,14 +31,6 @@ def add(name: str, run, sql: str | None, digits: tuple[str, ...] = ()) -> None:
     REGISTRY[name] = (query, sql and "WITH " + sql)
 
 
-def scratch(spark, what: str) -> str:
-    """A new folder below the session's shared one."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{what}-{uuid.uuid4().hex}"
-
-
 # --- summaries ---
 ERR = f"e AS (SELECT *, 1 - confidence_sdc AS p, 1 - confidence_sdc - risk_dice AS e FROM rec), wb AS (SELECT {C}, p, risk_dice AS o, ntile(10) OVER (PARTITION BY {C} ORDER BY p, sample_id) AS bin FROM e), wg AS (SELECT {C}, bin, count(*) AS c, abs(avg(p) - avg(o)) AS gap FROM wb GROUP BY {C}, bin), we AS (SELECT {C}, sum(c * gap) / sum(c) AS ece FROM wg GROUP BY {C})"
 add("w1_grouped_reliability", lambda s, d: M.grouped_reliability(records(s, d).withColumn("p", 1 - F.col("confidence_sdc")), COND, "p", "risk_dice", "sample_id"), f"{REC}, {ERR} SELECT {C}, count(*) AS n, {r('avg(e)', 'bias')}, {r('avg(abs(e))', 'mae')}, {r('sqrt(avg(e * e))', 'rmse')}, {r('max(ece)', 'ece')} FROM e JOIN we USING ({C}) GROUP BY {C}", ("bias", "mae", "rmse", "ece"))
@@ -96,12 +87,12 @@ add("w8_seed_direction", lambda s, d: M.seed_direction(seeds(s, d), COND, "diffe
 
 def fine(s, d):
     px = pixels(s, d)
-    f = P.dice_ladder(px, KEY, [8, 32]).join(P.image_scores(px, KEY).select(*KEY, "dice_loss"), KEY)
-    return f.withColumns({"confidence_dice_m8": F.round("confidence_dice_m8", 9), "confidence_dice_m32": F.round("confidence_dice_m32", 9)})
+    f = P.dice_ladder(px, KEY, [32, 128]).join(P.image_scores(px, KEY).select(*KEY, "dice_loss"), KEY)
+    return f.withColumns({"confidence_dice_m32": F.round("confidence_dice_m32", 9), "confidence_dice_m128": F.round("confidence_dice_m128", 9)})
 
 
-add("w9_fine_grid", lambda s, d: M.fine_grid(fine(s, d), COND, "confidence_dice_m8", "confidence_dice_m32", "dice_loss"),
-    f"""{IMG}, {HARM}, {ladder(8, 'l8')}, {ladder(32, 'l32')}, fg AS (SELECT {K}, round(a, 9) AS a, round(b, 9) AS b, {DICE} AS dl FROM (SELECT {K}, -avg({LOSS}) AS a FROM l8 GROUP BY {K}) JOIN (SELECT {K}, -avg({LOSS}) AS b FROM l32 GROUP BY {K}) USING ({K}) JOIN img USING ({K})),
+add("w9_fine_grid", lambda s, d: M.fine_grid(fine(s, d), COND, "confidence_dice_m32", "confidence_dice_m128", "dice_loss"),
+    f"""{IMG}, {HARM}, {ladder(32, 'l8')}, {ladder(128, 'l32')}, fg AS (SELECT {K}, round(a, 9) AS a, round(b, 9) AS b, {DICE} AS dl FROM (SELECT {K}, -avg({LOSS}) AS a FROM l8 GROUP BY {K}) JOIN (SELECT {K}, -avg({LOSS}) AS b FROM l32 GROUP BY {K}) USING ({K}) JOIN img USING ({K})),
     fe AS (SELECT {C}, avg(abs(a - b)) AS mean, quantile_cont(abs(a - b), 0.5) AS median, quantile_cont(abs(a - b), 0.95) AS p95, max(abs(a - b)) AS largest, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS equal_share FROM fg GROUP BY {C}),
     {rho('q', 'fg', C, 'a', 'b')}, {tau('t', 'fg', C, 'a', 'b')}, {area('x', 'fg', C, 'a', 'dl')}, {area('y', 'fg', C, 'b', 'dl')}
     SELECT {C}, """ + ", ".join(r(c, c) for c in ("mean", "median", "p95", "largest", "equal_share", "rho", "tau")) + f", {r('x.aurc - y.aurc', 'aurc_gap')} FROM fe JOIN q USING ({C}) JOIN t USING ({C}) JOIN x USING ({C}) JOIN y USING ({C})", ("mean", "median", "p95", "largest", "equal_share", "rho", "tau", "aurc_gap"))
@@ -164,23 +155,43 @@ add("x1_safety_rank", lambda s, d: records(s, d).transform(lambda df: df.select(
 DIS = f"ds AS (SELECT {K}, {safety('confidence_sdc')} AS left_rank, {safety('confidence_dice_m32')} AS right_rank FROM rec)"
 add("x2_rank_disagreement", lambda s, d: M.rank_disagreement(records(s, d), COND, "sample_id", "confidence_sdc", "confidence_dice_m32"), f"{REC}, {DIS} SELECT {K}, {r('left_rank', 'left_rank')}, {r('right_rank', 'right_rank')}, {r('abs(left_rank - right_rank)', 'gap')} FROM ds", ("left_rank", "right_rank", "gap"))
 LOSSES = {"risk_dice": "confidence_dice_m32", "risk_nhd": "confidence_nhd_m32"}
-FAIL = "fl AS (SELECT dataset, condition, sample_id, 'risk_dice' AS loss, risk_dice AS risk, risk_dice + confidence_dice_m32 AS excess FROM rec WHERE risk_dice + confidence_dice_m32 > 0 UNION ALL SELECT dataset, condition, sample_id, 'risk_nhd', risk_nhd, risk_nhd + confidence_nhd_m32 FROM rec WHERE risk_nhd + confidence_nhd_m32 > 0)"
-add("x3_failures", lambda s, d: M.failures(records(s, d), COND, "sample_id", LOSSES), f"{REC}, {FAIL} SELECT {K}, loss, {r('risk', 'risk')}, {r('excess', 'excess')} FROM fl", ("risk", "excess"))
+ACT = "act AS (SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS action FROM lineitem GROUP BY l_orderkey)"
+FAIL = f"""{ACT}, ro AS (SELECT {K}, action, loss, risk, score FROM (SELECT {K}, 'risk_dice' AS loss, risk_dice AS risk, confidence_dice_m32 AS score FROM rec UNION ALL SELECT {K}, 'risk_nhd', risk_nhd, confidence_nhd_m32 FROM rec) JOIN act ON l_orderkey = sample_id),
+ fl AS (SELECT {K}, 'confident_failure' AS kind, loss, risk, risk + score AS value FROM ro UNION ALL SELECT {K}, 'empty_action', loss, risk, risk FROM ro WHERE action = 0)"""
 
 
-def x4(spark, sf_dir):
-    rec = records(spark, sf_dir)
-    a = M.rank_disagreement(rec, COND, "sample_id", "confidence_sdc", "confidence_dice_m32").select("dataset", "sample_id", F.lit("disagreement").alias("kind"), F.round("gap", 9).alias("value"))
-    b = M.failures(rec, COND, "sample_id", LOSSES).select("dataset", "sample_id", F.col("loss").alias("kind"), F.round("excess", 9).alias("value"))
-    return M.pick_cases(a.unionByName(b), ["dataset"], "sample_id", ["disagreement", "risk_dice", "risk_nhd", "absent"])
+def acted(spark, sf_dir):
+    """Score records with action: the order's returned lines, none for an empty action."""
+    a = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("action"))
+    return records(spark, sf_dir).join(a, "sample_id")
+
 
+add("x3_failures", lambda s, d: M.failures(acted(s, d), COND, "sample_id", LOSSES, "action"), f"{REC}, {FAIL} SELECT {K}, kind, loss, {r('risk', 'risk')}, {r('value', 'value')} FROM fl", ("risk", "value"))
+KINDS = ("dice_against_sdc", "nhd_against_sdc", "empty_action", "confident_failure", "absent")
+TIES = ["condition", "sample_id", "loss"]
 
-PICK = f"cd AS (SELECT dataset, sample_id, 'disagreement' AS kind, round(abs(left_rank - right_rank), 9) AS value FROM ds UNION ALL SELECT dataset, sample_id, loss, round(excess, 9) FROM fl)"
-PICKS = ""
-for i, kind in enumerate(("disagreement", "risk_dice", "risk_nhd", "absent")):
-    used = "".join(f" AND NOT EXISTS (SELECT 1 FROM k{j} u WHERE u.dataset = cd.dataset AND u.sample_id = cd.sample_id)" for j in range(i))
-    PICKS += f", k{i} AS (SELECT dataset, sample_id, value FROM cd WHERE kind = '{kind}'{used} QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY value DESC, sample_id) = 1)"
-add("x4_pick_cases", x4, f"{REC}, {DIS}, {FAIL}, {PICK}{PICKS} " + " UNION ALL ".join(f"SELECT g.dataset, '{k}' AS kind, sample_id, value FROM (SELECT DISTINCT dataset FROM cd) g LEFT JOIN k{i} USING (dataset)" for i, k in enumerate(("disagreement", "risk_dice", "risk_nhd", "absent"))))
+
+def x4(spark, sf_dir):
+    rec = acted(spark, sf_dir)
+    every = M.failures(rec, COND, "sample_id", LOSSES, "action").drop("risk")
+    for kind, left in zip(KINDS[:2], ("confidence_dice_m32", "confidence_nhd_m32"), strict=True):
+        one = M.rank_disagreement(rec, COND, "sample_id", left, "confidence_sdc")
+        every = every.unionByName(one.select(*KEY, F.lit(kind).alias("kind"), F.lit("").alias("loss"), F.col("gap").alias("value")))
+    path = scratch(spark, "cases")
+    every.withColumn("value", F.round("value", 9)).write.parquet(path)
+    return M.pick_cases(spark.read.parquet(path), ["dataset"], "sample_id", list(KINDS), TIES)
+
+
+PICK = f"""d1 AS (SELECT {K}, {safety('confidence_dice_m32')} AS l, {safety('confidence_sdc')} AS rr FROM rec), d2 AS (SELECT {K}, {safety('confidence_nhd_m32')} AS l, {safety('confidence_sdc')} AS rr FROM rec),
+ cd AS (SELECT {K}, kind, loss, round(value, 9) AS value FROM fl UNION ALL SELECT {K}, '{KINDS[0]}', '', round(abs(l - rr), 9) FROM d1 UNION ALL SELECT {K}, '{KINDS[1]}', '', round(abs(l - rr), 9) FROM d2)"""
+for i, kind in enumerate(KINDS):
+    used = " OR ".join(f"EXISTS (SELECT 1 FROM k{j} u WHERE u.dataset = cd.dataset AND u.sample_id = cd.sample_id)" for j in range(i)) or "false"
+    PICK += f", k{i} AS (SELECT {K}, loss, value, fallback FROM (SELECT cd.*, CAST({used} AS INT) AS fallback FROM cd WHERE kind = '{kind}') QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY fallback, value DESC, condition, sample_id, loss) = 1)"
+PICKED = " UNION ALL ".join(
+    f"SELECT g.dataset, '{k}' AS kind, CASE WHEN fallback IS NULL THEN 'unavailable' ELSE 'selected' END AS status, CASE WHEN fallback IS NULL THEN 'no candidate of kind {k}' END AS reason, coalesce(fallback, 0) AS fallback, value, condition, sample_id, loss FROM (SELECT DISTINCT dataset FROM cd) g LEFT JOIN k{i} USING (dataset)"
+    for i, k in enumerate(KINDS)
+)
+add("x4_pick_cases", x4, f"{REC}, {FAIL}, {PICK} {PICKED}")
 
 # --- contracts; faults are planted by rules on ids ---
 
@@ -359,10 +370,9 @@ add("st1_monitor", st1, f"{STREAM}, {STB} SELECT day, CAST(sum(n) AS BIGINT) AS
 def st1_stream(spark, sf_dir):
     """The monitor over the events as a stream of files; windows that the watermark has not closed are not out yet."""
     schema = read(spark, sf_dir, "events").schema
-    name = f"monitor_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    monitor.run_once(spark, stream_rows(stream), name, checkpoint=scratch(spark, "stream"))
-    return monitor.report(spark.table(name)).select(F.col("start").cast("date").cast("string").alias("day"), "n", "brier", "ece")
+    stream = stream_rows(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    closed = monitor.run_once(spark, stream, scratch(spark, "closed"), checkpoint=scratch(spark, "stream"))
+    return monitor.report(closed).select(F.col("start").cast("date").cast("string").alias("day"), "n", "brier", "ece")
 
 
 add("st1_monitor_stream", st1_stream, f"{STREAM}, {STB}, top AS (SELECT max(ts) - INTERVAL 2 DAY AS w FROM st) SELECT day, CAST(sum(n) AS BIGINT) AS n, {r('sum(sq) / sum(n)', 'brier')}, {r('sum(abs(stt - sp)) / sum(n)', 'ece')} FROM sb, top WHERE CAST(day AS DATE) + INTERVAL 1 DAY <= w GROUP BY day", ("brier", "ece"))

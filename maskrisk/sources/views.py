@@ -39,10 +39,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def large_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noisy discs of 21 x 24 pixels, one for each supplier, from its first 504 order lines."""
+    """Noisy discs of 24 columns, one for each supplier, with a pixel for each of its order lines."""
     li = read(spark, sf_dir, "lineitem")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
-    r = li.withColumn("r", F.row_number().over(W.partitionBy("l_suppkey").orderBy(*order)) - 1).where("r < 504")
+    r = li.withColumn("r", F.row_number().over(W.partitionBy("l_suppkey").orderBy(*order)) - 1)
     k = r.select(F.col("l_suppkey").alias("s"), F.expr("CAST(r div 24 AS INT)").alias("y"), F.expr("CAST(r % 24 AS INT)").alias("x"), F.round(100 * F.col("l_discount")).cast("int").alias("d"), F.round(100 * F.col("l_tax")).cast("int").alias("t"))
     g = k.selectExpr("s", "y", "x", "d", "t", "(y-10-s%3)*(y-10-s%3) + (x-11-s%4)*(x-11-s%4) AS d2", "25+s%40 AS r2")
     return g.selectExpr("'disc' AS dataset", "CAST(s % 5 AS STRING) AS condition", "s AS sample_id", "y", "x", "CAST(r2 AS DOUBLE)/(r2+d2+d) AS p", "CASE WHEN d2+t <= r2 THEN 1 ELSE 0 END AS truth")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import scratch
 from ..operators.calibration import accumulators, from_accumulators
 
 
@@ -21,10 +20,12 @@ def monitor(stream: DataFrame, late: str = "2 days", width: str = "1 day", bins:
     return windowed(stream.withWatermark("ts", late), width, bins)
 
 
-def run_once(spark: SparkSession, rows: DataFrame, table: str, late: str = "2 days", checkpoint: str | None = None) -> None:
-    """Run the monitor over what the stream has now and append closed windows to an in-memory table of that name."""
-    q = monitor(rows, late).writeStream.outputMode("append").format("memory").queryName(table)
-    q.option("checkpointLocation", checkpoint or tempfile.mkdtemp(prefix="spark-")).trigger(availableNow=True).start().awaitTermination()
+def run_once(spark: SparkSession, rows: DataFrame, path: str, late: str = "2 days", checkpoint: str | None = None) -> DataFrame:
+    """Run the monitor over what the stream has now; closed windows are appended to Parquet files at ``path``, and read."""
+    closed = monitor(rows, late)
+    q = closed.writeStream.outputMode("append").format("parquet").option("path", path)
+    q.option("checkpointLocation", checkpoint or scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(closed.schema).parquet(path)
 
 
 def report(acc: DataFrame) -> DataFrame:
