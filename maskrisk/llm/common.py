@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import scratch
+
 #: ASCII white space, as every word rule of this subpackage uses it.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -22,19 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("maskrisk.scratch.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("maskrisk.scratch.dir", path)
-    return path
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
