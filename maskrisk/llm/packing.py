@@ -17,8 +17,14 @@ from .common import fresh, named, ship, written
 
 #: Words, and parts of words, whose ids a Python worker remembers.
 REMEMBERED = 300_000
-#: Pieces of a slice of a length class, about: a length which most pieces share is ranked by many tasks.
-SLICE_ROWS = 20_000
+#: Pieces of a slice of a length class, about: a length which most pieces share is ranked by many tasks. A class of fewer
+#: pieces has slices of SMALL_ROWS, FEW of them at most.
+SLICE_ROWS, SMALL_ROWS, FEW = 20_000, 250, 16
+
+
+def slices_of(count: int) -> int:
+    return max(1, -(-count // SLICE_ROWS), min(FEW, -(-count // SMALL_ROWS)))
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -172,7 +178,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """
     slice_, rank, before_, n_ = fresh(pieces, "_slice", "_rank", "_before", "_n")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}  # capacity rows at most
-    slices = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // SLICE_ROWS))) for n in range(max(counts, default=0) + 1)])
+    slices = F.array(*[F.lit(slices_of(counts.get(n, 0))) for n in range(max(counts, default=0) + 1)])
     sliced = pieces.withColumn(slice_, F.pmod(F.xxhash64("doc_id", "piece"), F.get(slices, F.col("length").cast("int"))))
     sizes = sliced.groupBy("length", slice_).agg(F.count("*").alias(n_))
     lengths, starts, stops, copies, bases, offsets = [], [], [], [], [], []
@@ -195,7 +201,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     order_by = ["doc_id", "piece", *[named(c) for c in names if c not in ("doc_id", "piece", "length", "ids")]]
     ranked = (
         sliced.withColumn(rank, F.row_number().over(W.partitionBy("length", slice_).orderBy(*order_by)) - 1)
-        .join(F.broadcast(before.select("length", slice_, before_)), ["length", slice_])  # a row for SLICE_ROWS pieces, and capacity more
+        .join(F.broadcast(before.select("length", slice_, before_)), ["length", slice_])  # a row for SLICE_ROWS pieces, and FEW * capacity more
         .select(*map(named, names), (F.col(rank) + F.col(before_)).cast("long").alias(rank))
     )
     schema = ranked.select(*map(named, names), F.col(rank).alias("sequence_id"), F.col(rank).alias("offset")).schema

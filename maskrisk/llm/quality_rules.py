@@ -128,8 +128,9 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     chosen = best.select("stratum", "rule", F.col("b.m").alias("m"), F.row_number().over(order).alias("place"))  # a row for each stratum and rule
     wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.struct("m", "place"))).alias(f"_{r}") for r in RULES])
     first = F.least(*[F.when(F.col(r) >= F.col(f"_{r}.m"), F.col(f"_{r}.place")).otherwise(len(RULES) + 1) for r in RULES])
-    met = seen.where("good and not chooses").join(wide, "stratum").select("stratum", first.alias("place"))
-    lost = met.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("place") <= i, 1)).alias(f"k{i}") for i in range(1, len(RULES) + 1)])
+    alike = seen.where("good and not chooses").groupBy("stratum", *RULES).agg(F.count("*").alias("c"))  # before the join, as one stratum may have most rows
+    met = alike.join(wide, "stratum").select("stratum", first.alias("place"), "c")
+    lost = met.groupBy("stratum").agg(F.sum("c").alias("n"), *[F.sum(F.when(F.col("place") <= i, F.col("c")).otherwise(0)).alias(f"k{i}") for i in range(1, len(RULES) + 1)])
     tests = seen.agg(F.count_distinct("stratum").alias("tests"))  # one row
 
     def bound(k: Column) -> Column:
