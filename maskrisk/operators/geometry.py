@@ -60,6 +60,7 @@ def hausdorff(left: DataFrame, right: DataFrame, key: list[str], images: DataFra
 
 
 def image_sizes(px: DataFrame, key: list[str], left, right) -> DataFrame:
+    """diagonal, left_size and right_size (sums of two 0/1 columns) for each image; rows of one place count each."""
     h, w = F.max("y") + 1, F.max("x") + 1
     s = px.groupBy(*key).agg(F.sqrt((h * h + w * w).cast("double")).alias("diagonal"), F.sum(left).alias("left_size"), F.sum(right).alias("right_size"))
     return s

@@ -119,6 +119,7 @@ def safety_rank(rows: DataFrame, cond: list[str], score: str):
 
 
 def rank_disagreement(rows: DataFrame, cond: list[str], key: str, left: str, right: str) -> DataFrame:
+    """left_rank, right_rank (safety ranks of two scores) and gap, their absolute difference, for each row."""
     r = rows.select(*cond, key, safety_rank(rows, cond, left).alias("left_rank"), safety_rank(rows, cond, right).alias("right_rank"))
     return r.withColumn("gap", F.abs(F.col("left_rank") - F.col("right_rank")))
 

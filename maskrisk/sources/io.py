@@ -41,6 +41,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORDS)
 
 
 def write_records(rows: DataFrame, path: str) -> None:
+    """Records as JSON lines at ``path``, which must not exist; nulls are left out of their line."""
     rows.write.mode("errorifexists").json(path)
 
 
