@@ -33,6 +33,22 @@ def hash_seed(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 8), 16, 10).cast("long")
 
 
+def mix32(x: Column) -> Column:
+    """A 32-bit finaliser (two multiplications, three shifts) of a long below 2**32; products stay within a long."""
+
+    def times(v, c: int):
+        return (F.shiftleft((v * (c >> 16)).bitwiseAND(0xFFFF), 16) + v * (c & 0xFFFF)).bitwiseAND(0xFFFFFFFF)
+
+    def folded(v, bits: int):
+        return v.bitwiseXOR(F.shiftright(v, bits))
+
+    # Each step reads its input twice, so steps are bound by ``transform`` rather than written out as one expression.
+    step = lambda v, f: F.transform(F.array(v), f)[0]
+    x = step(x.cast("long"), lambda v: folded(v, 16))
+    x = step(step(x, lambda v: times(v, 0x85EBCA6B)), lambda v: folded(v, 13))
+    return step(step(x, lambda v: times(v, 0xC2B2AE35)), lambda v: folded(v, 16))
+
+
 def dice_loss(overlap: Column, left: Column, right: Column) -> Column:
     """1 - 2 |A and B| / (|A| + |B|): 0 where both are empty, 1 where one is."""
     return F.when(left + right == 0, F.lit(0.0)).otherwise(1 - 2 * overlap / (left + right))

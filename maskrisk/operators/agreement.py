@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
+from .selective import accepted, accepted_jaccard, running
+
 
 def average_rank(col: str, cond: list[str]):
     """Rank from 1 in ascending order; equal values share the mean of theirs."""
@@ -21,35 +24,37 @@ def spearman(rows: DataFrame, cond: list[str], x: str, y: str) -> DataFrame:
     return s.select(*cond, F.when(F.col("v"), F.col("c") / F.col("d")).alias("rho"), "n")
 
 
-def discordant_counts(rows: DataFrame, cond: list[str], x: str, y: str, blocks: int = 64) -> DataFrame:
-    """For each condition the numbers of concordant and discordant pairs, and of pairs tied in x, in y and in both.
+def dense(rows: DataFrame, cond: list[str], col: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: how many distinct values of the condition are above, from 0; no task holds a condition."""
+    v = rows.groupBy(*cond, F.col(col).alias("_v")).agg(F.lit(1).alias("_one"))
+    v = running(v, cond, "_v", {"_one": name}).withColumnRenamed("_v", col)
+    return rows.join(v.select(*cond, col, F.col(name).cast("long").alias(name)), [*cond, col])
+
+
+def discordant_counts(rows: DataFrame, cond: list[str], x: str, y: str, radix: int = 4) -> DataFrame:
+    """For each condition the numbers of concordant and discordant pairs, and of pairs tied in x or in y.
 
-    Rows are collapsed to distinct (x, y). Both coordinates become dense ranks, cut into ``blocks`` ranges each. Pairs whose
-    ranges differ in both coordinates are counted from the grid of ranges, which has blocks x blocks cells however many
-    rows there are; only pairs that share a range in one coordinate are compared one by one, and only within a strip of
-    x ranges or, where the x range is the same, of y ranges.
+    Rows are collapsed to distinct (x, y), and y becomes a dense rank. Any two different ranks agree in their leading
+    digits and part at one digit, so each pair is counted at one level: there, among the rows of equal leading digits, it
+    is concordant if the larger digit goes with the larger x. With counts for each digit and x, that takes running sums
+    over x. Rows are sent once for each level, as many as the rank has digits; no pairs are formed. Rows with a null or
+    NaN in x or y are left out; an empty table gives no rows.
     """
-    d = rows.groupBy(*cond, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
-    w = W.partitionBy(*cond)
-    d = d.withColumns({"rx": F.dense_rank().over(w.orderBy("x")) - 1, "ry": F.dense_rank().over(w.orderBy("y")) - 1})
-    top = d.groupBy(*cond).agg((F.max("rx") + 1).alias("mx"), (F.max("ry") + 1).alias("my"))
-    d = d.join(top, cond).withColumns({"bx": F.floor(F.col("rx") * blocks / F.col("mx")).cast("int"), "by": F.floor(F.col("ry") * blocks / F.col("my")).cast("int")})
-    d = d.select(*cond, "rx", "ry", "bx", "by", "c")
-    cells = d.groupBy(*cond, "bx", "by").agg(F.sum("c").alias("c"))
-    a, b = cells.alias("a"), cells.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in cond]
-    keys = [F.col(f"a.{k}").alias(k) for k in cond]
-
-    def counted(pairs, left_x, right_x, left_y, right_y):
-        sign = F.signum((F.col(left_x) - F.col(right_x)).cast("double")) * F.signum((F.col(left_y) - F.col(right_y)).cast("double"))
-        n = F.col("a.c") * F.col("b.c")
-        return pairs.select(*keys, F.when(sign > 0, n).otherwise(0).alias("con"), F.when(sign < 0, n).otherwise(0).alias("dis"))
-
-    far = counted(a.join(b, [*same, F.col("a.bx") < F.col("b.bx"), F.col("a.by") != F.col("b.by")]), "a.bx", "b.bx", "a.by", "b.by")
-    p, q = d.alias("a"), d.alias("b")
-    strip = counted(p.join(q, [*same, F.col("a.by") == F.col("b.by"), F.col("a.bx") < F.col("b.bx")]), "a.rx", "b.rx", "a.ry", "b.ry")
-    inner = counted(p.join(q, [*same, F.col("a.bx") == F.col("b.bx"), F.col("a.rx") < F.col("b.rx")]), "a.rx", "b.rx", "a.ry", "b.ry")
-    pairs = far.unionByName(strip).unionByName(inner).groupBy(*cond).agg(F.sum("con").alias("con"), F.sum("dis").alias("dis"))
+    good = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double"))
+    d = rows.select(*cond, F.col(x).alias("x"), F.col(y).alias("y")).where(good).groupBy(*cond, "x", "y").agg(F.count("*").alias("c"))
+    d = dense(d, cond, "y", "ry").withColumnRenamed("x", "rx")
+    depth = F.ceil(F.log(float(radix), F.greatest(F.max("ry"), F.lit(1)) + 1.0) + 1e-9).cast("int")
+    d = written(d, "ranks")
+    each = d.join(d.groupBy(*cond).agg(depth.alias("depth")), cond)
+    each = each.withColumn("level", F.explode(F.sequence(F.lit(1), "depth")))
+    unit = F.pow(F.lit(float(radix)), F.col("level") - 1).cast("long")
+    each = each.withColumns({"digit": F.floor(F.col("ry") / unit) % radix, "lead": F.floor(F.col("ry") / (unit * radix))})
+    group, counts = [*cond, "level", "lead"], [f"c{k}" for k in range(radix)]
+    t = each.groupBy(*group, "rx").agg(*[F.sum(F.when(F.col("digit") == k, F.col("c")).otherwise(0)).alias(c) for k, c in enumerate(counts)])
+    t = running(t, group, "rx", {c: f"{c}_above" for c in counts})
+    # ``ry`` counts from the largest y, so of two rows the one with the larger x is concordant if its digit is smaller.
+    pairs = lambda keep: sum((F.col(counts[i]) * F.col(f"{counts[j]}_above") for i in range(radix) for j in range(radix) if keep(i, j)), F.lit(0))
+    pairs = t.groupBy(*cond).agg(F.sum(pairs(lambda i, j: j < i)).alias("con"), F.sum(pairs(lambda i, j: j > i)).alias("dis"))
 
     def ties(cols, name):
         t = d.groupBy(*cond, *cols).agg(F.sum("c").alias("c"))
@@ -58,9 +63,9 @@ def discordant_counts(rows: DataFrame, cond: list[str], x: str, y: str, blocks:
     return ties(["rx"], "tie_x").join(ties(["ry"], "tie_y"), cond).join(pairs, cond, "left").na.fill(0, ["con", "dis"])
 
 
-def kendall(rows: DataFrame, cond: list[str], x: str, y: str, blocks: int = 64) -> DataFrame:
+def kendall(rows: DataFrame, cond: list[str], x: str, y: str, radix: int = 4) -> DataFrame:
     """tau-b for each condition; null where a side is constant."""
-    s = discordant_counts(rows, cond, x, y, blocks)
+    s = discordant_counts(rows, cond, x, y, radix)
     all_ = F.expr("n * (n - 1) div 2")
     room = F.sqrt((all_ - F.col("tie_x")).cast("double")) * F.sqrt((all_ - F.col("tie_y")).cast("double"))
     return s.select(*cond, F.when(room > 0, (F.col("con") - F.col("dis")) / room).alias("tau"))
@@ -68,8 +73,6 @@ def kendall(rows: DataFrame, cond: list[str], x: str, y: str, blocks: int = 64)
 
 def score_agreement(rows: DataFrame, cond: list[str], key: str, methods: list[str], coverages: list[float]) -> DataFrame:
     """Spearman, tau-b and the overlap of accepted sets for each pair of methods in each condition."""
-    from .selective import accepted, accepted_jaccard
-
     long = rows.unpivot([*cond, key], methods, "method", "score")
     a, b = long.select(*cond, key, F.col("method").alias("left"), F.col("score").alias("x")), long.select(*cond, key, F.col("method").alias("right"), F.col("score").alias("y"))
     both = a.join(b, [*cond, key]).where("left < right")

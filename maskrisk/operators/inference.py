@@ -2,39 +2,136 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scores import count_if, hash_seed, hash_unit
-from .selective import aurc
+from ..functions.scores import count_if, hash_seed, hash_unit, mix32
+from .selective import aurc, harmonics
+
+
+#: Distinct rows of one stretch of scores, and replicates of one task.
+STRETCH, BLOCK = 1 << 16, 1000
+#: Stretches of a condition at most; longer conditions have longer stretches.
+STRETCHES = 1024
+#: Cells (replicates x rows, or replicates x clusters) that a task holds at a time.
+CELLS = 1 << 18
+
+
+def numbered_clusters(rows: DataFrame, cond: list[str], cluster: str, seed: Column) -> DataFrame:
+    """(cond, cluster, i, m, seed): the number of each cluster from 0, and how many its condition has."""
+    c = rows.select(*cond, cluster).distinct()
+    return c.withColumns({"i": F.row_number().over(W.partitionBy(*cond).orderBy(cluster)) - 1, "m": F.count("*").over(W.partitionBy(*cond)), "seed": seed.cast("long")})
 
 
 def cluster_weights(rows: DataFrame, cond: list[str], cluster: str, resamples: int, seed: Column) -> DataFrame:
     """(cond, cluster, rep, weight): how often each cluster is drawn in each replicate; undrawn ones are absent.
 
     Draw i of replicate b takes the cluster whose number is the hash of (seed, b, i) scaled to the number of clusters.
-    Draws are generated where the clusters are and collapse to weights before they meet records.
     """
-    c = rows.select(*cond, cluster).distinct()
-    c = c.withColumns({"i": F.row_number().over(W.partitionBy(*cond).orderBy(cluster)) - 1, "m": F.count("*").over(W.partitionBy(*cond))})
-    draws = c.select(*cond, "i", "m", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
-    pick = F.floor(hash_unit(seed, F.col("rep"), F.col("i")) * F.col("m")).cast("int")
-    picked = draws.groupBy(*cond, "rep", pick.alias("i")).agg(F.count("*").alias("weight"))
+    c = numbered_clusters(rows, cond, cluster, seed)
+    keys = c.select(*cond, "m", "seed").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    keys = keys.withColumn("k", mix32(mix32(F.col("rep").cast("long").bitwiseXOR(F.col("seed"))))).withColumn("l", mix32(F.col("k").bitwiseXOR(0x9E3779B9)))
+    draws = keys.join(c.select(*cond, "i"), cond).withColumn("h", mix32(F.col("i").cast("long").bitwiseXOR(F.col("k"))))
+    draws = draws.withColumn("h", mix32((F.col("h") + F.col("l")).bitwiseAND(0xFFFFFFFF)))
+    picked = draws.groupBy(*cond, "rep", F.shiftright(F.col("h") * F.col("m"), 32).cast("int").alias("i")).agg(F.count("*").alias("weight"))
     return picked.join(c.select(*cond, "i", cluster), [*cond, "i"]).select(*cond, cluster, "rep", "weight")
 
 
+def _mix32(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> 16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> 13
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> 16
+    return x
+
+
+def drawn_weights(seed: int, clusters: int, reps: np.ndarray) -> np.ndarray:
+    """The weights of ``cluster_weights`` as a matrix, a row for each replicate and a column for each cluster."""
+    k = _mix32(_mix32(reps.astype(np.uint32) ^ np.uint32(seed)))[:, None]
+    h = _mix32(_mix32(np.arange(clusters, dtype=np.uint32)[None, :] ^ k) + _mix32(k ^ np.uint32(0x9E3779B9)))
+    pick = ((h.astype(np.uint64) * np.uint64(clusters)) >> np.uint64(32)).astype(np.int64)
+    pick += np.arange(len(reps))[:, None] * clusters
+    return np.bincount(pick.ravel(), minlength=len(reps) * clusters).reshape(len(reps), clusters)
+
+
+def _tie_sums(f: pd.DataFrame, block: int, size: int, resamples: int):
+    """For runs of a block's replicates: their numbers, and the weight and risk of each distinct score, largest first."""
+    order = np.argsort(-f["score"].to_numpy(), kind="stable")  # missing scores come last
+    score, i = f["score"].to_numpy()[order], f["i"].to_numpy()[order]
+    copies, risk = f["copies"].to_numpy()[order], f["risk"].to_numpy(dtype=float)[order]
+    new = (score[1:] != score[:-1]) & ~(np.isnan(score[1:]) & np.isnan(score[:-1]))
+    starts, seed, m = np.r_[0, np.flatnonzero(new) + 1], int(f["seed"].iloc[0]), int(f["m"].iloc[0])
+    repeated = copies.max() > 1
+    run = max(1, CELLS // max(m, len(f)))
+    for first in range(block * size, min((block + 1) * size, resamples), run):
+        reps = np.arange(first, min(first + run, (block + 1) * size, resamples))
+        w = np.take(drawn_weights(seed, m, reps).astype(np.int32), i, axis=1).astype(float)
+        if repeated:
+            w *= copies
+        g = np.add.reduceat(w, starts, axis=1).astype(np.int64)
+        w *= risk
+        yield reps, g, np.add.reduceat(w, starts, axis=1)
+
+
 def bootstrap_differences(rows: DataFrame, cond: list[str], left: str, right: str, risk: str, cluster: str, resamples: int, seed: Column) -> DataFrame:
     """Areas of two scores and their difference for each replicate; both use the same drawn rows.
 
-    The two scores are two sides of one table, so clusters are drawn once and meet the records once. Records that agree
-    in cluster, score and risk are counted first, so that replicates multiply distinct ones only.
+    The two scores are two sides of one table. Records that agree in cluster, score and risk are counted first. Each
+    side of a condition is cut into stretches of its scores, and tasks take a stretch and a block of replicates: they
+    draw the weights of the clusters from hashes, so that no weights are sent, and give sums for each replicate. Where
+    a side has several stretches, a first pass gives the totals of each, and the areas start from those before it.
+    A task holds a stretch and one replicate's weights, so clusters of a condition must fit in a task as integers.
+    Null and NaN scores come last, as one tie; null risks count as 0; an empty table gives no rows.
     """
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col(left).alias("score")), F.struct(F.lit(1).alias("side"), F.col(right).alias("score")))
-    each = rows.select(*cond, cluster, F.col(risk).alias("risk"), F.explode(sides).alias("x")).groupBy(*cond, cluster, "x.side", "x.score", "risk").agg(F.count("*").alias("copies"))
-    drawn = each.join(cluster_weights(rows, cond, cluster, resamples, seed), [*cond, cluster]).withColumn("weight", F.col("weight") * F.col("copies"))
-    areas = aurc(drawn, [*cond, "rep", "side"], "score", "risk", "weight")
-    a = areas.groupBy(*cond, "rep").agg(F.max(F.when(F.col("side") == 0, F.col("aurc"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("aurc"))).alias("right"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col(left).cast("double").alias("score")), F.struct(F.lit(1).alias("side"), F.col(right).cast("double").alias("score")))
+    each = rows.select(*cond, cluster, F.coalesce(F.col(risk).cast("double"), F.lit(0.0)).alias("risk"), F.explode(sides).alias("x"))
+    each = each.groupBy(*cond, cluster, F.col("x.side").alias("side"), F.nanvl("x.score", F.lit(None).cast("double")).alias("score"), "risk").agg(F.count("*").alias("copies"))
+    side = [*cond, "side"]
+    ends = each.groupBy(*side).agg(F.percentile_approx("score", [k / STRETCHES for k in range(1, STRETCHES)], 4 * STRETCHES).alias("ends"), F.least(F.lit(STRETCHES), F.ceil(F.count("*") / STRETCH)).cast("int").alias("parts"))
+    # Distinct ends are scores of the side, so no stretch but the last can be empty and each follows the one before.
+    chosen = F.expr(f"array_distinct(transform(filter(sequence(1, parts), k -> k < parts), k -> ends[CAST(k * {STRETCHES} div parts AS INT) - 1]))")
+    ends = ends.withColumn("ends", F.when(F.col("ends").isNull(), F.array().cast("array<double>")).otherwise(chosen)).withColumn("parts", F.size("ends") + 1)
+    above = F.size(F.filter("ends", lambda e: e > F.col("score")))  # 0 for the stretch of the largest scores
+    each = each.join(ends, side).withColumn("stretch", F.when(F.col("score").isNull(), F.col("parts") - 1).otherwise(above))
+    each = each.join(numbered_clusters(rows, cond, cluster, seed), [*cond, cluster]).select(*side, "stretch", "parts", "score", "risk", "copies", "i", "m", "seed")
+    size = min(BLOCK, resamples)
+    each = each.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // size))))
+    task = [*side, "stretch", "block"]
+    keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cond) + ", side int"
+
+    def framed(key, reps, **values):
+        return pd.DataFrame({**dict(zip(side, key)), "stretch": key[-2], "rep": reps, **values})
+
+    def totals(key, f):
+        got = [(r, g.sum(axis=1), s.sum(axis=1)) for r, g, s in _tie_sums(f, int(key[-1]), size, resamples)]
+        reps, g, s = (np.concatenate(x) for x in zip(*got))
+        return framed(key, reps, g=g, s=s)
+
+    def areas(key, mine, before):
+        out, top = [], int(mine["m"].iloc[0]) if len(mine) else 0
+        if not top:
+            return framed(key, np.zeros(0, int), step=[], n=[])
+        b = before.set_index("rep")
+        for reps, g, s in _tie_sums(mine, int(key[-1]), size, resamples):
+            g0, s0 = (b[c].reindex(reps, fill_value=0).to_numpy()[:, None] if len(b) else 0 for c in ("g", "s"))
+            full = np.cumsum(g, axis=1)
+            prior, risk_before = full - g + g0, np.cumsum(s, axis=1) - s + s0
+            step = s + (risk_before - prior * s / np.maximum(g, 1)) * (harmonics(prior + g) - harmonics(prior))
+            out.append((reps, np.where(g > 0, step, 0.0).sum(axis=1), full[:, -1]))
+        reps, step, n = (np.concatenate(x) for x in zip(*out))
+        return framed(key, reps, step=step, n=n)
+
+    many = each.where("stretch < parts - 1").groupBy(*task).applyInPandas(totals, f"{keys}, stretch int, rep int, g long, s double")
+    past = W.partitionBy(*side, "rep").orderBy("stretch").rowsBetween(W.unboundedPreceding, 0)
+    before = many.select(*side, (F.col("stretch") + 1).alias("stretch"), "rep", F.sum("g").over(past).alias("g"), F.sum("s").over(past).alias("s"))
+    before = before.withColumn("block", (F.floor(F.col("rep") / size)).cast("int"))
+    got = each.groupBy(*task).cogroup(before.groupBy(*task)).applyInPandas(areas, f"{keys}, stretch int, rep int, step double, n long")
+    share = got.groupBy(*cond, "rep", "side").agg((F.sum("step") / F.sum("n")).alias("aurc"))
+    a = share.groupBy(*cond, "rep").agg(F.max(F.when(F.col("side") == 0, F.col("aurc"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("aurc"))).alias("right"))
     return a.withColumn("difference", F.col("left") - F.col("right"))
 
 

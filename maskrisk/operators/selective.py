@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,16 +25,24 @@ def harmonic(n: Column) -> Column:
     return F.when(n <= TERMS, F.get(table, F.greatest(n, F.lit(0)).cast("int"))).otherwise(large)
 
 
+def harmonics(n: np.ndarray) -> np.ndarray:
+    """``harmonic`` of an array."""
+    x = np.maximum(n, 1).astype(float)
+    large = np.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    table = np.array([0.0, *accumulate(1 / i for i in range(1, TERMS + 1))])
+    return np.where(n <= TERMS, table[np.minimum(n, TERMS)], large)
+
+
 def running(rows: DataFrame, group: list[str], order: str, sums: dict[str, str], buckets: int = 64) -> DataFrame:
     """``rows`` with sums over all rows of the group with a larger ``order``, of which each group has distinct values.
 
-    Two levels, so that no task holds a group: each group's range of ``order`` is cut into equal stretches, a window runs
-    within a stretch, and the totals of the stretches before it, ``buckets`` for a group, are added.
+    Two levels, so that no task holds a group: each group is cut at approximate quantiles of ``order`` into stretches, a
+    window runs within a stretch, and the totals of the stretches before it, ``buckets`` for a group, are added. Null
+    orders come last, NaN first.
     """
-    ends = rows.groupBy(*group).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    room = F.col("_high") - F.col("_low")
-    place = F.when(room > 0, F.least(F.floor((F.col("_high") - F.col(order)) / room * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
-    rows = rows.join(ends, group).withColumn("_bucket", place.cast("int")).drop("_low", "_high")
+    cuts = rows.groupBy(*group).agg(F.percentile_approx(F.nanvl(F.col(order).cast("double"), F.lit(None).cast("double")), [k / buckets for k in range(1, buckets)], 16 * buckets).alias("_cuts"))
+    place = F.when(F.col(order).isNull(), F.lit(buckets - 1)).otherwise(F.coalesce(F.size(F.filter("_cuts", lambda e: e > F.col(order))), F.lit(0)))
+    rows = rows.join(cuts, group).withColumn("_bucket", place).drop("_cuts")
     total = rows.groupBy(*group, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     total = total.select(*group, "_bucket", *[F.sum(f"_t_{c}").over(before).alias(f"_b_{c}") for c in sums])

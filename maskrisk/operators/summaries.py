@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from . import agreement as A
 from . import pixels as P
 from . import selective as S
@@ -95,7 +96,11 @@ def seed_direction(rows: DataFrame, cond: list[str], difference: str, reference:
 
 
 def fine_grid(rows: DataFrame, cond: list[str], coarse: str, fine: str, risk: str) -> DataFrame:
-    """Error of the coarse score, rank agreement with the fine one, and the difference of their areas."""
+    """Error of the coarse score, rank agreement with the fine one, and the difference of their areas.
+
+    ``rows`` are written once, as each part reads them several times.
+    """
+    rows = written(rows.select(*cond, *{coarse: 0, fine: 0, risk: 0}), "fine")
     e = A.error_to_reference(rows, cond, coarse, fine)
     gap = S.aurc(rows, cond, coarse, risk).select(*cond, F.col("aurc").alias("a")).join(S.aurc(rows, cond, fine, risk).select(*cond, F.col("aurc").alias("b")), cond).select(*cond, (F.col("a") - F.col("b")).alias("aurc_gap"))
     return e.join(A.spearman(rows, cond, coarse, fine).select(*cond, "rho"), cond).join(A.kendall(rows, cond, coarse, fine), cond).join(gap, cond)

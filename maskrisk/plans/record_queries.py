@@ -156,13 +156,21 @@ def a8(spark, sf_dir):
 add("a8_strata", a8, f"{REC}, v AS (SELECT {C}, 1 + confidence_dice_m32 - confidence_sdc AS v, list_extract(['0-0.2', '0.2-0.4', '0.4-0.6', '0.6-0.8', '0.8-1'], CAST(least(floor(risk_dice * 5), 4) AS INT) + 1) AS stratum FROM rec), g AS (SELECT {C}, stratum, count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.95) AS p95, min(v) AS low, max(v) AS high FROM v GROUP BY {C}, stratum) SELECT {C}, stratum, coalesce(n, 0) AS n, {r('mean', 'mean')}, {r('median', 'median')}, {r('p95', 'p95')}, {r('low', 'low')}, {r('high', 'high')} FROM (SELECT DISTINCT {C} FROM rec) CROSS JOIN unnest(['0-0.2', '0.2-0.4', '0.4-0.6', '0.6-0.8', '0.8-1']) AS u(stratum) LEFT JOIN g USING ({C}, stratum)", ("mean", "median", "p95", "low", "high"))
 add("a9_wasserstein", lambda s, d: A.wasserstein(records(s, d), COND, "risk_dice", "risk_nhd"), f"{REC}, a AS (SELECT {C}, risk_dice AS a, row_number() OVER (PARTITION BY {C} ORDER BY risk_dice) AS r FROM rec), b AS (SELECT {C}, risk_nhd AS b, row_number() OVER (PARTITION BY {C} ORDER BY risk_nhd) AS r FROM rec) SELECT {C}, {r('avg(abs(a - b))', 'distance')}, count(*) AS n FROM a JOIN b USING ({C}, r) GROUP BY {C}", ("distance",))
 
-# --- inference; replicates are few so that the SQL side stays cheap ---
-REPS = 30
+# --- inference; the queries named _few are the same functions with few replicates, so that SQL can follow ---
+REPS, FULL = 30, 10_000
+
+
+def mixed(x: str, out: str) -> str:
+    """Columns that end in ``out``: the 32-bit finaliser of ``x``."""
+    m, w = "4294967295::UBIGINT", lambda v, k: f"xor({v}, {v} >> {k}::UBIGINT)"
+    return f"({w(f'({x})', 16)} * 2246822507::UBIGINT) & {m} AS {out}1, ({w(out + '1', 13)} * 3266489909::UBIGINT) & {m} AS {out}2, {w(out + '2', 16)} AS {out}"
 
 
 def boot(name: str, left: str, right: str, seed: str) -> str:
     return f"""{name}c AS (SELECT {C}, cluster_id, row_number() OVER (PARTITION BY {C} ORDER BY cluster_id) - 1 AS i, count(*) OVER (PARTITION BY {C}) AS m FROM (SELECT DISTINCT {C}, cluster_id FROM rec)),
- {name}d AS (SELECT {C}, rep, CAST(floor({unit(f"{seed} || '|' || rep || '|' || i")} * m) AS BIGINT) AS i, count(*) AS weight FROM {name}c, unnest(range({REPS})) AS g(rep) GROUP BY ALL),
+ {name}k AS (SELECT {C}, m, rep, {mixed(f"xor(rep::UBIGINT, ({seed})::UBIGINT)", 'u')}, {mixed('u', 'k')}, {mixed('xor(k, 2654435769::UBIGINT)', 'l')} FROM (SELECT DISTINCT {C}, m FROM {name}c), unnest(range({REPS})) AS g(rep)),
+ {name}h AS (SELECT {C}, rep, k.m, {mixed('xor(c.i::UBIGINT, k.k)', 'v')}, {mixed('((v + l) & 4294967295::UBIGINT)', 'h')} FROM {name}k k JOIN {name}c c USING ({C})),
+ {name}d AS (SELECT {C}, rep, CAST((h * m::UBIGINT) >> 32::UBIGINT AS BIGINT) AS i, count(*) AS weight FROM {name}h GROUP BY ALL),
  {name}r AS (SELECT rec.*, rep, weight FROM rec JOIN {name}c USING ({C}, cluster_id) JOIN {name}d USING ({C}, i)),
  {area(name + 'l', name + 'r', C + ', rep', left, 'risk_dice', 'weight')}, {area(name + 'q', name + 'r', C + ', rep', right, 'risk_dice', 'weight')},
  {name} AS (SELECT {C}, rep, l.aurc AS lft, q.aurc AS rgt, l.aurc - q.aurc AS d FROM {name}l l JOIN {name}q q USING ({C}, rep))"""
@@ -175,20 +183,35 @@ CONTRAST = f"""{boot('b', 'confidence_dice_m32', 'confidence_sdc', SEED)}, {area
  con AS (SELECT {C}, x.aurc - y.aurc AS difference, low, high, p_value FROM x JOIN y USING ({C}) JOIN ci USING ({C}))"""
 
 
-def contrasts(spark, sf_dir):
-    return I.contrast(records(spark, sf_dir), COND, "confidence_dice_m32", "confidence_sdc", "risk_dice", "cluster_id", REPS)
+def contrasts(spark, sf_dir, resamples=FULL):
+    return I.contrast(records(spark, sf_dir), COND, "confidence_dice_m32", "confidence_sdc", "risk_dice", "cluster_id", resamples)
+
+
+def adjusted(spark, sf_dir, resamples=FULL):
+    c = contrasts(spark, sf_dir, resamples).withColumn("p_value", F.round("p_value", 9))
+    return I.holm(c, ["dataset"], tie="condition").select(*COND, "p_value", "adjusted")
+
+
+def margins(spark, sf_dir, resamples=FULL):
+    return I.percent_margin(records(spark, sf_dir), COND, "confidence_sdc", "confidence_dice_m32", "risk_dice", "cluster_id", resamples)
+
+
+add("i1_bootstrap", lambda s, d: contrasts(s, d).drop("p_value"), None, ("difference", "low", "high"))
+add("i2_tail_area", lambda s, d: contrasts(s, d).select(*COND, "p_value"), None, ("p_value",))
+add("i3_holm", adjusted, None, ("adjusted",))
+add("i5_percent_margin", margins, None, ("margin", "low", "high"))
 
 
-add("i1_bootstrap", lambda s, d: contrasts(s, d).drop("p_value"), f"{REC}, {HARM}, {CONTRAST} SELECT {C}, {r('difference', 'difference')}, {r('low', 'low')}, {r('high', 'high')} FROM con", ("difference", "low", "high"))
-add("i2_tail_area", lambda s, d: contrasts(s, d).select(*COND, "p_value"), f"{REC}, {HARM}, {CONTRAST} SELECT {C}, {r('p_value', 'p_value')} FROM con", ("p_value",))
-add("i3_holm", lambda s, d: I.holm(contrasts(s, d).withColumn("p_value", F.round("p_value", 9)), ["dataset"], tie="condition").select(*COND, "p_value", "adjusted"), f"{REC}, {HARM}, {CONTRAST}, h AS (SELECT {C}, round(p_value, 9) AS p_value, round(p_value, 9) * (count(*) OVER (PARTITION BY dataset) - row_number() OVER (PARTITION BY dataset ORDER BY round(p_value, 9), condition) + 1) AS st FROM con) SELECT {C}, p_value, {r('least(1.0, max(st) OVER (PARTITION BY dataset ORDER BY p_value, condition ROWS UNBOUNDED PRECEDING))', 'adjusted')} FROM h", ("adjusted",))
+add("i1_bootstrap_few", lambda s, d: contrasts(s, d, REPS).drop("p_value"), f"{REC}, {HARM}, {CONTRAST} SELECT {C}, {r('difference', 'difference')}, {r('low', 'low')}, {r('high', 'high')} FROM con", ("difference", "low", "high"))
+add("i2_tail_area_few", lambda s, d: contrasts(s, d, REPS).select(*COND, "p_value"), f"{REC}, {HARM}, {CONTRAST} SELECT {C}, {r('p_value', 'p_value')} FROM con", ("p_value",))
+add("i3_holm_few", lambda s, d: adjusted(s, d, REPS), f"{REC}, {HARM}, {CONTRAST}, h AS (SELECT {C}, round(p_value, 9) AS p_value, round(p_value, 9) * (count(*) OVER (PARTITION BY dataset) - row_number() OVER (PARTITION BY dataset ORDER BY round(p_value, 9), condition) + 1) AS st FROM con) SELECT {C}, p_value, {r('least(1.0, max(st) OVER (PARTITION BY dataset ORDER BY p_value, condition ROWS UNBOUNDED PRECEDING))', 'adjusted')} FROM h", ("adjusted",))
 REL = f"""rb AS (SELECT {C}, sample_id, 1 - confidence_sdc AS p, risk_dice AS o, CAST(ntile(10) OVER (PARTITION BY {C} ORDER BY 1 - confidence_sdc, sample_id) AS INT) AS bin FROM rec),
  ri AS (SELECT *, row_number() OVER (PARTITION BY {C}, bin ORDER BY p, sample_id) - 1 AS i, count(*) OVER (PARTITION BY {C}, bin) AS m FROM rb),
  rd AS (SELECT {C}, bin, rep, CAST(floor({unit("'0|' || dataset || '|' || condition || '|' || bin || '|' || rep || '|' || i")} * m) AS BIGINT) AS i, count(*) AS weight FROM ri, unnest(range({REPS})) AS g(rep) GROUP BY ALL),
  rm AS (SELECT {C}, bin, rep, sum(weight * o) / sum(weight) AS mean FROM rd JOIN ri USING ({C}, bin, i) GROUP BY {C}, bin, rep),
  rc AS (SELECT {C}, bin, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM rm GROUP BY {C}, bin)"""
 add("i4_reliability", lambda s, d: I.equal_count_reliability(records(s, d).withColumn("predicted", 1 - F.col("confidence_sdc")), COND, "predicted", "risk_dice", "sample_id", REPS), f"{REC}, {REL} SELECT {C}, bin, count(*) AS n, {r('avg(p)', 'mean_predicted')}, {r('avg(o)', 'mean_observed')}, {r('max(low)', 'low')}, {r('max(high)', 'high')} FROM rb JOIN rc USING ({C}, bin) GROUP BY {C}, bin", ("mean_predicted", "mean_observed", "low", "high"))
-add("i5_percent_margin", lambda s, d: I.percent_margin(records(s, d), COND, "confidence_sdc", "confidence_dice_m32", "risk_dice", "cluster_id", REPS), f"{REC}, {HARM}, {boot('b', 'confidence_sdc', 'confidence_dice_m32', chr(39) + '0' + chr(39))}, {area('x', 'rec', C, 'confidence_sdc', 'risk_dice')}, {area('y', 'rec', C, 'confidence_dice_m32', 'risk_dice')}, ci AS (SELECT {C}, quantile_cont(100 * d / lft, 0.025) AS low, quantile_cont(100 * d / lft, 0.975) AS high FROM b GROUP BY {C}) SELECT {C}, {r('100 * (x.aurc - y.aurc) / x.aurc', 'margin')}, {r('low', 'low')}, {r('high', 'high')} FROM x JOIN y USING ({C}) JOIN ci USING ({C})", ("margin", "low", "high"))
+add("i5_percent_margin_few", lambda s, d: margins(s, d, REPS), f"{REC}, {HARM}, {boot('b', 'confidence_sdc', 'confidence_dice_m32', chr(39) + '0' + chr(39))}, {area('x', 'rec', C, 'confidence_sdc', 'risk_dice')}, {area('y', 'rec', C, 'confidence_dice_m32', 'risk_dice')}, ci AS (SELECT {C}, quantile_cont(100 * d / lft, 0.025) AS low, quantile_cont(100 * d / lft, 0.975) AS high FROM b GROUP BY {C}) SELECT {C}, {r('100 * (x.aurc - y.aurc) / x.aurc', 'margin')}, {r('low', 'low')}, {r('high', 'high')} FROM x JOIN y USING ({C}) JOIN ci USING ({C})", ("margin", "low", "high"))
 add("i6_seeds", lambda s, d: records(s, d).select(*COND, hash_seed(F.lit("base"), F.col("dataset"), F.col("condition")).alias("seed")).distinct(), f"{REC} SELECT DISTINCT {C}, ('0x' || substr(sha256('base|' || dataset || '|' || condition), 1, 8))::BIGINT AS seed FROM rec")
 
 

@@ -158,13 +158,36 @@ def test_bootstrap_weights_sum_to_clusters(spark):
     assert [r.w for r in w.collect()] == [7] * 5
 
 
-@pytest.mark.parametrize("blocks", [1, 4, 64])
-def test_kendall_against_all_pairs(spark, blocks):
-    rng = np.random.default_rng(blocks)
+@pytest.mark.parametrize("stretch", [5, 1 << 16])
+def test_bootstrap_areas_against_drawn_rows(spark, monkeypatch, stretch):
+    """Areas by stretches and blocks are those of the rows drawn by ``cluster_weights``; ties, repeats and a null score."""
+    monkeypatch.setattr(inference, "STRETCH", stretch)
+    monkeypatch.setattr(inference, "BLOCK", 3)
+    rng = np.random.default_rng(7)
+    data = [(["u", "v"][i % 2], int(i % 9), float(rng.integers(0, 12)), float(rng.integers(0, 30)), float(rng.integers(0, 5)) / 4) for i in range(80)]
+    rows = spark.createDataFrame([*data, data[0], ("u", 3, None, 2.0, 0.5)], "cond string, cluster int, a double, b double, risk double")
+    got = inference.bootstrap_differences(rows, ["cond"], "a", "b", "risk", "cluster", 7, F.lit(11))
+    drawn = rows.join(inference.cluster_weights(rows, ["cond"], "cluster", 7, F.lit(11)), ["cond", "cluster"]).collect()
+
+    def area(cond, rep, side):
+        each = [(-(getattr(r, side) if getattr(r, side) is not None else -1e9), r.risk) for r in drawn if (r.cond, r.rep) == (cond, rep) for _ in range(r.weight)]
+        mean = {s: np.mean([k for t, k in each if t == s]) for s, _ in each}
+        in_order = [mean[s] for s, _ in sorted(each)]  # the expected risk of a place within ties is their mean
+        return np.mean(np.cumsum(in_order) / np.arange(1, len(each) + 1))
+
+    got = got.collect()
+    assert len(got) == 14
+    for r in got:
+        assert (r.left, r.right) == pytest.approx((area(r.cond, r.rep, "a"), area(r.cond, r.rep, "b")))
+
+
+@pytest.mark.parametrize("radix", [2, 4, 16])
+def test_kendall_against_all_pairs(spark, radix):
+    rng = np.random.default_rng(radix)
     x, y = rng.integers(0, 9, 60), rng.integers(0, 9, 60)
     s = [(np.sign(x[i] - x[j]), np.sign(y[i] - y[j])) for i in range(60) for j in range(i)]
     want = sum(a * b for a, b in s) / sqrt(sum(a != 0 for a, _ in s) * sum(b != 0 for _, b in s))
-    assert agreement.kendall(scores(spark, zip(x, y)), ["cond"], "score", "risk", blocks).first()["tau"] == pytest.approx(want)
+    assert agreement.kendall(scores(spark, zip(x, y)), ["cond"], "score", "risk", radix).first()["tau"] == pytest.approx(want)
 
 
 def test_grouped_reliability(spark):
