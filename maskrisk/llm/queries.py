@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_words import token_digest
 from .common import table
 from .html_extract import extract
 from .line_dedup import line_digest
@@ -75,6 +76,13 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text of ``documents`` and what they decode to; odd rows as in ``round_trip``."""
+    import public_tokenizers
+
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_lines": op2_lines,
@@ -86,4 +94,5 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
+    "op13_bpe": op13_bpe,
 }
