@@ -11,6 +11,7 @@ from .html_extract import extract
 from .line_dedup import line_digest
 from .minhash import fingerprint_edits
 from .packing import packing_digest
+from .prefix_trie import prefix_trie
 from .quality_mil import classify
 from .quality_rules import judge_quality
 from .sentencepiece_codec import round_trip
@@ -76,6 +77,11 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of ``conversations``; odd rows as in ``prefix_trie``."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text of ``documents`` and what they decode to; odd rows as in ``round_trip``."""
     import public_tokenizers
@@ -94,5 +100,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_bpe": op13_bpe,
 }

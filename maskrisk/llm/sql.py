@@ -94,9 +94,38 @@ t AS (
 SELECT page_id, url, array_to_string(list_filter(said, lambda x: x <> ''), ' ') AS text, CAST(length(array_to_string(list_filter(said, lambda x: x <> ''), ' ')) AS BIGINT) AS n_chars FROM t
 """
 
+#: CRC-32 of the decimal conv_id, bit by bit.
+OP12 = '''
+WITH t AS (
+  SELECT conv_id, hex(encode(coalesce(role, ''))) || ':' || coalesce(text, '') AS said, length(coalesce(text, '')) AS n,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(hex(encode(coalesce(role, ''))) || ':' || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+         lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS own, t.k, t.said, t.n FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.k <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.k, t.said, t.n FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, n, string_agg(sha256(said), '') OVER w AS node FROM r
+  WINDOW w AS (PARTITION BY conv_id ORDER BY own, k ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT conv_id, 0 AS depth, 0 AS n, '' AS node FROM c UNION ALL SELECT conv_id, depth, n, node FROM p),
+g AS (SELECT node, any_value(depth) AS depth, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs FROM m GROUP BY node),
+kids AS (SELECT left(node, len(node) - 64) AS node, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN kids USING (node)),
+under AS (
+  SELECT a.node, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.n) AS saved_tokens
+  FROM f a JOIN f b ON starts_with(b.node, a.node) GROUP BY a.node),
+ends AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(node, depth) AS node FROM m GROUP BY conv_id) GROUP BY node)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM f LEFT JOIN f up ON f.depth > 0 AND up.node = left(f.node, len(f.node) - 64) JOIN under ON under.node = f.node LEFT JOIN ends ON ends.node = f.node
+'''
+
 SQL = {
     "op3_html": OP3,
     "op5_suffix_dedup": OP5,
     "op7_rules": OP7,
     "op8_url_filter": OP8,
+    "op12_prefix_trie": OP12,
 }
