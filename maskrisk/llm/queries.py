@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_words import token_digest
+from .collocations import collocations
 from .common import table
 from .html_extract import extract
 from .line_dedup import line_digest
@@ -77,6 +78,11 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language of ``documents``; odd rows as in ``collocations``."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of ``conversations``; odd rows as in ``prefix_trie``."""
     return prefix_trie(table(spark, sf_dir, "conversations"))
@@ -100,6 +106,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_bpe": op13_bpe,
 }

@@ -122,10 +122,29 @@ SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id
 FROM f LEFT JOIN f up ON f.depth > 0 AND up.node = left(f.node, len(f.node) - 64) JOIN under ON under.node = f.node LEFT JOIN ends ON ends.node = f.node
 '''
 
+OP11 = r'''
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+total AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) AS r(k) WHERE len(ws) >= k),
+f AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, any_value(k) AS k, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+cut AS (SELECT c.*, unnest(range(1, k)) AS first FROM c),
+s AS (SELECT cut.lang, cut.phrase, a, l.f AS l, r.f AS r, n, 1000 * a * n // (l.f * r.f) AS score, first
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(ws[:first], ' ') JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(ws[first + 1:], ' ') JOIN total ON total.lang = cut.lang
+  QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, first) = 1),
+inner_ AS (SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, a, ws, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) AS r(m) WHERE m < k)),
+most AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY lang, phrase)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM s LEFT JOIN most ON most.lang = s.lang AND most.phrase = s.phrase WHERE most IS NULL OR 100 * most < 100 * a QUALIFY rank <= 2000
+'''
+
 SQL = {
     "op3_html": OP3,
     "op5_suffix_dedup": OP5,
     "op7_rules": OP7,
     "op8_url_filter": OP8,
+    "op11_collocations": OP11,
     "op12_prefix_trie": OP12,
 }
