@@ -9,6 +9,8 @@ equal hashes of different phrases change no count.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,7 +171,8 @@ def may_be_frequent(blocks: DataFrame, threshold: int, longest: int, deals: int)
 def frequent_phrases(blocks: DataFrame, threshold: int, longest: int) -> DataFrame:
     """(lang, phrase, length, f): every phrase of up to ``longest`` words with f = ``threshold`` occurrences or more, exactly."""
     mass = longest * (blocks.agg(F.sum("n")).first()[0] or 0)
-    kept_hashes = may_be_frequent(blocks, threshold, longest, max(parts(blocks.sparkSession), -(-mass // DEAL_MASS)))
+    deals = max(parts(blocks.sparkSession), -(-mass // DEAL_MASS))
+    kept_hashes = may_be_frequent(blocks, threshold, longest, deals)
 
     def count(own: pa.Table, found: pa.Table) -> pa.Table:
         out: list[tuple[list, np.ndarray, int]] = []
@@ -191,19 +194,37 @@ def frequent_phrases(blocks: DataFrame, threshold: int, longest: int) -> DataFra
                 rank = np.full(len(codes), -1, np.int64)
                 rank[places] = inverse
                 out.append(([" ".join(words[c - 1] for c in codes[p : p + n]) for p in places[first].tolist()], counts, n))
+        # packed by the deal of the phrase, as hashes are: a row for each phrase of each block would be many more bytes
+        said: dict[tuple[int, int], tuple[list, list]] = {}
+        for phrases, counts, n in out:
+            for phrase, c in zip(phrases, counts.tolist()):
+                to = said.setdefault((zlib.crc32(phrase.encode()) % deals, n), ([], []))
+                to[0].append(phrase)
+                to[1].append(c)
         return pa.table(
             {
-                "lang": pa.array([own.column("lang")[0].as_py()] * sum(len(x[0]) for x in out) if out else [], pa.string()),
-                "phrase": pa.array([p for x in out for p in x[0]], pa.string()),
-                "length": pa.array([x[2] for x in out for _ in x[0]], pa.int32()),
-                "f": pa.array([int(c) for x in out for c in x[1]], pa.int64()),
+                "deal": pa.array([d for d, _ in said], pa.int32()),
+                "lang": pa.array([own.column("lang")[0].as_py()] * len(said) if said else [], pa.string()),
+                "length": pa.array([n for _, n in said], pa.int32()),
+                "phrases": pa.array(["\n".join(p) for p, _ in said.values()], pa.string()),
+                "counts": pa.array([c for _, c in said.values()], pa.list_(pa.int64())),
             }
         )
 
+    def add(dealt: pa.Table) -> pa.Table:
+        sums: dict[tuple[str, int], Counter] = defaultdict(Counter)
+        for batch in dealt.to_batches():
+            for x in batch.to_pylist():
+                of = sums[x["lang"], x["length"]]
+                for phrase, c in zip(x["phrases"].split("\n"), x["counts"]):
+                    of[phrase] += c
+        rows = [(lang, phrase, n, c) for (lang, n), of in sums.items() for phrase, c in of.items() if c >= threshold]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "length", "f"])
+
     own = blocks.select("block", "lang", "size", "codes", "words")
     found = kept_hashes.withColumnRenamed("block", "of")
-    made = own.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(trimmed(count), "lang string, phrase string, length int, f long")
-    return written(made.groupBy("lang", "phrase").agg(F.first("length").alias("length"), F.sum("f").alias("f")).where(F.col("f") >= threshold), "phrases")
+    made = own.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(trimmed(count), "deal int, lang string, length int, phrases string, counts array<long>")
+    return written(made.groupBy("deal").applyInArrow(trimmed(add), "lang string, phrase string, length int, f long"), "phrases")
 
 
 def best_phrases(phrases: DataFrame, totals: DataFrame, top: int, covered: int) -> DataFrame:
