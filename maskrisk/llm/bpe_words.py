@@ -80,28 +80,41 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
+    """``df`` as ``kept``, in buckets by ``key``: later work by that key reads it where it lies, without a shuffle."""
+    path = scratch(df.sparkSession, what)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.option("compression", "zstd").option("path", path).bucketBy(parts(df.sparkSession), key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def word_blocks(docs: DataFrame, deals: int) -> DataFrame:
-    """(block, doc_ids, counts, codes, lists): blocks of whole texts, each word once.
+    """(block, doc_ids, counts, codes, deals, lists): blocks of whole texts, each word once.
 
-    lists has the words by the deal that their hash names, joined by blanks; codes has for every place of the texts the
-    number of its word in these lists; counts are the words of each text.
+    A block's words are numbered by frequency, the most frequent first. codes has the number for every place of the
+    texts, byte by byte of their places; deals has for each word the deal that its hash names; lists has the words of each
+    deal, in order, joined by blanks and packed; counts are the words of each text.
     """
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType(
-        [T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType())]
-        + [T.StructField("lists", T.ArrayType(T.StructType([T.StructField("deal", T.IntegerType()), T.StructField("words", T.StringType())])))]
+        [T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType()), T.StructField("n_words", T.IntegerType()), T.StructField("deals", T.BinaryType())]
+        + [T.StructField("lists", T.ArrayType(T.StructType([T.StructField("deal", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("words", T.BinaryType())])))]
     )
     arrow = [to_arrow_type(f.dataType) for f in schema]
 
     def block(number: int, ids: list, codes: list[np.ndarray], words: Numbers) -> pa.RecordBatch:
+        flat = np.concatenate(codes)
+        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
         names = list(words)
-        deal = np.fromiter((zlib.crc32(w) % deals for w in names), np.int64, len(names))
-        order = np.argsort(deal, kind="stable")
-        place = np.empty(len(names), np.uint32)
-        place[order] = np.arange(len(names), dtype=np.uint32)
-        bounds = np.flatnonzero(np.diff(deal[order], prepend=-1, append=-1))
-        lists = [{"deal": int(deal[order[a]]), "words": b" ".join(names[i] for i in order[a:b]).decode()} for a, b in zip(bounds[:-1], bounds[1:])] if names else []
-        row = number, ids, [len(c) for c in codes], packed(place[np.concatenate(codes)]) if names else b"", lists
+        names = [names[i] for i in order]
+        deal = np.fromiter((zlib.crc32(w) % deals for w in names), np.uint32, len(names))
+        by_deal = np.argsort(deal, kind="stable")
+        bounds = np.flatnonzero(np.diff(deal[by_deal].astype(np.int64), prepend=-1, append=-1)) if names else []
+        lists = [(int(deal[by_deal[a]]), b" ".join(names[i] for i in by_deal[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
+        lists = [{"deal": d, "size": len(w), "words": pa.compress(w, codec="zstd", asbytes=True)} for d, w in lists]
+        row = number, ids, [len(c) for c in codes], packed(np.ascontiguousarray(rank[flat].view(np.uint8).reshape(-1, 4).T)), len(names), packed(deal), lists
         return pa.record_batch([pa.array([x], t) for x, t in zip(row, arrow)], names=schema.names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +135,7 @@ def word_blocks(docs: DataFrame, deals: int) -> DataFrame:
         ids = codes = words = None
         trim()
 
-    return kept(ship(docs.select("doc_id", "text")).mapInArrow(split, schema), "words")
+    return bucketed(ship(docs.select("doc_id", "text")).mapInArrow(split, schema), "words", "block")
 
 
 def encoded_lists(blocks: DataFrame, path: str) -> DataFrame:
@@ -130,8 +143,8 @@ def encoded_lists(blocks: DataFrame, path: str) -> DataFrame:
 
     def encode(lists: pa.Table) -> pa.Table:
         words, codes = Numbers(), []
-        for said in lists.column("words").to_pylist():
-            said = said.split(" ")
+        for size, said in zip(lists.column("size").to_pylist(), lists.column("words").to_pylist()):
+            said = pa.decompress(said, size, codec="zstd", asbytes=True).decode().split(" ")
             codes.append(np.fromiter(map(words.__getitem__, said), np.int64, len(said)))
         names, tokenizer = list(words), tokenizer_of(path)
         lengths, ids = np.zeros(len(names), np.int64), []
@@ -208,7 +221,9 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         lengths = np.concatenate([np.zeros(0, np.int64), *(unpacked(x["lengths"], x["n_words"], "<u4") for x in lists)]).astype(np.int64)
         ids = np.concatenate([np.zeros(0, "<u4"), *(unpacked(x["ids"], x["n_ids"], "<u4") for x in lists)]).astype(np.int32)
         counts = np.array(own.column("counts")[0].as_py(), np.int64)
-        codes = unpacked(own.column("codes")[0].as_py(), int(counts.sum()), "<u4")
+        codes = np.ascontiguousarray(unpacked(own.column("codes")[0].as_py(), 4 * int(counts.sum()), "u1").reshape(4, -1).T).view("<u4").ravel()
+        place = np.argsort(np.argsort(unpacked(own.column("deals")[0].as_py(), own.column("n_words")[0].as_py(), "<u4"), kind="stable"), kind="stable")
+        codes = place[codes]
         placed = gathered(np.cumsum(lengths) - lengths, lengths, ids, codes)
         ends = np.concatenate([[0], np.cumsum(lengths[codes])])[np.concatenate([[0], np.cumsum(counts)])]
         of = found.filter(pa.compute.is_valid(found.column("pieces")))
@@ -216,7 +231,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         return pa.table({"doc_id": doc_ids.cast(kind), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(placed, pa.int32())), "decoded": said(placed, np.diff(ends), of)})
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    own = blocks.select("block", "doc_ids", "counts", "codes")
+    own = blocks.select("block", "doc_ids", "counts", "codes", "n_words", "deals")
     return own.groupBy("block").cogroup(answers.unionByName(pieces).groupBy("block")).applyInArrow(trimmed(join), schema)
 
 
