@@ -182,7 +182,8 @@ def pieces_of_blocks(seen: DataFrame, path: str) -> DataFrame:
 
     A block has at most as many rows here as the vocabulary has ids.
     """
-    pairs = seen.select("block", F.explode("seen").alias("id")).distinct().join(piece_table(seen, path), "id")
+    once = seen.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("seen"))).alias("ids"))
+    pairs = once.select("block", F.explode("ids").alias("id")).join(piece_table(seen, path), "id")
     one = pairs.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "piece"))).alias("p"))
     return one.select("block", F.col("p.id").alias("piece_ids"), F.col("p.piece").alias("pieces"))
 
@@ -208,7 +209,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     A row for each row of ``docs``, repeated and null doc_ids too; a null or empty text, and one of blanks alone, has no
     ids and decodes to the empty text. Other columns are not read, whatever their names. An empty table gives none.
     """
-    blocks = word_blocks(docs, 4 * parts(docs.sparkSession))
+    blocks = word_blocks(docs, 2 * parts(docs.sparkSession))
     lists = kept(encoded_lists(blocks, path), "lists")
     answers = lists.select("block", F.struct("deal", "lengths", "n_words", "ids", "n_ids").alias("list"), F.lit(None).cast("array<int>").alias("piece_ids"), F.lit(None).cast("array<string>").alias("pieces"))
     pieces = pieces_of_blocks(lists, path).select("block", F.lit(None).cast(answers.schema["list"].dataType).alias("list"), "piece_ids", "pieces")
