@@ -190,7 +190,7 @@ def pieces_of_blocks(seen: DataFrame, path: str) -> DataFrame:
 
 def said(ids: np.ndarray, counts: np.ndarray, of: pa.Table) -> pa.Array:
     """The text of each stretch of ids: its pieces with a blank between, those without a piece left out."""
-    known = np.array(of.column("piece_ids")[0].as_py() if of.num_rows else [], np.int64)
+    known = np.array(of.column("piece_ids")[0].as_py() if of.num_rows else [], ids.dtype)
     names = of.column("pieces")[0].as_py() if of.num_rows else []
     at = np.searchsorted(known, ids)
     at[at == len(known)] = 0
@@ -225,11 +225,17 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         codes = np.ascontiguousarray(unpacked(own.column("codes")[0].as_py(), 4 * int(counts.sum()), "u1").reshape(4, -1).T).view("<u4").ravel()
         place = np.argsort(np.argsort(unpacked(own.column("deals")[0].as_py(), own.column("n_words")[0].as_py(), "<u4"), kind="stable"), kind="stable")
         codes = place[codes]
-        placed = gathered(np.cumsum(lengths) - lengths, lengths, ids, codes)
-        ends = np.concatenate([[0], np.cumsum(lengths[codes])])[np.concatenate([[0], np.cumsum(counts)])]
-        of = found.filter(pa.compute.is_valid(found.column("pieces")))
-        doc_ids = own.column("doc_ids").chunk(0).values if own.column("doc_ids").num_chunks else own.column("doc_ids").combine_chunks().values
-        return pa.table({"doc_id": doc_ids.cast(kind), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(placed, pa.int32())), "decoded": said(placed, np.diff(ends), of)})
+        starts, texts = np.cumsum(lengths) - lengths, np.concatenate([[0], np.cumsum(counts)])
+        of, out_ids, out_said = found.filter(pa.compute.is_valid(found.column("pieces"))), [], []
+        for at in range(0, len(counts), 500):  # some texts at a time: a block's ids take many times its words
+            stops = texts[at : at + 501]
+            own_codes = codes[stops[0] : stops[-1]]
+            placed = gathered(starts, lengths, ids, own_codes)
+            ends = np.concatenate([[0], np.cumsum(lengths[own_codes])])[stops - stops[0]]
+            out_ids.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(placed, pa.int32())))
+            out_said.append(said(placed, np.diff(ends), of))
+        doc_ids = own.column("doc_ids").combine_chunks().values
+        return pa.table({"doc_id": doc_ids.cast(kind), "ids": pa.chunked_array(out_ids), "decoded": pa.chunked_array(out_said)})
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     own = blocks.select("block", "doc_ids", "counts", "codes", "n_words", "deals")
