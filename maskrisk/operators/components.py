@@ -2,51 +2,106 @@
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scores import dice_loss, hash_unit
-from ..functions.shared import shared_dir
+from ..functions.shared import shipped, written
+
+#: Rows of a band: a task joins the runs of one band of one image.
+BAND_ROWS = 128
+log = logging.getLogger(__name__)
+
 
+def band_roots(y: list[int], x0: list[int], x1: list[int], v: list) -> list[int]:
+    """For each run of a band, in reading order, the place of the first run of its component within the band.
+
+    One pass joins each run with those of the row above that it touches and that have its value, a second looks up.
+    """
+    root = list(range(len(y)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    above = low = 0  # where the row above begins, and its first run that can still touch
+    start = 0
+    for i in range(len(y)):
+        if i and y[i] != y[i - 1]:
+            above, start = (start, i) if y[i] == y[i - 1] + 1 else (i, i)
+            low = above
+        while low < start and x1[low] < x0[i]:
+            low += 1
+        j = low
+        while j < start and x0[j] <= x1[i]:
+            if v[j] == v[i]:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+            j += 1
+    return [find(i) for i in range(len(y))]
+
+
+def contracted(edges: DataFrame, key: list[str]) -> DataFrame:
+    """(key, node, root): the smallest node of the component of each node of an edge table (key, u, v).
+
+    Alternating large and small stars; each round is a written table, so that no plan and no size estimate grows. Rounds
+    grow with the logarithm of the longest chain of edges; the loop ends when a round changes nothing.
+    """
 
-def _settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder, which cuts the growing lineage of a loop."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*key, "u", "v").cast("decimal(38,0)"))).first())
+
+    at = [F.col(k) for k in key]
+    now = written(edges.select(*at, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
+    before, rounds = state(now), 0
+    while before[0]:
+        both = now.unionByName(now.select(*at, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(*key, "u").agg(F.min("v").alias("m"))
+        large = both.join(low, [*key, "u"]).where("v > u").select(*at, F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct()
+        low = large.groupBy(*key, "u").agg(F.min("v").alias("m"))
+        star = F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        now = written(large.join(low, [*key, "u"]).select(*at, star.alias("e")).select(*at, "e.u", "e.v").where("u > v").distinct(), "edges")
+        rounds, after = rounds + 1, state(now)
+        if after == before:
+            break
+        before = after
+    log.info("components of band borders settled in %d rounds", rounds)
+    return now.select(*at, F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def components(px: DataFrame, key: list[str], value: str, rounds: int = 50) -> DataFrame:
+def components(px: DataFrame, key: list[str], value: str, band_rows: int = BAND_ROWS) -> DataFrame:
     """``px`` with label: 4-connected components of equal ``value``, contiguous from 0 in reading order of their first pixel.
 
-    Rows are collapsed to runs; overlapping runs of equal value in neighbouring rows are edges; labels spread by smallest
-    neighbour and pointer jumping until nothing changes.
+    Rows are collapsed to runs; the runs of each band of rows are joined in one task; runs that touch across the border
+    of two bands are edges between the components of the bands, and these are contracted.
     """
     w = W.partitionBy(*key, "y").orderBy("x")
     run = F.sum(F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)).over(w)
     numbered = px.select("*", run.alias("_run"))
     runs = numbered.groupBy(*key, "y", "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first(value).alias("v"))
-    runs = runs.withColumn("node", F.col("y").cast("long") * (1 << 32) + F.col("x0"))
-    runs = _settled(runs)
-    a, b = runs.alias("a"), runs.alias("b")
+    runs = runs.withColumn("node", F.col("y").cast("long") * (1 << 32) + F.col("x0")).withColumn("band", F.floor(F.col("y") / band_rows))
+    schema = T.StructType([*runs.schema.fields, T.StructField("root", T.LongType())])
+
+    def join(band: pa.Table) -> pa.Table:
+        band = band.take(pa.array(np.argsort(band.column("node").to_numpy())))
+        root = band_roots(*(band.column(c).to_pylist() for c in ("y", "x0", "x1", "v")))
+        return band.append_column("root", band.column("node").take(pa.array(root, pa.int64())).cast(pa.int64())).select(schema.names)
+
+    runs = written(shipped(runs).groupBy(*key, "band").applyInArrow(join, schema), "runs")
+    a, b = runs.where((F.col("y") + 1) % band_rows == 0).alias("a"), runs.where(F.col("y") % band_rows == 0).alias("b")
     touch = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key] + [F.col("b.y") == F.col("a.y") + 1, F.col("a.v") == F.col("b.v"), F.col("a.x0") <= F.col("b.x1"), F.col("b.x0") <= F.col("a.x1")]
-    down = a.join(b, touch).select(*[F.col(f"a.{k}").alias(k) for k in key], F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    edges = _settled(down.unionByName(down.select(*key, F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = runs.select(*key, "node", F.col("node").alias("root"))
-    for _ in range(rounds):
-        near = edges.join(labels.withColumnRenamed("node", "v"), [*key, "v"]).groupBy(*key, F.col("u").alias("node")).agg(F.min("root").alias("m"))
-        step = labels.join(near, [*key, "node"], "left").select(*key, "node", "root", F.least("root", "m").alias("r"))
-        jump = step.select(*key, F.col("node").alias("r"), F.col("r").alias("rr"))
-        new = _settled(step.join(jump, [*key, "r"]).select(*key, "node", F.least("r", "rr").alias("root"), (F.least("r", "rr") != F.col("root")).alias("moved")))
-        labels = new.select(*key, "node", "root")
-        if not new.where("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    named = labels.withColumn("label", F.dense_rank().over(W.partitionBy(*key).orderBy("root")) - 1).select(*key, "node", "label")
-    at = runs.join(named, [*key, "node"]).select(*key, "y", "_run", "label")
+    edges = a.join(b, touch).select(*[F.col(f"a.{k}").alias(k) for k in key], F.col("a.root").alias("u"), F.col("b.root").alias("v"))
+    upper = contracted(edges, key).select(*key, F.col("node").alias("root"), F.col("root").alias("_top"))
+    tops = runs.join(upper, [*key, "root"], "left").select(*key, "y", "_run", F.coalesce("_top", "root").alias("_top"))
+    named = tops.select(*key, "_top").distinct().withColumn("label", F.row_number().over(W.partitionBy(*key).orderBy("_top")) - 1)
+    at = tops.join(named, [*key, "_top"]).select(*key, "y", "_run", "label")
     return numbered.join(at, [*key, "y", "_run"]).drop("_run")
 
 

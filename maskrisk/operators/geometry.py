@@ -7,9 +7,20 @@ of {p >= t} exactly if m < t <= p.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.shared import shipped
+
+#: More than any distance within an image.
+FAR = 1 << 22
 
 
 def with_neighbours(px: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -34,25 +45,132 @@ def level_surfaces(px: DataFrame, key: list[str], nodes: list[float]) -> DataFra
 def nearest(from_: DataFrame, to: DataFrame, key: list[str]) -> DataFrame:
     """d2 for each point of ``from_``: the squared distance to the nearest point of ``to`` with the same key.
 
-    ``to`` is first folded to one row for each image column, so a point meets at most as many rows as the image has
-    columns, not every surface point; within a column the nearest row is found in its short array.
+    The separable distance transform. First along columns: each column of ``to`` gives its gap to every row that has
+    points. Then along rows: a row's points look left and right over the gaps as long as a column can still be nearer.
+    No more rows arise than images have pixels, and a task holds one row or column of an image.
     """
-    columns = to.groupBy(*key, F.col("x").alias("cx")).agg(F.collect_list("y").alias("ys"))
-    gap = F.array_min(F.transform("ys", lambda v: F.abs(v - F.col("y"))))
-    each = from_.join(columns, key)
-    dx = F.col("cx") - F.col("x")
-    extra = [c for c in from_.columns if c not in (*key, "y", "x")]
-    return each.groupBy(*key, *extra, "y", "x").agg(F.min(dx * dx + gap * gap).cast("long").alias("d2"))
-
-
-def hausdorff(left: DataFrame, right: DataFrame, key: list[str], images: DataFrame) -> DataFrame:
+    rows = from_.groupBy(*key).agg(F.sort_array(F.collect_set("y")).alias("rows"))
+    columns = to.groupBy(*key, F.col("x").alias("cx")).agg(F.sort_array(F.collect_list("y")).alias("ys")).join(rows, key)
+
+    @F.pandas_udf("array<int>")
+    def gaps(ys: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([steps_to(np.asarray(y), np.asarray(r)) for y, r in zip(ys, rows)], dtype=object)
+
+    @F.pandas_udf("array<long>")
+    def squares(cells: pd.DataFrame) -> pd.Series:
+        found = []
+        for xs, cx, gap in zip(cells["xs"], cells["cx"], cells["gap"]):
+            cx, order = np.sort(np.asarray(cx)), np.argsort(np.asarray(cx))
+            found.append(least_squares(cx, np.asarray(gap, np.int64)[order, None] ** 2, np.asarray(xs))[:, 0])
+        return pd.Series(found, dtype=object)
+
+    each = shipped(columns).select(*key, "cx", F.explode(F.arrays_zip("rows", gaps("ys", "rows").alias("gap"))).alias("e")).select(*key, "cx", F.col("e.rows").alias("y"), F.col("e.gap").alias("gap"))
+    cells = each.groupBy(*key, "y").agg(F.collect_list(F.struct("cx", "gap")).alias("c"))
+    points = from_.groupBy(*key, "y").agg(F.collect_list(F.struct("*")).alias("points"))
+    both = points.join(cells, [*key, "y"]).select("points", squares(F.struct(F.col("points.x").alias("xs"), F.col("c.cx").alias("cx"), F.col("c.gap").alias("gap"))).alias("d2"))
+    return both.select(F.explode(F.arrays_zip("points", "d2")).alias("e")).select("e.points.*", F.col("e.d2").alias("d2"))
+
+
+def steps_to(ys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each of ``rows`` the distance to the nearest of the ascending ``ys``."""
+    at = np.searchsorted(ys, rows)
+    return np.minimum(np.abs(rows - ys[np.maximum(at - 1, 0)]), np.abs(ys[np.minimum(at, len(ys) - 1)] - rows)).astype(np.int32)
+
+
+def least_squares(xs: np.ndarray, g2: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The smallest g2[i] + (xs[i] - a)^2 over i for each a of ``at`` and each column of g2; xs ascending and distinct."""
+    xs, at = xs.astype(np.int64), at.astype(np.int64)
+    mid = np.searchsorted(xs, at)
+    best = np.full((len(at), g2.shape[1]), FAR * FAR, np.int64)
+    for step in range(len(xs) + 1):
+        for i in (mid - 1 - step, mid + step):
+            ok = np.flatnonzero((i >= 0) & (i < len(xs)))
+            i = i[ok]
+            best[ok] = np.minimum(best[ok], g2[i] + (xs[i] - at[ok])[:, None] ** 2)
+        if step * step >= best.max(initial=0):
+            break
+    return best
+
+
+def pooled_distances(px: DataFrame, key: list[str], value: str, fixed: str, nodes: list[float]) -> DataFrame:
+    """(key, k, d2, n): how often each squared distance occurs between the surfaces of {value >= nodes[k]} and of ``fixed``.
+
+    Both directions are pooled; nodes ascend. A surface point of a level lies at one distance from the fixed surface,
+    whatever its node, so that side is looked up once; the other side takes the gaps of all nodes through the same two
+    passes, along columns and along rows. A task holds one column or row of an image for all nodes.
+    """
+    t = np.array(nodes)
+    frame = with_neighbours(with_neighbours(px.select(*key, "y", "x", F.col(value).cast("double").alias("_v"), F.col(fixed).alias("_m")), key, "_m").withColumnRenamed("low", "_f"), key, "_v")
+    cells = frame.select(*key, "y", "x", "_v", F.col("low").cast("double").alias("_low"), ((F.col("_m") == 1) & (F.col("_f") == 0)).alias("_s"))
+    fields = [cells.schema[k] for k in key]
+    beside = T.StructType([*fields, *(T.StructField(n, k) for n, k in (("y", T.IntegerType()), ("x", T.IntegerType()), ("_v", T.DoubleType()), ("_low", T.DoubleType()), ("_s", T.BooleanType()), ("_gap", T.IntegerType()), ("_gaps", T.BinaryType())))])
+    counts = T.StructType([*fields, T.StructField("k", T.IntegerType()), T.StructField("d2", T.LongType()), T.StructField("n", T.LongType())])
+
+    def gap(ys: np.ndarray, on: np.ndarray) -> np.ndarray:
+        last = np.maximum.accumulate(np.where(on, ys, -FAR), axis=-1)
+        after = np.minimum.accumulate(np.where(on, ys, 2 * FAR)[..., ::-1], axis=-1)[..., ::-1]
+        return np.minimum(np.minimum(ys - last, after - ys), FAR).astype(np.int32)
+
+    def keys_of(batch: pa.RecordBatch, times: np.ndarray) -> list[pa.Array]:
+        return [batch.column(k).take(pa.array(np.repeat(np.arange(batch.num_rows), times))) for k in key]
+
+    def along(batch: pa.RecordBatch, name: str) -> Iterator[tuple]:
+        """The lists of one column or row after the other."""
+        lists = batch.column("_c")
+        ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+        parts = [flat.field(n) for n in ([name, "_v", "_low", "_s"] if name == "y" else [name, "_v", "_low", "_s", "_gap", "_gaps"])]
+        parts = [x if pa.types.is_binary(x.type) else x.to_numpy(zero_copy_only=False) for x in parts]
+        for i, j in zip(ends[:-1], ends[1:]):
+            yield tuple(x[i:j] for x in parts)
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for (there, *own), h in zip(along(batch, "y"), batch.column("_h").to_pylist()):
+                # a row that this column lacks still sees the column's points
+                ys, (v, low, s) = np.arange(h), (np.zeros(h, x.dtype) for x in own)
+                v[there], low[there], s[there] = own
+                levels = gap(ys, (low < t[:, None]) & (t[:, None] <= v))
+                made.append((ys, v, low, s, gap(ys, s), np.ascontiguousarray(levels.T)))
+            if made:
+                times = np.array([len(m[0]) for m in made])
+                ys, v, low, s, own = (np.concatenate([m[i] for m in made]) for i in range(5))
+                raw = b"".join(m[5].tobytes() for m in made)
+                gaps = pa.Array.from_buffers(pa.binary(), len(ys), [None, pa.py_buffer(np.arange(len(ys) + 1, dtype=np.int32) * (4 * len(t))), pa.py_buffer(raw)])
+                xs = batch.column("x").take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+                columns = [*keys_of(batch, times), pa.array(ys, pa.int32()), xs.cast(pa.int32()), *map(pa.array, (v, low, s, own)), gaps]
+                yield pa.record_batch(columns, names=beside.names)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for xs, v, low, s, own, gaps in along(batch, "x"):
+                first, last = np.searchsorted(t, low, "right"), np.searchsorted(t, v, "right")
+                level = np.flatnonzero(first < last)
+                near = least_squares(xs, own.astype(np.int64)[:, None] ** 2, xs[level])[:, 0]
+                times = (last - first)[level]
+                ks = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first[level], times)
+                back = least_squares(xs, np.frombuffer(b"".join(gaps.to_pylist()), "<i4").reshape(len(xs), -1).astype(np.int64) ** 2, xs[np.flatnonzero(s)])
+                d2, k = np.concatenate([np.repeat(near, times), back.ravel()]), np.concatenate([ks, np.tile(np.arange(len(t)), len(back))])
+                made.append(np.unique((k.astype(np.int64) << 48 | d2)[d2 < FAR * FAR // 4], return_counts=True))
+            if made:
+                times = np.array([len(m[0]) for m in made])
+                both, n = (np.concatenate([m[i] for m in made]) for i in (0, 1))
+                yield pa.record_batch([*keys_of(batch, times), pa.array(both >> 48, pa.int32()), pa.array(both & ((1 << 48) - 1), pa.int64()), pa.array(n, pa.int64())], names=counts.names)
+
+    columns = shipped(cells).groupBy(*key, "x").agg(F.sort_array(F.collect_list(F.struct("y", "_v", "_low", "_s"))).alias("_c"))
+    columns = columns.join(cells.groupBy(*key).agg((F.max("y") + 1).alias("_h")), key)
+    rows = columns.mapInArrow(down, beside).groupBy(*key, "y").agg(F.sort_array(F.collect_list(F.struct("x", "_v", "_low", "_s", "_gap", "_gaps"))).alias("_c"))
+    return rows.mapInArrow(across, counts).groupBy(*key, "k", "d2").agg(F.sum("n").alias("n"))
+
+
+def hausdorff(pooled: DataFrame, key: list[str], images: DataFrame) -> DataFrame:
     """nhd and nhd95 for each row of ``images`` (key, diagonal, left_size, right_size): pooled surface distances.
 
     Largest and 95th percentile of the distances of both surfaces to each other, over the diagonal, at most 1. Both masks
     empty gives 0, one empty gives 1.
     """
-    pooled = nearest(left, right, key).select(*key, "d2").unionByName(nearest(right, left, key).select(*key, "d2"))
-    d = pooled.groupBy(*key).agg(F.max("d2").alias("m"), F.percentile(F.sqrt(F.col("d2").cast("double")), F.lit(0.95)).alias("q"))
+    d = pooled.groupBy(*key).agg(F.max("d2").alias("m"), F.percentile(F.sqrt(F.col("d2").cast("double")), F.lit(0.95), F.col("n")).alias("q"))
     joined = images.join(d, key, "left")
     both, one = (F.col("left_size") == 0) & (F.col("right_size") == 0), (F.col("left_size") == 0) | (F.col("right_size") == 0)
     out = lambda v: F.when(both, F.lit(0.0)).when(one, F.lit(1.0)).otherwise(F.least(F.lit(1.0), v / F.col("diagonal")))
@@ -68,20 +186,20 @@ def image_sizes(px: DataFrame, key: list[str], left, right) -> DataFrame:
 
 def mask_distances(px: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
     """``hausdorff`` of two 0/1 columns of a pixel table, with pixel-unit values hd and hd95."""
-    d = hausdorff(surface(px, key, left), surface(px, key, right), key, image_sizes(px, key, F.col(left), F.col(right)))
+    d = hausdorff(pooled_distances(px, key, left, right, [0.5]).drop("k"), key, image_sizes(px, key, F.col(left), F.col(right)))
     return d.select(*key, "nhd", "nhd95", (F.col("nhd") * F.col("diagonal")).alias("hd"), (F.col("nhd95") * F.col("diagonal")).alias("hd95"))
 
 
 def level_distances(px: DataFrame, key: list[str], nodes: list[float], gamma: float = 0.5) -> DataFrame:
     """(key, t, nhd, nhd95) of each node's level set against the action."""
-    at = F.array(*[F.lit(float(t)) for t in nodes])
-    levels = level_surfaces(px, key, nodes)
-    action = surface(px.withColumn("a", (F.col("p") >= gamma).cast("int")), key, "a")
+    nodes = sorted(float(t) for t in nodes)
+    at = F.array(*map(F.lit, nodes))
+    masked = px.withColumn("a", (F.col("p") >= gamma).cast("int"))
+    pooled = pooled_distances(masked, key, "p", "a", nodes).withColumn("t", F.get(at, F.col("k"))).drop("k")
     sizes = image_sizes(px, key, F.lit(0), (F.col("p") >= gamma).cast("int")).drop("left_size")
     counts = px.groupBy(*key).agg(F.max("p").alias("top"))
     images = sizes.join(counts, key).withColumn("t", F.explode(at)).withColumn("left_size", (F.col("top") >= F.col("t")).cast("int"))
-    every = action.withColumn("t", F.explode(at))
-    return hausdorff(levels, every, [*key, "t"], images)
+    return hausdorff(pooled, [*key, "t"], images)
 
 
 def distance_ladder(px: DataFrame, key: list[str], ms: list[int], gamma: float = 0.5) -> DataFrame:
