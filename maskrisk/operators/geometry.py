@@ -7,6 +7,7 @@ of {p >= t} exactly if m < t <= p.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,10 @@ from pyspark.sql import types as T
 
 from ..functions.shared import shipped
 
-#: More than any distance within an image.
-FAR = 1 << 22
+#: More than any distance within an image, and the bits of a squared distance within it.
+FAR, REACH = 1 << 22, 42
+#: Rows up to so many columns compare all their places at once; numbers that a task holds for that at a time, about.
+NARROW, CELLS = 64, 1 << 20
 
 
 def with_neighbours(px: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -81,7 +84,9 @@ def least_squares(xs: np.ndarray, g2: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The smallest g2[i] + (xs[i] - a)^2 over i for each a of ``at`` and each column of g2; xs ascending and distinct."""
     xs, at = xs.astype(np.int64), at.astype(np.int64)
     mid = np.searchsorted(xs, at)
-    best = np.full((len(at), g2.shape[1]), FAR * FAR, np.int64)
+    out = np.full((len(at), g2.shape[1]), FAR * FAR, np.int64)
+    some = np.flatnonzero(g2.min(0, initial=FAR * FAR) < FAR * FAR)
+    best, g2 = out[:, some], g2[:, some]
     for step in range(len(xs) + 1):
         for i in (mid - 1 - step, mid + step):
             ok = np.flatnonzero((i >= 0) & (i < len(xs)))
@@ -89,7 +94,26 @@ def least_squares(xs: np.ndarray, g2: np.ndarray, at: np.ndarray) -> np.ndarray:
             best[ok] = np.minimum(best[ok], g2[i] + (xs[i] - at[ok])[:, None] ** 2)
         if step * step >= best.max(initial=0):
             break
-    return best
+    out[:, some] = best
+    return out
+
+
+def alike(batch: pa.RecordBatch, name: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], pa.Array]]:
+    """The lists of a batch by their places: the lists, their places, their numbers as (lists, places), and all gaps."""
+    lists = batch.column("_c")
+    starts, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+    where = flat.field(name).to_numpy()
+    fields = [flat.field(n).to_numpy(zero_copy_only=False) for n in ("_v", "_low", "_s", *(["_gap"] if name == "x" else []))]
+    gaps, same, most = flat.field("_gaps") if name == "x" else None, defaultdict(list), batch.column("_h").to_pylist() if name == "y" else [0] * batch.num_rows
+    for n, (i, j) in enumerate(zip(starts[:-1], starts[1:])):
+        same[most[n], where[i:j].tobytes()].append(n)
+    for numbers in same.values():
+        size = int(starts[numbers[0] + 1] - starts[numbers[0]])
+        step = min(4096, max(1, CELLS // (64 * size)))
+        for at in range(0, len(numbers), step):
+            part = np.array(numbers[at : at + step])
+            cells = starts[part][:, None] + np.arange(size)
+            yield part, where[cells[0]], [f[cells] for f in fields], gaps.take(pa.array(cells.ravel())) if gaps is not None else None
 
 
 def pooled_distances(px: DataFrame, key: list[str], value: str, fixed: str, nodes: list[float]) -> DataFrame:
@@ -111,52 +135,42 @@ def pooled_distances(px: DataFrame, key: list[str], value: str, fixed: str, node
         after = np.minimum.accumulate(np.where(on, ys, 2 * FAR)[..., ::-1], axis=-1)[..., ::-1]
         return np.minimum(np.minimum(ys - last, after - ys), FAR).astype(np.int32)
 
-    def keys_of(batch: pa.RecordBatch, times: np.ndarray) -> list[pa.Array]:
-        return [batch.column(k).take(pa.array(np.repeat(np.arange(batch.num_rows), times))) for k in key]
-
-    def along(batch: pa.RecordBatch, name: str) -> Iterator[tuple]:
-        """The lists of one column or row after the other."""
-        lists = batch.column("_c")
-        ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
-        parts = [flat.field(n) for n in ([name, "_v", "_low", "_s"] if name == "y" else [name, "_v", "_low", "_s", "_gap", "_gaps"])]
-        parts = [x if pa.types.is_binary(x.type) else x.to_numpy(zero_copy_only=False) for x in parts]
-        for i, j in zip(ends[:-1], ends[1:]):
-            yield tuple(x[i:j] for x in parts)
-
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for (there, *own), h in zip(along(batch, "y"), batch.column("_h").to_pylist()):
-                # a row that this column lacks still sees the column's points
-                ys, (v, low, s) = np.arange(h), (np.zeros(h, x.dtype) for x in own)
-                v[there], low[there], s[there] = own
-                levels = gap(ys, (low < t[:, None]) & (t[:, None] <= v))
-                made.append((ys, v, low, s, gap(ys, s), np.ascontiguousarray(levels.T)))
-            if made:
-                times = np.array([len(m[0]) for m in made])
-                ys, v, low, s, own = (np.concatenate([m[i] for m in made]) for i in range(5))
-                raw = b"".join(m[5].tobytes() for m in made)
-                gaps = pa.Array.from_buffers(pa.binary(), len(ys), [None, pa.py_buffer(np.arange(len(ys) + 1, dtype=np.int32) * (4 * len(t))), pa.py_buffer(raw)])
-                xs = batch.column("x").take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
-                columns = [*keys_of(batch, times), pa.array(ys, pa.int32()), xs.cast(pa.int32()), *map(pa.array, (v, low, s, own)), gaps]
+            for part, there, own, _ in alike(batch, "y"):
+                # a row that these columns lack still sees their points
+                h, n = batch.column("_h")[int(part[0])].as_py(), len(part)
+                ys, (v, low, s) = np.arange(h), (np.zeros((n, h), x.dtype) for x in own)
+                v[:, there], low[:, there], s[:, there] = own
+                levels = gap(ys, (low[:, None] < t[:, None]) & (t[:, None] <= v[:, None])).transpose(0, 2, 1)
+                raw = np.arange(n * h + 1, dtype=np.int32) * (4 * len(t)), np.ascontiguousarray(levels)
+                gaps = pa.Array.from_buffers(pa.binary(), n * h, [None, *map(pa.py_buffer, raw)])
+                of = pa.array(np.repeat(part, h))
+                columns = [*(batch.column(k).take(of) for k in key), pa.array(np.tile(ys, n), pa.int32()), batch.column("x").take(of).cast(pa.int32()), *(pa.array(x.ravel()) for x in (v, low, s, gap(ys, s))), gaps]
                 yield pa.record_batch(columns, names=beside.names)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for xs, v, low, s, own, gaps in along(batch, "x"):
-                first, last = np.searchsorted(t, low, "right"), np.searchsorted(t, v, "right")
-                level = np.flatnonzero(first < last)
-                near = least_squares(xs, own.astype(np.int64)[:, None] ** 2, xs[level])[:, 0]
-                times = (last - first)[level]
-                ks = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first[level], times)
-                back = least_squares(xs, np.frombuffer(b"".join(gaps.to_pylist()), "<i4").reshape(len(xs), -1).astype(np.int64) ** 2, xs[np.flatnonzero(s)])
-                d2, k = np.concatenate([np.repeat(near, times), back.ravel()]), np.concatenate([ks, np.tile(np.arange(len(t)), len(back))])
-                made.append(np.unique((k.astype(np.int64) << 48 | d2)[d2 < FAR * FAR // 4], return_counts=True))
-            if made:
-                times = np.array([len(m[0]) for m in made])
-                both, n = (np.concatenate([m[i] for m in made]) for i in (0, 1))
-                yield pa.record_batch([*keys_of(batch, times), pa.array(both >> 48, pa.int32()), pa.array(both & ((1 << 48) - 1), pa.int64()), pa.array(n, pa.int64())], names=counts.names)
+            for part, xs, (v, low, s, own), gaps in alike(batch, "x"):
+                n, w = v.shape
+                gaps = np.frombuffer(b"".join(gaps.to_pylist()), "<i4").reshape(n, w, len(t)).astype(np.int64) ** 2
+                own = own.astype(np.int64) ** 2
+                row, x, k = np.nonzero((low[..., None] < t) & (t <= v[..., None]))
+                line, point = np.nonzero(s)
+                if w <= NARROW:  # every place with every other, for all rows at once
+                    apart = (xs[:, None].astype(np.int64) - xs) ** 2
+                    near = (own[:, None] + apart).min(-1)
+                    step = max(1, CELLS // (w * len(t)))
+                    back = [(gaps[line[i : i + step]] + apart[point[i : i + step], :, None]).min(1) for i in range(0, len(line), step)]
+                else:
+                    near = np.array([least_squares(xs, own[i, :, None], xs)[:, 0] for i in range(n)]) if len(row) else own
+                    back = [least_squares(xs, gaps[i], xs[np.flatnonzero(s[i])]) for i in range(n)]
+                back = np.concatenate([np.zeros((0, len(t)), np.int64), *back])
+                d2, k, row = np.concatenate([near[row, x], back.ravel()]), np.concatenate([k, np.tile(np.arange(len(t)), len(back))]), np.concatenate([row, np.repeat(line, len(t))])
+                both, times = np.unique(((row * len(t) + k) << REACH | d2)[d2 < 1 << REACH], return_counts=True)
+                (row, k), d2 = np.divmod(both >> REACH, len(t)), both & ((1 << REACH) - 1)
+                of = pa.array(part[row])
+                yield pa.record_batch([*(batch.column(c).take(of) for c in key), pa.array(k, pa.int32()), pa.array(d2, pa.int64()), pa.array(times, pa.int64())], names=counts.names)
 
     columns = shipped(cells).groupBy(*key, "x").agg(F.sort_array(F.collect_list(F.struct("y", "_v", "_low", "_s"))).alias("_c"))
     columns = columns.join(cells.groupBy(*key).agg((F.max("y") + 1).alias("_h")), key)

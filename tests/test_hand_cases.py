@@ -1,6 +1,7 @@
 """Small cases with known answers, and that results do not depend on row order or partitions."""
 
 import hashlib
+from collections import Counter
 from itertools import permutations
 from math import hypot, log2, sqrt
 
@@ -251,3 +252,52 @@ def test_row_order_and_partitions_do_not_matter(spark, sf):
     a = pixels.common_scores(px, K, patch=3).orderBy(*K).collect()
     b = pixels.common_scores(px.orderBy(F.rand(3)).repartition(7), K, patch=3).orderBy(*K).collect()
     assert all(x == pytest.approx(y) if isinstance(x, float) else x == y for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
+
+
+def test_components_over_many_bands(spark):
+    """A spiral and a comb of a thousand rows: one component each, and few rounds over the borders of bands."""
+    n = 1000
+    spiral, (y, x), (dy, dx), seen = np.zeros((n, 40), int), (0, 0), (0, 1), set()
+    for turn in range(40):  # a path two pixels from itself, inward
+        length = 0
+        while 0 <= y + dy < n and 0 <= x + dx < 40 and (not (0 <= y + 2 * dy < n and 0 <= x + 2 * dx < 40) or not spiral[y + 2 * dy, x + 2 * dx]):
+            spiral[y, x] = 1
+            y, x, length = y + dy, x + dx, length + 1
+        spiral[y, x] = 1
+        dy, dx = dx, -dy
+        if not length:
+            break
+    comb = np.zeros((n, 40), int)
+    comb[:, ::2], comb[-1, :] = 1, 1
+    rows = [(i, int(a), int(b), int(m[a, b])) for i, m in enumerate((spiral, comb)) for a in range(n) for b in range(40)]
+    px = spark.createDataFrame(rows, "s int, y int, x int, m int")
+    got = components.components(px, ["s"], "m", band_rows=64)
+    found = {(r.s, r.m): r.n for r in got.groupBy("s", "m").agg(F.countDistinct("label").alias("n")).collect()}
+    assert found[0, 1] == 1 and found[1, 1] == 1 and found[1, 0] == 20
+    chain = spark.createDataFrame([(0, i, i + 1) for i in range(2000)], "s int, u long, v long")
+    assert components.contracted(chain, ["s"]).agg(F.max("root")).first()[0] == 0
+
+
+@pytest.mark.parametrize("shape", [(9, 7), (5, 90), (40, 3)])
+def test_distances_against_all_pairs(spark, shape):
+    rng = np.random.default_rng(sum(shape))
+    p = rng.random(shape).round(2)
+    p[-1, shape[1] // 2 :] = np.nan  # a last row that ends early
+    rows = [(y, x, float(p[y, x])) for y in range(shape[0]) for x in range(shape[1]) if p[y, x] == p[y, x]]
+    px = spark.createDataFrame([(0, *r) for r in rows], "s int, y int, x int, p double").withColumn("a", (F.col("p") >= 0.5).cast("int"))
+    nodes = [0.1, 0.5, 0.9, 0.999]
+
+    def edge(on):
+        return {(y, x) for y, x in on if any((y + a, x + b) not in on for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))}
+
+    fixed = edge({(y, x) for y, x, v in rows if v >= 0.5})
+    want = Counter()
+    for k, t in enumerate(nodes):
+        level = edge({(y, x) for y, x, v in rows if v >= t})
+        for a, b in ((level, fixed), (fixed, level)):
+            want.update((k, min((y - q) ** 2 + (x - r) ** 2 for q, r in b)) for y, x in a if b)
+    assert {(r.k, r.d2): r.n for r in geometry.pooled_distances(px, ["s"], "p", "a", nodes).collect()} == dict(want)
+    points = spark.createDataFrame([(0, y, x) for y, x in sorted(fixed)], "s int, y int, x int")
+    other = spark.createDataFrame([(0, y, x) for y, x in sorted(edge({(y, x) for y, x, v in rows if v >= 0.9}))], "s int, y int, x int")
+    got = {(r.y, r.x): r.d2 for r in geometry.nearest(points, other, ["s"]).collect()}
+    assert got == {(y, x): min((y - q.y) ** 2 + (x - q.x) ** 2 for q in other.collect()) for y, x in fixed}
