@@ -101,7 +101,12 @@ def wasserstein(rows: DataFrame, cond: list[str], x: str, y: str) -> DataFrame:
 
 
 def strata_summary(rows: DataFrame, cond: list[str], value, stratum, strata: list[str]) -> DataFrame:
-    """Count, mean, median, 95th percentile and range of ``value`` for every stratum; nulls where one is empty."""
-    got = rows.select(*cond, stratum.alias("stratum"), value.alias("v")).groupBy(*cond, "stratum").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.percentile("v", F.lit(0.95)).alias("p95"), F.min("v").alias("low"), F.max("v").alias("high"))
-    every = rows.select(*cond).distinct().withColumn("stratum", F.explode(F.array(*[F.lit(x) for x in strata])))
+    """Count, mean, mean absolute value, root mean square and three quantiles of ``value``, over all rows and for every stratum.
+
+    A stratum without rows has the count 0 and nulls.
+    """
+    each = rows.select(*cond, value.alias("v"), F.explode(F.array(F.lit("all"), stratum)).alias("stratum"))
+    quantiles = [F.percentile("v", F.lit(q)).alias(name) for q, name in ((0.1, "p10"), (0.5, "median"), (0.9, "p90"))]
+    got = each.groupBy(*cond, "stratum").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.avg(F.abs("v")).alias("mean_absolute"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rmse"), *quantiles)
+    every = rows.select(*cond).distinct().withColumn("stratum", F.explode(F.array(*[F.lit(x) for x in ("all", *strata)])))
     return every.join(got, [*cond, "stratum"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

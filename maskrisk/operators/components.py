@@ -148,17 +148,19 @@ def partition_dice(labelled: DataFrame, key: list[str], coupling: str, draws: in
     """(key, repeat, confidence): minus the mean Dice loss over antithetic draws of one threshold for each block.
 
     Thresholds are hashes of seed, sample, coupling, repeat, draw and block; the second half of the draws mirrors the first.
-    Each block is collapsed to its distinct probabilities, and one aggregation over them counts what reaches a threshold.
+    A block's thresholds and its distinct probabilities are put in one descending order, where a running sum has at each
+    threshold what reaches it: rows grow with both numbers and not with their product.
     """
     a = F.col("p") >= gamma
-    cells = labelled.groupBy(*key, "label", "p").agg(F.sum(F.when(a, 1).otherwise(0)).alias("i"), F.sum(F.when(a, 0).otherwise(1)).alias("o"))
+    cells = labelled.groupBy(*key, "label", F.col("p").alias("v")).agg(F.sum(F.when(a, 1).otherwise(0)).alias("i"), F.sum(F.when(a, 0).otherwise(1)).alias("o"))
     sizes = cells.groupBy(*key).agg(F.sum("i").alias("action"))
     d = cells.select(*key, "label").distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws // 2 - 1))))
     u = hash_unit(F.lit(seed), F.col("sample_id"), F.lit(coupling), F.col("repeat"), F.col("draw"), F.col("label"))
-    d = d.withColumn("u", u).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("u", F.when(F.col("half") == 0, F.col("u")).otherwise(1 - F.col("u")))
-    reach = F.col("p") >= F.col("u")
-    s = d.join(cells, [*key, "label"]).groupBy(*key, "repeat", "draw", "half").agg(F.sum(F.when(reach, F.col("i")).otherwise(0)).alias("z"), F.sum(F.when(reach, F.col("o")).otherwise(0)).alias("w"))
-    s = s.join(sizes, key)
+    d = d.withColumn("u", u).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("v", F.when(F.col("half") == 0, F.col("u")).otherwise(1 - F.col("u"))).drop("u")
+    order = W.partitionBy(*key, "label").orderBy(F.desc("v"), F.asc_nulls_first("draw")).rowsBetween(W.unboundedPreceding, 0)
+    both = cells.unionByName(d, allowMissingColumns=True)
+    s = both.withColumns({"z": F.sum("i").over(order), "w": F.sum("o").over(order)}).where("draw is not null")
+    s = s.groupBy(*key, "repeat", "draw", "half").agg(F.sum(F.coalesce("z", F.lit(0))).alias("z"), F.sum(F.coalesce("w", F.lit(0))).alias("w")).join(sizes, key)
     return s.groupBy(*key, "repeat").agg((-F.avg(dice_loss(F.col("z"), F.col("z") + F.col("w"), F.col("action")))).alias("confidence"))
 
 

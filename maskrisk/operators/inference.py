@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import count_if, hash_seed, hash_unit, mix32
+from ..functions.shared import shipped
 from .selective import aurc, harmonics
 
 
@@ -160,17 +161,30 @@ def holm(rows: DataFrame, family: list[str], p: str = "p_value", tie: str = "nam
 
 
 def equal_count_reliability(rows: DataFrame, cond: list[str], predicted: str, observed: str, tie: str, resamples: int, bins: int = 10, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Ten bins of about equal count with an interval for each observed mean by drawing rows within the bin."""
+    """Ten bins of about equal count with an interval for each observed mean by drawing rows within the bin.
+
+    Tasks take a bin and a block of replicates, draw the rows' weights from hashes and give one mean for each replicate:
+    neither weights nor drawn rows are sent. A task holds the observed values of its bin.
+    """
     b = rows.withColumn("bin", F.ntile(bins).over(W.partitionBy(*cond).orderBy(predicted, tie)))
     group = [*cond, "bin"]
-    b = b.select(*group, F.col(predicted).alias("p"), F.col(observed).alias("o"), (F.row_number().over(W.partitionBy(*group).orderBy(predicted, tie)) - 1).alias("i"), F.count("*").over(W.partitionBy(*group)).alias("m"))
-    draws = b.select(*group, "i", "m", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
-    pick = F.floor(hash_unit(F.lit(seed), *[F.col(c) for c in group], F.col("rep"), F.col("i")) * F.col("m")).cast("int")
-    drawn = draws.groupBy(*group, "rep", pick.alias("i")).agg(F.count("*").alias("weight"))
-    means = drawn.join(b, [*group, "i"]).groupBy(*group, "rep").agg((F.sum(F.col("weight") * F.col("o")) / F.sum("weight")).alias("mean"))
+    b = b.select(*group, F.col(predicted).alias("p"), F.col(observed).cast("double").alias("o"), (F.row_number().over(W.partitionBy(*group).orderBy(predicted, tie)) - 1).alias("i"))
+    size = min(BLOCK, resamples)
+    each = b.select(*group, "i", "o", hash_seed(F.lit(str(seed)), *[F.col(c) for c in group]).cast("long").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // size))).alias("block"))
+    keys = ", ".join(f"`{c}` {b.schema[c].dataType.simpleString()}" for c in group)
+
+    def drawn(key, f):
+        values, m, block = f.sort_values("i")["o"].to_numpy(), len(f), int(key[-1])
+        last, run = min((block + 1) * size, resamples), max(1, CELLS // m)
+        parts = [np.arange(at, min(at + run, last)) for at in range(block * size, last, run)]
+        mean = np.concatenate([drawn_weights(int(f["seed"].iloc[0]), m, reps) @ values / m for reps in parts])
+        return pd.DataFrame({**dict(zip(group, key)), "rep": np.concatenate(parts), "mean": mean})
+
+    means = shipped(each).groupBy(*group, "block").applyInPandas(drawn, f"{keys}, rep int, mean double")
     tail = (1 - level) / 2
     ci = means.groupBy(*group).agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))
-    return b.groupBy(*group).agg(F.count("*").alias("n"), F.avg("p").alias("mean_predicted"), F.avg("o").alias("mean_observed")).join(ci, group)
+    own = b.groupBy(*group).agg(F.count("*").alias("n"), F.avg("p").alias("mean_predicted"), F.min("p").alias("least_predicted"), F.max("p").alias("largest_predicted"), F.avg("o").alias("mean_observed"))
+    return own.join(ci, group)
 
 
 def percent_margin(rows: DataFrame, cond: list[str], base: str, rival: str, risk: str, cluster: str, resamples: int, level: float = 0.95, seed: Column | None = None) -> DataFrame:

@@ -143,17 +143,6 @@ def a6(spark, sf_dir):
 
 
 add("a6_correlation_differences", a6, f"{REC}, {rho('q0', 'rec', C, 'confidence_dice_m32', 'risk_dice')}, {rho('q1', 'rec', C, 'confidence_sdc', 'risk_dice')}, {rho('q2', 'rec', C, 'confidence_nhd_m32', 'risk_nhd')}, {rho('q3', 'rec', C, 'confidence_sdc', 'risk_nhd')} SELECT {C}, {r('q0.rho - q1.rho', 'dice_gain')}, {r('q2.rho - q3.rho', 'nhd_gain')} FROM q0 JOIN q1 USING ({C}) JOIN q2 USING ({C}) JOIN q3 USING ({C})", ("dice_gain", "nhd_gain"))
-add("a7_difference_correlation", lambda s, d: A.spearman(records(s, d).withColumn("gap", F.col("confidence_dice_m32") - F.col("confidence_nhd_m32")), COND, "gap", "risk_nhd"), f"{REC}, g AS (SELECT *, confidence_dice_m32 - confidence_nhd_m32 AS gap FROM rec), {rho('z', 'g', C, 'gap', 'risk_nhd')} SELECT {C}, {r('rho', 'rho')}, n FROM z", ("rho",))
-STRATA = ["0-0.2", "0.2-0.4", "0.4-0.6", "0.6-0.8", "0.8-1"]
-
-
-def a8(spark, sf_dir):
-    v = 1 + F.col("confidence_dice_m32") - F.col("confidence_sdc")
-    b = F.least(F.floor(F.col("risk_dice") * 5), F.lit(4)).cast("int")
-    return A.strata_summary(records(spark, sf_dir), COND, v, F.element_at(F.array(*[F.lit(x) for x in STRATA]), b + 1), STRATA)
-
-
-add("a8_strata", a8, f"{REC}, v AS (SELECT {C}, 1 + confidence_dice_m32 - confidence_sdc AS v, list_extract(['0-0.2', '0.2-0.4', '0.4-0.6', '0.6-0.8', '0.8-1'], CAST(least(floor(risk_dice * 5), 4) AS INT) + 1) AS stratum FROM rec), g AS (SELECT {C}, stratum, count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.95) AS p95, min(v) AS low, max(v) AS high FROM v GROUP BY {C}, stratum) SELECT {C}, stratum, coalesce(n, 0) AS n, {r('mean', 'mean')}, {r('median', 'median')}, {r('p95', 'p95')}, {r('low', 'low')}, {r('high', 'high')} FROM (SELECT DISTINCT {C} FROM rec) CROSS JOIN unnest(['0-0.2', '0.2-0.4', '0.4-0.6', '0.6-0.8', '0.8-1']) AS u(stratum) LEFT JOIN g USING ({C}, stratum)", ("mean", "median", "p95", "low", "high"))
 add("a9_wasserstein", lambda s, d: A.wasserstein(records(s, d), COND, "risk_dice", "risk_nhd"), f"{REC}, a AS (SELECT {C}, risk_dice AS a, row_number() OVER (PARTITION BY {C} ORDER BY risk_dice) AS r FROM rec), b AS (SELECT {C}, risk_nhd AS b, row_number() OVER (PARTITION BY {C} ORDER BY risk_nhd) AS r FROM rec) SELECT {C}, {r('avg(abs(a - b))', 'distance')}, count(*) AS n FROM a JOIN b USING ({C}, r) GROUP BY {C}", ("distance",))
 
 # --- inference; the queries named _few are the same functions with few replicates, so that SQL can follow ---
@@ -205,12 +194,23 @@ add("i5_percent_margin", margins, None, ("margin", "low", "high"))
 add("i1_bootstrap_few", lambda s, d: contrasts(s, d, REPS).drop("p_value"), f"{REC}, {HARM}, {CONTRAST} SELECT {C}, {r('difference', 'difference')}, {r('low', 'low')}, {r('high', 'high')} FROM con", ("difference", "low", "high"))
 add("i2_tail_area_few", lambda s, d: contrasts(s, d, REPS).select(*COND, "p_value"), f"{REC}, {HARM}, {CONTRAST} SELECT {C}, {r('p_value', 'p_value')} FROM con", ("p_value",))
 add("i3_holm_few", lambda s, d: adjusted(s, d, REPS), f"{REC}, {HARM}, {CONTRAST}, h AS (SELECT {C}, round(p_value, 9) AS p_value, round(p_value, 9) * (count(*) OVER (PARTITION BY dataset) - row_number() OVER (PARTITION BY dataset ORDER BY round(p_value, 9), condition) + 1) AS st FROM con) SELECT {C}, p_value, {r('least(1.0, max(st) OVER (PARTITION BY dataset ORDER BY p_value, condition ROWS UNBOUNDED PRECEDING))', 'adjusted')} FROM h", ("adjusted",))
+BIN_SEED = "('0x' || substr(sha256('0|' || dataset || '|' || condition || '|' || bin), 1, 8))::BIGINT"
 REL = f"""rb AS (SELECT {C}, sample_id, 1 - confidence_sdc AS p, risk_dice AS o, CAST(ntile(10) OVER (PARTITION BY {C} ORDER BY 1 - confidence_sdc, sample_id) AS INT) AS bin FROM rec),
  ri AS (SELECT *, row_number() OVER (PARTITION BY {C}, bin ORDER BY p, sample_id) - 1 AS i, count(*) OVER (PARTITION BY {C}, bin) AS m FROM rb),
- rd AS (SELECT {C}, bin, rep, CAST(floor({unit("'0|' || dataset || '|' || condition || '|' || bin || '|' || rep || '|' || i")} * m) AS BIGINT) AS i, count(*) AS weight FROM ri, unnest(range({REPS})) AS g(rep) GROUP BY ALL),
+ rk AS (SELECT {C}, bin, m, rep, {mixed(f"xor(rep::UBIGINT, ({BIN_SEED})::UBIGINT)", 'u')}, {mixed('u', 'k')}, {mixed('xor(k, 2654435769::UBIGINT)', 'l')} FROM (SELECT DISTINCT {C}, bin, m FROM ri), unnest(range({REPS})) AS g(rep)),
+ rh AS (SELECT {C}, bin, rep, k.m, {mixed('xor(c.i::UBIGINT, k.k)', 'v')}, {mixed('((v + l) & 4294967295::UBIGINT)', 'h')} FROM rk k JOIN ri c USING ({C}, bin)),
+ rd AS (SELECT {C}, bin, rep, CAST((h * m::UBIGINT) >> 32::UBIGINT AS BIGINT) AS i, count(*) AS weight FROM rh GROUP BY ALL),
  rm AS (SELECT {C}, bin, rep, sum(weight * o) / sum(weight) AS mean FROM rd JOIN ri USING ({C}, bin, i) GROUP BY {C}, bin, rep),
  rc AS (SELECT {C}, bin, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM rm GROUP BY {C}, bin)"""
-add("i4_reliability", lambda s, d: I.equal_count_reliability(records(s, d).withColumn("predicted", 1 - F.col("confidence_sdc")), COND, "predicted", "risk_dice", "sample_id", REPS), f"{REC}, {REL} SELECT {C}, bin, count(*) AS n, {r('avg(p)', 'mean_predicted')}, {r('avg(o)', 'mean_observed')}, {r('max(low)', 'low')}, {r('max(high)', 'high')} FROM rb JOIN rc USING ({C}, bin) GROUP BY {C}, bin", ("mean_predicted", "mean_observed", "low", "high"))
+BINS = ("mean_predicted", "least_predicted", "largest_predicted", "mean_observed", "low", "high")
+
+
+def reliability(spark, sf_dir, resamples=FULL):
+    return I.equal_count_reliability(records(spark, sf_dir).withColumn("predicted", 1 - F.col("confidence_sdc")), COND, "predicted", "risk_dice", "sample_id", resamples)
+
+
+add("i4_reliability", reliability, None, BINS)
+add("i4_reliability_few", lambda s, d: reliability(s, d, REPS), f"{REC}, {REL} SELECT {C}, bin, count(*) AS n, {r('avg(p)', 'mean_predicted')}, {r('min(p)', 'least_predicted')}, {r('max(p)', 'largest_predicted')}, {r('avg(o)', 'mean_observed')}, {r('max(low)', 'low')}, {r('max(high)', 'high')} FROM rb JOIN rc USING ({C}, bin) GROUP BY {C}, bin", BINS)
 add("i5_percent_margin_few", lambda s, d: margins(s, d, REPS), f"{REC}, {HARM}, {boot('b', 'confidence_sdc', 'confidence_dice_m32', chr(39) + '0' + chr(39))}, {area('x', 'rec', C, 'confidence_sdc', 'risk_dice')}, {area('y', 'rec', C, 'confidence_dice_m32', 'risk_dice')}, ci AS (SELECT {C}, quantile_cont(100 * d / lft, 0.025) AS low, quantile_cont(100 * d / lft, 0.975) AS high FROM b GROUP BY {C}) SELECT {C}, {r('100 * (x.aurc - y.aurc) / x.aurc', 'margin')}, {r('low', 'low')}, {r('high', 'high')} FROM x JOIN y USING ({C}) JOIN ci USING ({C})", ("margin", "low", "high"))
 add("i6_seeds", lambda s, d: records(s, d).select(*COND, hash_seed(F.lit("base"), F.col("dataset"), F.col("condition")).alias("seed")).distinct(), f"{REC} SELECT DISTINCT {C}, ('0x' || substr(sha256('base|' || dataset || '|' || condition), 1, 8))::BIGINT AS seed FROM rec")
 

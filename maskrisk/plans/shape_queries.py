@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agreement, geometry, selective
+from ..operators import agreement, assembly, geometry, selective, summaries
 from ..operators import components as CC
 from ..operators import ensemble as E
 from ..operators import pixels as P
 from ..functions.scores import rounded
+from ..functions.shared import written
 from ..sources.views import COND, KEY, large_pixels, members
 from .base_sql import DISC, ENS, nats, r, unit
-from .record_queries import HARM, area, rho
+from .record_queries import HARM, area, rho, tau
 
 K = "dataset, condition, sample_id"
 REGISTRY: dict[str, tuple] = {}
@@ -108,6 +109,47 @@ def dice_mean(m: int, name: str) -> str:
 
 add("q8_fine_grid", q8, f"{DISC}, {dice_mean(32, 'a32')}, {dice_mean(128, 'a128')}, {levels(32, 'x')}, {levels(128, 'z')} SELECT {K}, {r('a32.c', 'confidence_dice_m32')}, {r('a128.c', 'confidence_dice_m128')}, {r('a32.c - a128.c', 'dice_error')}, {r('x.nhd - z.nhd', 'nhd_error')}, {r('x.nhd95 - z.nhd95', 'nhd95_error')} FROM a32 JOIN a128 USING ({K}) JOIN x USING ({K}) JOIN z USING ({K})", ("confidence_dice_m32", "confidence_dice_m128", "dice_error", "nhd_error", "nhd95_error"))
 
+LOSSES = ("dice", "nhd", "nhd95")
+
+
+def fine(spark, sf_dir):
+    """(key, loss, coarse, fine, risk): the scores of both grids and the realised loss, for each of the three losses."""
+    px = masks(spark, sf_dir)
+    own = geometry.mask_distances(px, KEY, "truth", "a").join(P.image_scores(px, KEY).select(*KEY, F.col("dice_loss").alias("dice")), KEY)
+    both = P.dice_ladder(px, KEY, [32, 128]).join(geometry.distance_ladder(px, KEY, [32, 128]), KEY).join(own, KEY)
+    place = F.explode(F.array(*[F.struct(F.lit(c).alias("loss"), F.round(f"confidence_{c}_m32", 9).alias("coarse"), F.round(f"confidence_{c}_m128", 9).alias("fine"), F.round(c, 9).alias("risk")) for c in LOSSES]))
+    return both.select(*KEY, place.alias("l")).select(*KEY, "l.*")
+
+
+CL = "dataset, condition, loss"
+FINE = ("mean", "median", "p95", "largest", "equal_share", "rho", "tau", "aurc_gap")
+OWN = f"dl AS (SELECT {K}, CASE WHEN sum(a) + sum(truth) = 0 THEN 0 ELSE 1 - 2.0::DOUBLE * sum(a * truth) / (sum(a) + sum(truth)) END AS dice FROM mk GROUP BY {K}), own AS (SELECT {K}, dice, {capped('m')} AS nhd, {capped('q')} AS nhd95 FROM sz LEFT JOIN pd USING ({K}) JOIN dl USING ({K}))"
+add("w9_fine_grid", lambda s, d: summaries.fine_grid(fine(s, d), [*COND, "loss"], "coarse", "fine", "risk"),
+    f"""{TWO}, {HARM}, {OWN}, {dice_mean(32, 'a32')}, {dice_mean(128, 'a128')}, {levels(32, 'x')}, {levels(128, 'z')},
+    fg AS (SELECT {K}, 'dice' AS loss, round(a32.c, 9) AS a, round(a128.c, 9) AS b, round(own.dice, 9) AS dl FROM a32 JOIN a128 USING ({K}) JOIN own USING ({K})
+      UNION ALL SELECT {K}, 'nhd', round(x.nhd, 9), round(z.nhd, 9), round(own.nhd, 9) FROM x JOIN z USING ({K}) JOIN own USING ({K})
+      UNION ALL SELECT {K}, 'nhd95', round(x.nhd95, 9), round(z.nhd95, 9), round(own.nhd95, 9) FROM x JOIN z USING ({K}) JOIN own USING ({K})),
+    fe AS (SELECT {CL}, avg(abs(a - b)) AS mean, quantile_cont(abs(a - b), 0.5) AS median, quantile_cont(abs(a - b), 0.95) AS p95, max(abs(a - b)) AS largest, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS equal_share FROM fg GROUP BY {CL}),
+    {rho('q', 'fg', CL, 'a', 'b')}, {tau('t', 'fg', CL, 'a', 'b')}, {area('one', 'fg', CL, 'a', 'dl')}, {area('two', 'fg', CL, 'b', 'dl')}
+    SELECT {CL}, """ + ", ".join(r(c, c) for c in FINE[:-1]) + f", {r('one.aurc - two.aurc', 'aurc_gap')} FROM fe JOIN q USING ({CL}) JOIN t USING ({CL}) JOIN one USING ({CL}) JOIN two USING ({CL})", FINE)
+WIDE = ("sdc", "dice", "nhd", "nhd95", *(f"confidence_{c}_m{m}" for m in (2, 8, 32) for c in LOSSES))
+
+
+def t1(spark, sf_dir):
+    """The wide row of each image: common scores and losses, and a table of three scores for each rule, of one cohort."""
+    px = masks(spark, sf_dir)
+    common = P.image_scores(px, KEY).select(*KEY, "n", "sdc", F.col("dice_loss").alias("dice")).join(geometry.mask_distances(px, KEY, "truth", "a").select(*KEY, "nhd", "nhd95"), KEY)
+    count = px.groupBy(*KEY).agg(F.count("*").alias("n"))
+    rules = [count.join(P.dice_ladder(px, KEY, [m]), KEY).join(geometry.distance_ladder(px, KEY, [m]), KEY) for m in (2, 8, 32)]
+    for i, rule in enumerate(rules):
+        common = assembly.assemble(common, [rule if i == 0 else rule.drop("n")], KEY, ["n"] if i == 0 else [])
+    return common.select(*KEY, "n", *WIDE)
+
+
+add("t1_assemble", t1, f"""{TWO}, {OWN}, {", ".join(dice_mean(m, f'a{m}') for m in (2, 8, 32))}, {levels(2, 'x')}, {levels(8, 'z')}, {levels(32, 'v')},
+  sd AS (SELECT {K}, count(*) AS n, CASE WHEN sum(p) + sum(a) = 0 THEN 0 ELSE 2 * sum(CASE WHEN a = 1 THEN p ELSE 0 END) / (sum(p) + sum(a)) END AS sdc FROM mk GROUP BY {K})
+  SELECT {K}, n, {r('sdc', 'sdc')}, {r('own.dice', 'dice')}, {r('own.nhd', 'nhd')}, {r('own.nhd95', 'nhd95')}, """ + ", ".join(r(v, n) for m, t in ((2, "x"), (8, "z"), (32, "v")) for v, n in ((f"a{m}.c", f"confidence_dice_m{m}"), (f"{t}.nhd", f"confidence_nhd_m{m}"), (f"{t}.nhd95", f"confidence_nhd95_m{m}"))) + f" FROM own JOIN sd USING ({K}) " + " ".join(f"JOIN {t} USING ({K})" for t in ("a2", "a8", "a32", "x", "z", "v")), WIDE)
+
 # --- components ---
 
 
@@ -138,7 +180,7 @@ LAB = f"SELECT {K}, y, x, label FROM"
 add("c6_components", labelled("action_components"), f"RECURSIVE {DISC}, {comp(0.5)} {LAB} cmp")
 add("c7_balanced_grid", labelled("action_grid"), f"RECURSIVE {DISC}, {comp(0.5)}, {grid_sql('gr', 'disc', 'cmp')} {LAB} gr")
 add("c8_proposal_grid", labelled("proposal_grid", 0.25), f"RECURSIVE {DISC}, {comp(0.25)}, {grid_sql('gr', 'disc', 'cmp')} {LAB} gr")
-DRAWS, REPEATS, SEED = 16, 3, 20260721
+DRAWS, REPEATS, SEED = 256, 4, 20260721
 
 
 def estimates(s, d):
@@ -148,7 +190,9 @@ def estimates(s, d):
 EST = f"""cl AS (SELECT {K}, label, p, sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) AS i, sum(CASE WHEN p >= 0.5 THEN 0 ELSE 1 END) AS o FROM cmp GROUP BY {K}, label, p),
  ac AS (SELECT {K}, sum(i) AS action FROM cl GROUP BY {K}),
  dr AS (SELECT {K}, label, rep, draw, half, CASE WHEN half = 0 THEN u ELSE 1 - u END AS u FROM (SELECT *, {unit(f"'{SEED}|' || sample_id || '|action_components|' || rep || '|' || draw || '|' || label")} AS u FROM (SELECT DISTINCT {K}, label FROM cl), unnest(range({REPEATS})) AS a(rep), unnest(range({DRAWS // 2})) AS b(draw)), unnest(range(2)) AS c(half)),
- ds AS (SELECT {K}, rep, draw, half, sum(CASE WHEN p >= u THEN i ELSE 0 END) AS z, sum(CASE WHEN p >= u THEN o ELSE 0 END) AS w FROM dr JOIN cl USING ({K}, label) GROUP BY {K}, rep, draw, half),
+ ev AS (SELECT {K}, label, p AS v, 0 AS drawn, i, o, CAST(NULL AS BIGINT) AS rep, CAST(NULL AS BIGINT) AS draw, CAST(NULL AS BIGINT) AS half FROM cl UNION ALL SELECT {K}, label, u, 1, 0, 0, rep, draw, half FROM dr),
+ ru AS (SELECT {K}, rep, draw, half, drawn, sum(i) OVER w AS z, sum(o) OVER w AS w FROM ev WINDOW w AS (PARTITION BY {K}, label ORDER BY v DESC, drawn ROWS UNBOUNDED PRECEDING)),
+ ds AS (SELECT {K}, rep, draw, half, sum(z) AS z, sum(w) AS w FROM ru WHERE drawn = 1 GROUP BY {K}, rep, draw, half),
  es AS (SELECT {K}, rep, -avg(CASE WHEN z + w + action = 0 THEN 0 ELSE 1 - 2.0::DOUBLE * z / (z + w + action) END) AS confidence FROM ds JOIN ac USING ({K}) GROUP BY {K}, rep)"""
 add("c9_partition_dice", estimates, f"RECURSIVE {DISC}, {comp(0.5)}, {EST} SELECT {K}, CAST(rep AS INT) AS \"repeat\", {r('confidence', 'confidence')} FROM es", ("confidence",))
 add("c10_partition_diagnostics", lambda s, d: CC.partition_diagnostics(CC.partition(large_pixels(s, d), KEY, "action_components"), KEY), f"RECURSIVE {DISC}, {comp(0.5)}, b AS (SELECT {K}, label, count(*) AS c FROM cmp GROUP BY {K}, label) SELECT {K}, count(*) AS num_blocks, {r('max(c) / sum(c)', 'largest_block_fraction')} FROM b GROUP BY {K}", ("largest_block_fraction",))
@@ -156,7 +200,7 @@ add("c10_partition_diagnostics", lambda s, d: CC.partition_diagnostics(CC.partit
 
 def c11(spark, sf_dir):
     """Mean and deviation over repeats, by condition: mean deviation, range of the repeats' areas, least rank agreement with the mean."""
-    est = estimates(spark, sf_dir)
+    est = written(estimates(spark, sf_dir), "estimates")
     risk = P.image_scores(large_pixels(spark, sf_dir), KEY).select(*KEY, "dice_loss")
     one = CC.repeat_summary(est, KEY)
     areas = selective.aurc(est.withColumn("confidence", F.round("confidence", 9)).join(risk, KEY), [*COND, "repeat"], "confidence", "dice_loss")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import rounded
 from ..functions.shared import scratch
+from ..operators import agreement as A
 from ..operators import assembly as T
 from ..operators import pixels as P
 from ..operators import selective as S
@@ -15,7 +16,7 @@ from ..sources import io
 from ..sources.views import COND, KEY, pixels, read, records, stream_rows
 from ..streaming import monitor
 from .base_sql import PX, REC, STREAM, r
-from .pixel_queries import DICE, IMG, LOSS, SDC, ladder
+from .pixel_queries import DICE, EXACT, IMG, LOSS, SDC, STUDY, ladder
 from .record_queries import COVER, HARM, LONG, METHODS, RISKS, area, ranked, rho, shares, summed, tau
 
 K = "dataset, condition, sample_id"
@@ -85,19 +86,6 @@ add("w7_seed_summary", lambda s, d: M.seed_summary(seeds(s, d), COND, "aurc").dr
 add("w8_seed_direction", lambda s, d: M.seed_direction(seeds(s, d), COND, "difference", 0), f"{REC}, {HARM}, {SEEDS}, g AS (SELECT {C}, count(*) AS seeds, sum(CAST(d > 0 AS INT)) AS up, sum(CAST(d < 0 AS INT)) AS down, max(CAST(sign(d) AS INT)) FILTER (seed = 0) AS reference FROM sd GROUP BY {C}), m AS (SELECT *, CASE WHEN up > down THEN 1 WHEN down > up THEN -1 ELSE 0 END AS majority FROM g), n AS (SELECT *, CASE WHEN majority > 0 THEN down WHEN majority < 0 THEN up ELSE 0 END AS against FROM m) SELECT {C}, seeds, majority, CAST(reference = majority AS INT) AS reference_agrees, CAST(against > 0 AS INT) AS reversal, CAST(majority <> 0 AND against = 0 AND reference = majority AS INT) AS passes FROM n")
 
 
-def fine(s, d):
-    px = pixels(s, d)
-    f = P.dice_ladder(px, KEY, [32, 128]).join(P.image_scores(px, KEY).select(*KEY, "dice_loss"), KEY)
-    return f.withColumns({"confidence_dice_m32": F.round("confidence_dice_m32", 9), "confidence_dice_m128": F.round("confidence_dice_m128", 9)})
-
-
-add("w9_fine_grid", lambda s, d: M.fine_grid(fine(s, d), COND, "confidence_dice_m32", "confidence_dice_m128", "dice_loss"),
-    f"""{IMG}, {HARM}, {ladder(32, 'l8')}, {ladder(128, 'l32')}, fg AS (SELECT {K}, round(a, 9) AS a, round(b, 9) AS b, {DICE} AS dl FROM (SELECT {K}, -avg({LOSS}) AS a FROM l8 GROUP BY {K}) JOIN (SELECT {K}, -avg({LOSS}) AS b FROM l32 GROUP BY {K}) USING ({K}) JOIN img USING ({K})),
-    fe AS (SELECT {C}, avg(abs(a - b)) AS mean, quantile_cont(abs(a - b), 0.5) AS median, quantile_cont(abs(a - b), 0.95) AS p95, max(abs(a - b)) AS largest, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS equal_share FROM fg GROUP BY {C}),
-    {rho('q', 'fg', C, 'a', 'b')}, {tau('t', 'fg', C, 'a', 'b')}, {area('x', 'fg', C, 'a', 'dl')}, {area('y', 'fg', C, 'b', 'dl')}
-    SELECT {C}, """ + ", ".join(r(c, c) for c in ("mean", "median", "p95", "largest", "equal_share", "rho", "tau")) + f", {r('x.aurc - y.aurc', 'aurc_gap')} FROM fe JOIN q USING ({C}) JOIN t USING ({C}) JOIN x USING ({C}) JOIN y USING ({C})", ("mean", "median", "p95", "largest", "equal_share", "rho", "tau", "aurc_gap"))
-
-
 def w10(spark, sf_dir):
     rows = read(spark, sf_dir, "events").selectExpr("CAST(user_id % 5 AS STRING) AS condition", "event_type AS method", "value AS wall")
     return M.timings(rows, ["condition"], "method", "wall", 16, 4.2, "error")
@@ -106,17 +94,34 @@ def w10(spark, sf_dir):
 W10 = ("low", "median", "high", "ms_per_image", "ms_per_megapixel", "images_per_second", "ratio")
 add("w10_timings", w10, f"t AS (SELECT CAST(user_id % 5 AS VARCHAR) AS condition, event_type AS method, count(*) AS runs, min(value) AS low, quantile_cont(value, 0.5) AS median, max(value) AS high FROM events GROUP BY ALL), b AS (SELECT condition, median AS base FROM t WHERE method = 'error') SELECT condition, method, runs, {r('low', 'low')}, {r('median', 'median')}, {r('high', 'high')}, {r('1000 * median / 16', 'ms_per_image')}, {r('1000 * median / 4.2', 'ms_per_megapixel')}, {r('16 / median', 'images_per_second')}, {r('median / base', 'ratio')} FROM t LEFT JOIN b USING (condition)", W10)
 
-# --- assembly and cases ---
+# --- counts and masks of images against their scores ---
+
 
+def a7(spark, sf_dir):
+    """Rank correlation of the difference of shared and two-block scores with the covariance of their counts."""
+    study = P.count_study(pixels(spark, sf_dir), KEY)
+    return A.spearman(study.select(*KEY, rounded(F.col("shared_dice") - F.col("two_block_dice")).alias("gap"), rounded(F.col("cov"), 6).alias("cov")), COND, "gap", "cov")
 
-def t1(spark, sf_dir):
+
+add("a7_difference_correlation", a7, f"{PX}, {STUDY}, g AS (SELECT {K}, {r('shared_dice - two_block_dice', 'gap')}, {r('cov', 'cv').replace(', 9) +', ', 6) +')} FROM study), {rho('z', 'g', C, 'gap', 'cv')} SELECT {C}, {r('rho', 'rho')}, n FROM z", ("rho",))
+#: Masks by their share of the image, each from the bound before it, which it leaves out.
+STRATA = {"empty": 0.0, "very_small": 0.01, "small": 0.1, "medium": 0.5, "large": 1.0}
+SPREAD = ("mean", "mean_absolute", "rmse", "p10", "median", "p90")
+
+
+def a8(spark, sf_dir):
+    """(1 + exact Dice confidence) - SDC, over all images of a condition and by the size of their masks."""
     px = pixels(spark, sf_dir)
-    common = P.image_scores(px, KEY).select(*KEY, "n", "dice_loss", "sdc")
-    two = P.dice_ladder(px, KEY, [2]).join(px.groupBy(*KEY).agg(F.count("*").alias("n")), KEY)
-    return T.assemble(T.assemble(common, [two], KEY, ["n"]), [P.dice_ladder(px, KEY, [8])], KEY)
+    both = P.image_scores(px, KEY).select(*KEY, "sdc", "action_fraction").join(P.exact_dice(px, KEY), KEY)
+    stratum = F.coalesce(*[F.when(F.col("action_fraction") <= top, F.lit(name)) for name, top in STRATA.items()])
+    return A.strata_summary(both, COND, 1 + F.col("confidence_dice_exact") - F.col("sdc"), stratum, list(STRATA))
 
 
-add("t1_assemble", t1, f"{IMG}, {ladder(2, 'l2')}, {ladder(8, 'l8')} SELECT {K}, img.n, {r(DICE, 'dice_loss')}, {r(SDC, 'sdc')}, {r('a', 'confidence_dice_m2')}, {r('b', 'confidence_dice_m8')} FROM img JOIN (SELECT {K}, -avg({LOSS}) AS a FROM l2 GROUP BY {K}) USING ({K}) JOIN (SELECT {K}, -avg({LOSS}) AS b FROM l8 GROUP BY {K}) USING ({K})", ("dice_loss", "sdc", "confidence_dice_m2", "confidence_dice_m8"))
+add("a8_strata", a8, f"""{IMG}, {EXACT}, v0 AS (SELECT {C}, 1 + confidence_dice_exact - {SDC} AS v, CASE {" ".join(f"WHEN action / n <= {top} THEN '{name}'" for name, top in STRATA.items())} END AS stratum FROM img JOIN exact USING ({K})),
+  v AS (SELECT * FROM v0 UNION ALL SELECT {C}, v, 'all' FROM v0), g AS (SELECT {C}, stratum, count(*) AS n, avg(v) AS mean, avg(abs(v)) AS mean_absolute, sqrt(avg(v * v)) AS rmse, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.9) AS p90 FROM v GROUP BY {C}, stratum)
+  SELECT {C}, stratum, coalesce(n, 0) AS n, {", ".join(r(c, c) for c in SPREAD)} FROM (SELECT DISTINCT {C} FROM v0) CROSS JOIN unnest({["all", *STRATA]}) AS u(stratum) LEFT JOIN g USING ({C}, stratum)""", SPREAD)
+
+# --- assembly and cases ---
 
 
 def t2(spark, sf_dir):
@@ -293,24 +298,47 @@ add("s3_s4_records", s3, f"{REC} SELECT {C}, sample_id, cluster_id, seed, " + ",
 
 def s5(spark, sf_dir):
     path = scratch(spark, "manifests")
-    rows = io.cohort_digest(records(spark, sf_dir), COND, "sample_id").select(F.col("dataset").alias("d"), F.col("condition").alias("c"), "*", F.lit("test").alias("split"), F.lit("m").alias("model"))
-    rows.write.mode("errorifexists").partitionBy("d", "c").json(path)
-    got = spark.read.schema(io.MANIFEST).option("recursiveFileLookup", True).json(path).withColumn("file", F.input_file_name())
-    return got.select(*COND, "num_rows", "sample_id_sha256", F.col("file").contains("d=").cast("int").alias("found"))
+    io.write_manifests(io.cohort_digest(records(spark, sf_dir), COND, "sample_id").withColumns({"split": F.lit("test"), "model": F.lit("m")}), path)
+    return io.read_manifests(spark, path).select(*COND, "num_rows", "sample_id_sha256", F.col("file").endswith("/manifest.json").cast("int").alias("found"))
 
 
 add("s5_manifests", s5, f"{REC}, {DIGEST} SELECT {C}, num_rows, sample_id_sha256, 1 AS found FROM dg")
 
 
+#: Labels of the long table, and the method that is held against a numerical reference.
+RISK_LABELS, METHOD_LABELS = {"risk_dice": "Dice", "risk_nhd": "nHD"}, {"confidence_dice_m32": "Dice, 32 nodes", "confidence_nhd_m32": "nHD, 32 nodes", "confidence_sdc": "soft Dice"}
+CHECKED, REFERENCE = "confidence_sdc", "confidence_dice_m32"
+NUMBERS = ("aurc", "oracle_aurc", "random_aurc", "excess_aurc", "normalized_aurc", "absolute_error_mean", "absolute_error_median", "absolute_error_p95", "absolute_error_max", "spearman_rho", "kendall_tau_b", "exact_match_fraction")
+
+
+def long_table(rec):
+    """The 22 columns of every condition, risk and method; the numerical columns are null but for one method's Dice rows."""
+    named = lambda c, labels: F.element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), F.col(c))
+    m = S.matrix(rec, COND, "sample_id", METHODS, RISKS).withColumnsRenamed({"risk_name": "risk", "oracle": "oracle_aurc", "random": "random_aurc", "excess": "excess_aurc", "normalized": "normalized_aurc"}).drop("n")
+    size = rec.groupBy(*COND).agg(F.count("*").alias("num_rows"), F.countDistinct("cluster_id").alias("num_image_clusters"))
+    error = A.error_to_reference(rec, COND, CHECKED, REFERENCE).withColumnsRenamed({"mean": "absolute_error_mean", "median": "absolute_error_median", "p95": "absolute_error_p95", "largest": "absolute_error_max", "equal_share": "exact_match_fraction"})
+    agreed = A.spearman(rec, COND, CHECKED, REFERENCE).select(*COND, F.col("rho").alias("spearman_rho")).join(A.kendall(rec, COND, CHECKED, REFERENCE).withColumnRenamed("tau", "kendall_tau_b"), COND)
+    checked = error.join(agreed, COND).withColumns({"risk": F.lit("risk_dice"), "method": F.lit(CHECKED), "numerical_reference": F.lit(REFERENCE)})
+    wide = m.join(size, COND).join(checked, [*COND, "risk", "method"], "left")
+    wide = wide.withColumns({"split": F.lit("test"), "risk_label": named("risk", RISK_LABELS), "method_label": named("method", METHOD_LABELS)})
+    return wide.select(*COND, "split", "num_rows", "num_image_clusters", "risk", "risk_label", "method", "method_label", *NUMBERS[:5], "numerical_reference", *NUMBERS[5:])
+
+
 def s6(spark, sf_dir):
     path = scratch(spark, "results")
-    m = S.matrix(records(spark, sf_dir), COND, "sample_id", METHODS, RISKS)
-    io.write_results(m, path)
-    return spark.read.option("header", True).schema(m.schema).csv(path)
+    table = long_table(records(spark, sf_dir))
+    io.write_results(table, path)
+    return spark.read.option("header", True).schema(table.schema).csv(path)
 
 
-SUM = ("aurc", "oracle", "random", "excess", "normalized")
-add("s6_result_table", s6, f"{REC}, {HARM}, {LONG}, {summed('z', 'lg', C + ', risk_name, method', 'score', 'risk')} SELECT {C}, risk_name, method, n, " + ", ".join(r(c, c) for c in SUM) + " FROM z", SUM)
+def label_sql(column: str, labels: dict[str, str]) -> str:
+    return f"CASE {column} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in labels.items())} END"
+
+
+add("s6_result_table", s6, f"""{REC}, {HARM}, {LONG}, {summed('z', 'lg', C + ', risk_name, method', 'score', 'risk')}, nr AS (SELECT {C}, count(*) AS num_rows, count(DISTINCT cluster_id) AS num_image_clusters FROM rec GROUP BY {C}),
+  er AS (SELECT {C}, avg(abs({CHECKED} - {REFERENCE})) AS mean, quantile_cont(abs({CHECKED} - {REFERENCE}), 0.5) AS median, quantile_cont(abs({CHECKED} - {REFERENCE}), 0.95) AS p95, max(abs({CHECKED} - {REFERENCE})) AS largest, avg(CASE WHEN {CHECKED} = {REFERENCE} THEN 1.0 ELSE 0.0 END) AS same FROM rec GROUP BY {C}),
+  {rho('q', 'rec', C, CHECKED, REFERENCE)}, {tau('t', 'rec', C, CHECKED, REFERENCE)}, ck AS (SELECT {C}, 'risk_dice' AS risk_name, '{CHECKED}' AS method, '{REFERENCE}' AS ref, mean, median, p95, largest, rho, tau, same FROM er JOIN q USING ({C}) JOIN t USING ({C}))
+  SELECT {C}, 'test' AS split, num_rows, num_image_clusters, risk_name AS risk, {label_sql('risk_name', RISK_LABELS)} AS risk_label, method, {label_sql('method', METHOD_LABELS)} AS method_label, ref AS numerical_reference, """ + ", ".join(r(v, n) for v, n in zip(("aurc", "oracle", "random", "excess", "normalized", "mean", "median", "p95", "largest", "rho", "tau", "same"), NUMBERS)) + f" FROM z JOIN nr USING ({C}) LEFT JOIN ck USING ({C}, risk_name, method)", NUMBERS)
 
 
 def s7(spark, sf_dir):
@@ -342,6 +370,28 @@ def s10(spark, sf_dir):
     return io.audit(now.where("name not like '%55'"), stored)
 
 
+def s10_files(spark, sf_dir):
+    """The files of the given folder against a listing in which one is changed, one is lost and one more is known."""
+    now = io.listing(spark, sf_dir, "*.parquet")
+    stored = now.where("name <> 'region.parquet'").withColumn("sha256", F.when(F.col("name") == "nation.parquet", F.lit("0")).otherwise(F.col("sha256")))
+    gone = read(spark, sf_dir, "region").limit(1).select(F.lit("gone.parquet").alias("name"), F.lit(1).cast("long").alias("size"), F.lit("0").alias("sha256"))
+    return io.audit(now, stored.unionByName(gone))
+
+
+add("s10_audit_files", s10_files, None)
+
+
+def s7_files(spark, sf_dir):
+    """Files of two folders by stem: a mask for each image of a region, one region's mask lost, another's with more rows."""
+    path = scratch(spark, "pairs")
+    nations = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r"), "n_name")
+    for side, rows in (("images", nations), ("masks", nations.where("r <> 3").union(nations.where("r = 4")))):
+        rows.repartition("r").write.partitionBy("r").csv(f"{path}/{side}")
+    each = lambda side: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(f"{path}/{side}").select(F.concat(F.regexp_extract("path", "/(r=[^/]*)/", 1), F.lit(".csv")).alias("name"), F.col("length").alias("size"))
+    return io.pair_by_stem(each("images"), each("masks"))
+
+
+add("s7_pair_files", s7_files, "x AS (SELECT DISTINCT n_regionkey AS k FROM nation) SELECT 'r=' || k AS stem, CASE k WHEN 3 THEN 'no mask' WHEN 4 THEN 'size' ELSE 'paired' END AS state FROM x")
 add("s10_audit", s10, "n AS (SELECT 'doc' || doc_id AS name FROM documents) SELECT name, CASE WHEN name LIKE '%55' THEN 'missing' WHEN name LIKE '%77' THEN 'extra' ELSE 'changed' END AS wrong FROM n WHERE name LIKE '%55' OR name LIKE '%77' OR name LIKE '%33'")
 add("s11_cohort_digest", lambda s, d: io.cohort_digest(records(s, d), COND, "sample_id"), f"{REC}, {DIGEST} SELECT {C}, num_rows, sample_id_sha256 FROM dg")
 

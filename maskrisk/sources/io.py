@@ -45,6 +45,20 @@ def write_records(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)
 
 
+def write_manifests(rows: DataFrame, path: str) -> None:
+    """A folder for each dataset and condition with one manifest.json; never overwrites.
+
+    Spark names its files itself; they are renamed in the store, one for each condition.
+    """
+    spark = rows.sparkSession
+    folders = rows.withColumns({"d": F.col("dataset"), "c": F.col("condition")}).repartition("dataset", "condition")
+    folders.write.mode("errorifexists").partitionBy("d", "c").json(path)
+    jvm = spark._jvm
+    store = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/*/*/part-*.json")):
+        store.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(file.getPath().getParent(), "manifest.json"))
+
+
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """One row for each manifest below ``path``, with the file it came from."""
     return spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").json(path).withColumn("file", F.input_file_name())
