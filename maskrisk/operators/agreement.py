@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shared import written
+from .ranks import places
 from .selective import accepted, accepted_jaccard, running
 
 
@@ -15,12 +16,25 @@ def average_rank(col: str, cond: list[str]):
     return F.rank().over(W.partitionBy(*cond).orderBy(col)) + (F.count("*").over(W.partitionBy(*cond, col)) - 1) / 2.0
 
 
+def side_ranks(pairs: DataFrame, cond: list[str], col: str, name: str) -> DataFrame:
+    """(cond, col, name): the average rank of each value of a side, the largest first, over pairs with counts ``w``."""
+    v = running(pairs.groupBy(*cond, col).agg(F.sum("w").alias("_g")), cond, col, {"_g": "_above"})
+    return v.select(*cond, col, (F.col("_above") + (F.col("_g") + 1) / 2.0).alias(name))
+
+
 def spearman(rows: DataFrame, cond: list[str], x: str, y: str) -> DataFrame:
-    """rho of average ranks for each condition; null where a side is constant."""
-    ranked = rows.select(*cond, F.col(x).alias("x"), F.col(y).alias("y"))
-    ranked = ranked.withColumns({"rx": average_rank("x", cond), "ry": average_rank("y", cond)})
+    """rho of average ranks for each condition; null where a side is constant. Rows with a null side are left out.
+
+    Rows are collapsed to distinct pairs with their counts; ranks of both sides fall, which leaves rho as it is.
+    """
+    pairs = rows.select(*cond, F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
+    pairs = written(pairs.groupBy(*cond, "x", "y").agg(F.count("*").alias("w")), "pairs")
+    ranked = pairs.join(side_ranks(pairs, cond, "x", "rx"), [*cond, "x"]).join(side_ranks(pairs, cond, "y", "ry"), [*cond, "y"])
+    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
-    s = ranked.groupBy(*cond).agg(varies.alias("v"), F.covar_pop("rx", "ry").alias("c"), (F.stddev_pop("rx") * F.stddev_pop("ry")).alias("d"), F.count("*").alias("n"))
+    mid = pairs.groupBy(*cond).agg(((F.sum("w") + 1) / 2.0).alias("mid"), F.sum("w").alias("n"))
+    a, b = rx - F.col("mid"), ry - F.col("mid")
+    s = ranked.join(mid, cond).groupBy(*cond, "n").agg(varies.alias("v"), F.sum(w * a * b).alias("c"), F.sqrt(F.sum(w * a * a) * F.sum(w * b * b)).alias("d"))
     return s.select(*cond, F.when(F.col("v"), F.col("c") / F.col("d")).alias("rho"), "n")
 
 
@@ -94,9 +108,8 @@ def error_to_reference(rows: DataFrame, cond: list[str], score: str, reference:
 
 def wasserstein(rows: DataFrame, cond: list[str], x: str, y: str) -> DataFrame:
     """The empirical distance of two samples of equal size: the mean difference of values of equal rank."""
-    w = W.partitionBy(*cond)
-    a = rows.select(*cond, F.col(x).alias("a"), F.row_number().over(w.orderBy(x)).alias("r"))
-    b = rows.select(*cond, F.col(y).alias("b"), F.row_number().over(w.orderBy(y)).alias("r"))
+    a = places(rows.select(*cond, F.col(x).alias("a")), cond, ["a"], "r").drop("of")
+    b = places(rows.select(*cond, F.col(y).alias("b")), cond, ["b"], "r").drop("of")
     return a.join(b, [*cond, "r"]).groupBy(*cond).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("distance"), F.count("*").alias("n"))
 
 

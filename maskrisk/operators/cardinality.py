@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import count_if, hash_unit
+from .ranks import equal_bins, places
 
 
 def size_errors(px: DataFrame, key: list[str]) -> DataFrame:
@@ -39,9 +40,8 @@ def error_summary(rows: DataFrame, cond: list[str], predicted: str, observed: st
 
 def ks_uniform(rows: DataFrame, cond: list[str], value: str = "pit") -> DataFrame:
     """ks: the largest distance of the empirical distribution of ``value`` from the uniform one."""
-    w = W.partitionBy(*cond)
     u = F.col(value)
-    r = rows.select(*cond, u, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
+    r = places(rows.select(*cond, value), cond, [value], "r", "n")
     return r.groupBy(*cond).agg(F.max(F.greatest(F.col("r") / F.col("n") - u, u - (F.col("r") - 1) / F.col("n"))).alias("ks"))
 
 
@@ -51,5 +51,5 @@ def pit_summary(rows: DataFrame, cond: list[str]) -> DataFrame:
 
 def equal_count_bins(rows: DataFrame, cond: list[str], predicted: str, observed: str, tie: str, bins: int = 10) -> DataFrame:
     """Bins of about equal count in the order of the prediction, ties in that of ``tie``: counts, means and gap."""
-    b = rows.withColumn("bin", F.ntile(bins).over(W.partitionBy(*cond).orderBy(predicted, tie)))
+    b = equal_bins(rows.select(*cond, predicted, observed, tie), cond, [predicted, tie], bins)
     return b.groupBy(*cond, "bin").agg(F.count("*").alias("n"), F.avg(predicted).alias("mean_predicted"), F.avg(observed).alias("mean_observed"), (F.avg(predicted) - F.avg(observed)).alias("gap"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import count_if, hash_seed, hash_unit, mix32
 from ..functions.shared import shipped
+from .ranks import equal_bins, places
 from .selective import aurc, harmonics
 
 
@@ -23,8 +24,8 @@ CELLS = 1 << 18
 
 def numbered_clusters(rows: DataFrame, cond: list[str], cluster: str, seed: Column) -> DataFrame:
     """(cond, cluster, i, m, seed): the number of each cluster from 0, and how many its condition has."""
-    c = rows.select(*cond, cluster).distinct()
-    return c.withColumns({"i": F.row_number().over(W.partitionBy(*cond).orderBy(cluster)) - 1, "m": F.count("*").over(W.partitionBy(*cond)), "seed": seed.cast("long")})
+    c = places(rows.select(*cond, cluster).distinct(), cond, [cluster], "i", "m")
+    return c.withColumns({"i": F.col("i") - 1, "seed": seed.cast("long")})
 
 
 def cluster_weights(rows: DataFrame, cond: list[str], cluster: str, resamples: int, seed: Column) -> DataFrame:
@@ -166,7 +167,7 @@ def equal_count_reliability(rows: DataFrame, cond: list[str], predicted: str, ob
     Tasks take a bin and a block of replicates, draw the rows' weights from hashes and give one mean for each replicate:
     neither weights nor drawn rows are sent. A task holds the observed values of its bin.
     """
-    b = rows.withColumn("bin", F.ntile(bins).over(W.partitionBy(*cond).orderBy(predicted, tie)))
+    b = equal_bins(rows.select(*cond, *{predicted: 0, observed: 0, tie: 0}), cond, [predicted, tie], bins)
     group = [*cond, "bin"]
     b = b.select(*group, F.col(predicted).alias("p"), F.col(observed).cast("double").alias("o"), (F.row_number().over(W.partitionBy(*group).orderBy(predicted, tie)) - 1).alias("i"))
     size = min(BLOCK, resamples)

@@ -10,13 +10,14 @@ from ..functions.shared import written
 from . import agreement as A
 from . import pixels as P
 from . import selective as S
+from .ranks import equal_bins
 
 
 def grouped_reliability(rows: DataFrame, cond: list[str], predicted: str, observed: str, tie: str, bins: int = 10) -> DataFrame:
     """bias, mae and rmse over rows, and ece: the count-weighted absolute gap of equal-count bins."""
     e = F.col(predicted) - F.col(observed)
     whole = rows.groupBy(*cond).agg(F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    b = rows.withColumn("bin", F.ntile(bins).over(W.partitionBy(*cond).orderBy(predicted, tie)))
+    b = equal_bins(rows.select(*cond, predicted, observed, tie), cond, [predicted, tie], bins)
     b = b.groupBy(*cond, "bin").agg(F.count("*").alias("c"), F.abs(F.avg(predicted) - F.avg(observed)).alias("gap"))
     return whole.join(b.groupBy(*cond).agg((F.sum(F.col("c") * F.col("gap")) / F.sum("c")).alias("ece")), cond)
 

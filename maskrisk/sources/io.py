@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranks import places
+
 RECORDS = T.StructType(
     [T.StructField(c, T.StringType(), False) for c in ("dataset", "condition")]
     + [T.StructField(c, T.LongType(), False) for c in ("sample_id", "cluster_id")]
@@ -77,10 +78,8 @@ def cohort_digest(rows: DataFrame, cond: list[str], key: str) -> DataFrame:
 
 def hash_split(rows: DataFrame, group: list[str], key: str, train: int = 4, of: int = 5) -> DataFrame:
     """``rows`` with split: the first floor(train n / of) of each group in the order oF.sha256(id) are for training."""
-    w = W.partitionBy(*group)
-    place = F.row_number().over(w.orderBy(F.sha2(F.col(key).cast("string"), 256), key))
-    n = F.count("*").over(w)
-    return rows.withColumn("split", F.when(place <= F.floor(n * train / of), "train").otherwise("test"))
+    placed = places(rows, group, [F.sha2(F.col(key).cast("string"), 256), key], "_place", "_of")
+    return placed.withColumn("split", F.when(F.col("_place") <= F.floor(F.col("_of") * train / of), "train").otherwise("test")).drop("_place", "_of")
 
 
 def content_id(*fields: str):
@@ -98,8 +97,7 @@ def binarise(px: DataFrame, rule: str, channels: list[str]) -> DataFrame:
 
 def size_panel(images: DataFrame, cond: list[str], key: str, k: int) -> DataFrame:
     """k images of each condition, evenly over the rank of their pixel count, the smallest and the largest included."""
-    w = W.partitionBy(*cond)
-    ranked = images.withColumns({"_r": F.row_number().over(w.orderBy("pixels", key)) - 1, "_n": F.count("*").over(w)})
+    ranked = places(images, cond, ["pixels", key], "_r", "_n").withColumn("_r", F.col("_r") - 1)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda r: F.floor(r * (F.col("_n") - 1) / (k - 1)))
     return ranked.where(F.array_contains(wanted, F.col("_r").cast("long"))).select(*cond, key, "pixels", F.col("_r").cast("long").alias("rank"))
 

@@ -7,10 +7,11 @@ from math import hypot, log2, sqrt
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskrisk.functions.scores import dice_loss, hash_unit
-from maskrisk.operators import agreement, calibration, cardinality, components, ensemble, geometry, inference, pixels, selective, summaries, validate
+from maskrisk.operators import agreement, calibration, cardinality, components, ensemble, geometry, inference, pixels, ranks, selective, summaries, validate
 from maskrisk.sources import io
 
 KEY = ["s"]
@@ -301,3 +302,19 @@ def test_distances_against_all_pairs(spark, shape):
     other = spark.createDataFrame([(0, y, x) for y, x in sorted(edge({(y, x) for y, x, v in rows if v >= 0.9}))], "s int, y int, x int")
     got = {(r.y, r.x): r.d2 for r in geometry.nearest(points, other, ["s"]).collect()}
     assert got == {(y, x): min((y - q.y) ** 2 + (x - q.x) ** 2 for q in other.collect()) for y, x in fixed}
+
+
+def test_places_over_many_ranges(spark):
+    """One condition has most rows; places, bins and ties are those of windows over whole conditions."""
+    rng = np.random.default_rng(5)
+    rows = [("hot" if i % 10 else "cold", float(rng.integers(0, 40)), i) for i in range(3000)] + [("one", None, 1)]
+    df = spark.createDataFrame(rows, "c string, v double, id int").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = ranks.equal_bins(ranks.places(df, ["c"], ["v", "id"]), ["c"], ["v", "id"], 7)
+        w = W.partitionBy("c").orderBy("v", "id")
+        want = df.withColumns({"place": F.row_number().over(w), "of": F.count("*").over(W.partitionBy("c")), "bin": F.ntile(7).over(w)})
+        key = lambda x: sorted(x.select("c", "id", "place", "of", "bin").collect())
+        assert key(got) == key(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
