@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.shared import shipped
 from ..operators.ranks import places
 
 RECORDS = T.StructType(
@@ -71,9 +77,36 @@ def write_results(rows: DataFrame, path: str) -> None:
 
 
 def cohort_digest(rows: DataFrame, cond: list[str], key: str) -> DataFrame:
-    """sha256 of the ids, joined by line feeds in their order."""
-    ids = F.transform(F.array_sort(F.collect_list(F.col(key))), lambda x: x.cast("string"))
-    return rows.groupBy(*cond).agg(F.count("*").alias("num_rows"), F.sha2(F.array_join(ids, "\n"), 256).alias("sample_id_sha256"))
+    """num_rows, and sha256 of the ids, joined by line feeds in their order, for each condition.
+
+    Ranges of ids are joined apart, and a digest reads the ranges of its condition one behind the other: no task holds
+    all ids of a condition. Null ids are counted and not in the digest; a condition without ids has that of nothing.
+    """
+    schema = T.StructType([*(rows.schema[c] for c in cond), T.StructField("num_rows", T.LongType()), T.StructField("sample_id_sha256", T.StringType())])
+    dealt = rows.select(*cond, F.col(key).alias("_id")).repartitionByRange(*cond, "_id").withColumn("_range", F.spark_partition_id())
+    ids = F.transform(F.array_sort(F.collect_list("_id")), lambda x: x.cast("string"))
+    parts = dealt.groupBy(*cond, "_range").agg(F.count("*").alias("_n"), F.count("_id").alias("_ids"), F.array_join(ids, "\n").alias("_text"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, count, some, state = None, 0, False, None
+        done: list[tuple] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = tuple(row[c] for c in cond)
+                if state is None or own != now:
+                    if state is not None:
+                        done.append((*now, count, state.hexdigest()))
+                    now, count, some, state = own, 0, False, hashlib.sha256()
+                if row["_ids"]:
+                    state.update((b"\n" if some else b"") + row["_text"].encode())
+                    some = True
+                count += row["_n"]
+        if state is not None:
+            done.append((*now, count, state.hexdigest()))
+        if done:
+            yield pa.record_batch([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*done), schema)], names=schema.names)
+
+    return shipped(parts).repartition(*cond).sortWithinPartitions(*cond, "_range").mapInArrow(fold, schema)
 
 
 def hash_split(rows: DataFrame, group: list[str], key: str, train: int = 4, of: int = 5) -> DataFrame:

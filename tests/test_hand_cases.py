@@ -318,3 +318,11 @@ def test_places_over_many_ranges(spark):
         assert key(got) == key(want)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_cohort_digest_over_ranges(spark):
+    rows = [("a", i) for i in np.random.default_rng(1).permutation(500).tolist()] + [("b", 7), ("b", None), ("c", None), (None, 3)]
+    got = {r.c: (r.num_rows, r.sample_id_sha256) for r in io.cohort_digest(spark.createDataFrame(rows, "c string, id long").repartition(5), ["c"], "id").collect()}
+    sha = lambda ids: hashlib.sha256("\n".join(map(str, ids)).encode()).hexdigest()
+    assert got == {"a": (500, sha(range(500))), "b": (2, sha([7])), "c": (1, sha([])), None: (1, sha([3]))}
+    assert io.cohort_digest(spark.createDataFrame([], "c string, id long"), ["c"], "id").count() == 0
