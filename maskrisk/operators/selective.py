@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
+
 #: Terms of the harmonic sum that are looked up; beyond, its expansion is exact to a double.
 TERMS = 64
 
@@ -66,14 +68,22 @@ def aurc(rows: DataFrame, group: list[str], score: str, risk: str, weight: str |
     return t.withColumn("step", step).groupBy(*group).agg((F.sum("step") / F.sum("g")).alias("aurc"), F.sum("g").alias("n"))
 
 
-def summary(rows: DataFrame, group: list[str], score: str, risk: str) -> DataFrame:
-    """aurc, oracle (the risk itself as score), random (mean risk), excess, normalized (null where random is the oracle)."""
-    own = aurc(rows, group, score, risk)
+def limits(rows: DataFrame, group: list[str], risk: str) -> DataFrame:
+    """oracle (the area with the risk itself as score) and random (mean risk): neither depends on a score."""
     oracle = aurc(rows.withColumn("_o", -F.col(risk)), group, "_o", risk).select(*group, F.col("aurc").alias("oracle"))
-    mean = rows.groupBy(*group).agg(F.avg(risk).alias("random"))
+    return oracle.join(rows.groupBy(*group).agg(F.avg(risk).alias("random")), group)
+
+
+def between(own: DataFrame, bounds: DataFrame, on: list[str], group: list[str]) -> DataFrame:
+    """The areas of ``own`` with their limits: excess over the oracle, and normalized (null where random is the oracle)."""
     room = F.col("random") - F.col("oracle")
     close = F.abs(room) <= F.lit(1e-15)
-    return own.join(oracle, group).join(mean, group).select(*group, "n", "aurc", "oracle", "random", (F.col("aurc") - F.col("oracle")).alias("excess"), F.when(close, F.lit(None)).otherwise((F.col("aurc") - F.col("oracle")) / room).alias("normalized"))
+    return own.join(bounds, on).select(*group, "n", "aurc", "oracle", "random", (F.col("aurc") - F.col("oracle")).alias("excess"), F.when(close, F.lit(None)).otherwise((F.col("aurc") - F.col("oracle")) / room).alias("normalized"))
+
+
+def summary(rows: DataFrame, group: list[str], score: str, risk: str) -> DataFrame:
+    """aurc, oracle, random, excess and normalized for each group, as in ``limits`` and ``between``."""
+    return between(aurc(rows, group, score, risk), limits(rows, group, risk), group, group)
 
 
 def plain_aurc(rows: DataFrame, group: list[str], score: str, risk: str, tie: str) -> DataFrame:
@@ -108,9 +118,15 @@ def accepted_jaccard(left: DataFrame, right: DataFrame, on: list[str], group: li
 
 
 def matrix(rows: DataFrame, cond: list[str], key: str, methods: list[str], risks: list[str]) -> DataFrame:
-    """``summary`` of every method for every risk in each condition."""
-    long = rows.unpivot([*cond, key, *risks], methods, "method", "score").unpivot([*cond, key, "method", "score"], risks, "risk_name", "risk")
-    return summary(long, [*cond, "risk_name", "method"], "score", "risk")
+    """``summary`` of every method for every risk in each condition; limits are computed once for each risk.
+
+    Rows are written once, as both parts read them; ``key`` names a row and is not needed for areas.
+    """
+    rows = written(rows.select(*cond, *methods, *risks), "scores")
+    each = rows.unpivot([*cond, *methods], risks, "risk_name", "risk")
+    of = [*cond, "risk_name"]
+    long = each.unpivot([*of, "risk"], methods, "method", "score")
+    return between(aurc(long, [*of, "method"], "score", "risk"), limits(each, of, "risk"), of, [*of, "method"])
 
 
 def best(results: DataFrame, group: list[str]) -> DataFrame:
