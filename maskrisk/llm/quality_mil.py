@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from .common import WORD, ship
 ASCII_WORD = re.compile(WORD)
 #: Words of a passage.
 PASSAGE = 64
-#: Labelled documents that the model is fitted on, at most, and passages of each, evenly spaced; scores use all passages.
-TRAIN_ROWS, TRAIN_PASSAGES = 8000, 16
+#: Labelled documents that the model is fitted on, at most; each teaches with all its passages.
+TRAIN_ROWS = 8000
 #: Hash buckets that a passage's words are counted in, and words whose bucket a Python worker remembers.
 BUCKETS, REMEMBERED = 128, 500_000
 #: Score from which a document is accepted.
@@ -98,18 +98,35 @@ def forward(model: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> t
     return _sigmoid(z @ model["c"] + model["c0"]), z, a, h, t, g, sizes
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, attention: int = 8, steps: int = 500, batch: int = 256, seed: int = 7) -> dict[str, np.ndarray]:
-    """Weights learned by Adam from document labels alone: passages carry no labels, attention finds those that tell."""
+class Packed:
+    """Bags of passages as compressed bytes, about a fifth of their size; each is unpacked when it is looked at."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.frombuffer(decompress(self.packed[i]), np.float32).reshape(-1, FEATURES)
+
+
+def fit(bags: list[np.ndarray] | Packed, labels: np.ndarray, hidden: int = 16, attention: int = 8, steps: int = 500, batch: int = 256, seed: int = 7) -> dict[str, np.ndarray]:
+    """Weights learned by Adam from document labels alone: passages carry no labels, attention finds those that tell.
+
+    Features are scaled by their mean and spread over documents, so that a very long one counts as any other.
+    """
     rng = np.random.default_rng(seed)
-    n, d = sum(map(len, bags)), bags[0].shape[1]
-    mean = sum(x.sum(axis=0, dtype=np.float64) for x in bags) / n
-    sd = np.sqrt(sum(((x - mean) ** 2).sum(axis=0) for x in bags) / n) + 1e-3
+    n, d = len(bags), bags[0].shape[1]
+    mean = sum(bags[i].mean(axis=0, dtype=np.float64) for i in range(n)) / n
+    sd = np.sqrt(sum(((bags[i] - mean) ** 2).mean(axis=0) for i in range(n)) / n) + 1e-3
     p = {"W": rng.normal(0, d**-0.5, (d, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, 0.3, (hidden, attention)), "U": rng.normal(0, 0.3, (hidden, attention)), "w": rng.normal(0, 0.3, attention), "c": rng.normal(0, 0.3, hidden), "c0": np.zeros(1)}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        pick = rng.choice(len(bags), min(batch, len(bags)), replace=False)
-        x, y = ((np.concatenate([bags[i] for i in pick]) - mean) / sd).clip(-8, 8), labels[pick]
-        first = np.concatenate(([0], np.cumsum([len(bags[i]) for i in pick])[:-1]))
+        pick = rng.choice(n, min(batch, n), replace=False)
+        some = [bags[i] for i in pick]
+        x, y = ((np.concatenate(some) - mean) / sd).clip(-8, 8), labels[pick]
+        first = np.concatenate(([0], np.cumsum(list(map(len, some)))[:-1]))
         score, z, a, h, t, g, sizes = forward(p, x, first)
         dl = (score - y) / len(pick)
         dz = np.repeat(dl[:, None] * p["c"], sizes, axis=0)
@@ -131,15 +148,9 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def some_passages(text: str) -> np.ndarray:
-    """At most TRAIN_PASSAGES evenly spaced passages of a text."""
-    x = passages(text)
-    return x if len(x) <= TRAIN_PASSAGES else x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).round().astype(int)]
-
-
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """The model of at most ``rows`` labelled documents that are not held out, the first by a hash of the id, of which
-    each gives at most TRAIN_PASSAGES passages.
+    """The model of at most ``rows`` labelled documents that are not held out, the first by a hash of the id, with all
+    their passages. The driver holds those compressed, about a third of the texts' own bytes.
 
     Ids with no label, a null label or no document teach nothing; of several labels of an id the largest counts.
     Without any label, or with one kind only, the model is that constant (0.5 without any).
@@ -150,15 +161,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [some_passages(x.as_py() or "").tobytes() for x in batch.column(2)]
+            out = [compress(passages(x.as_py() or "").tobytes(), 1) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
 
     read = found.select(F.col("doc_id").cast("long"), "y", F.col("text").cast("string")).mapInArrow(run, "doc_id long, y double, x binary")
-    got = read.orderBy("doc_id", "x").limit(rows).collect()  # ``rows`` rows of TRAIN_PASSAGES passages at most, also where ids repeat
+    got = read.orderBy("doc_id", "x").limit(rows).collect()  # ``rows`` rows at most, also where ids repeat
     y = np.array([r.y for r in got])
     if len(set(y.tolist())) < 2:
         return {"constant": float(y[0]) if len(y) else 0.5}
-    return fit([np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got], y)
+    return fit(Packed([bytes(r.x) for r in got]), y)
 
 
 def score_texts(texts: list[str], model: dict) -> np.ndarray:

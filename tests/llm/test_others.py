@@ -265,6 +265,20 @@ def test_words_tell_where_characters_do_not(spark):
     assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out]) > 0.9
 
 
+def test_any_passage_of_a_long_text_teaches(spark):
+    """What tells is in one passage of forty, at any place."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(300):
+        words = rng.choice(["river", "stone", "garden", "window"], 40 * Q.PASSAGE)
+        at = int(rng.integers(40)) * Q.PASSAGE
+        words[at : at + Q.PASSAGE] = "meadow" if i % 2 else "casino"
+        rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = Q.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out]) > 0.9
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, Q.FEATURES)) for n in (1, 3, 2, 5) * 20]
