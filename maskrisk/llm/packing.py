@@ -201,7 +201,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     order_by = ["doc_id", "piece", *[named(c) for c in names if c not in ("doc_id", "piece", "length", "ids")]]
     ranked = (
         sliced.withColumn(rank, F.row_number().over(W.partitionBy("length", slice_).orderBy(*order_by)) - 1)
-        .join(F.broadcast(before.select("length", slice_, before_)), ["length", slice_])  # a row for SLICE_ROWS pieces, and FEW * capacity more
+        .join(before.select("length", slice_, before_), ["length", slice_])  # dealt as the window before it
         .select(*map(named, names), (F.col(rank) + F.col(before_)).cast("long").alias(rank))
     )
     schema = ranked.select(*map(named, names), F.col(rank).alias("sequence_id"), F.col(rank).alias("offset")).schema
