@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, named, ship, written
+from .common import fresh, named, row_hash, ship, written
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -64,22 +64,26 @@ def line_hashes(text: Column, seed: int) -> Column:
 
 
 def blocks(lines: Column) -> Column:
-    """Hashes of each line, of each two adjacent lines, and of more than two as a whole."""
+    """(block, once): hashes of each line (once: it is in the text one time only), of each two adjacent lines, of the
+    first line as first and the last as last, and of more than two lines as a whole."""
+    order = F.array_sort(lines)
+    again = F.array_distinct(F.filter(F.zip_with(order, F.slice(order, 2, F.size(order)), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()))
     twos = F.filter(F.zip_with(lines, F.slice(lines, 2, F.size(lines)), lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y))), lambda x: x.isNotNull())
+    ends = F.when(F.size(lines) > 1, F.array(F.xxhash64(F.lit(0), F.lit(0), lines[0]), F.xxhash64(F.lit(0), F.lit(1), F.element_at(lines, -1)))).otherwise(F.array().cast("array<bigint>"))
     whole = F.when(F.size(lines) > 2, F.array(F.xxhash64(lines))).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(lines, twos, whole)
 
+    def marked(hashes: Column, once: bool) -> Column:
+        return F.transform(hashes, lambda x: F.struct(x.alias("block"), F.lit(once).alias("once")))
 
-def row_hash(text: Column) -> Column:
-    """What tells rows of one doc_id apart: a hash of the text."""
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    return F.concat(marked(F.array_except(lines, again), True), marked(again, False), marked(F.array_distinct(F.concat(twos, ends, whole)), True))
 
 
 def aligned_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, gone): for each text (h: its hash) that loses lines, their numbers from 0.
 
-    A text is aligned with the first one (by doc_id) of each of its lines, of each two lines that follow each other (lines
-    without a word left out), and of all its lines as a whole, however many texts have them. A group of n documents that
+    A text is aligned with the first one (by doc_id) of each of its lines, the first one that has the line one time only,
+    the first ones of each two lines that follow each other (lines without a word left out), of its first line as first
+    and its last as last, and of all its lines as a whole, however many texts have them. A group of n documents that
     share lines thus gives n - 1 pairs for each first document, never all pairs. Texts meet by one hash of a line and
     are compared by another, so lines that differ would have to agree in 128 bits.
 
@@ -88,11 +92,13 @@ def aligned_lines(docs: DataFrame) -> DataFrame:
     """
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), row_hash(F.col("text")).alias("h"), F.col("text").cast("string"))
     said = F.filter(line_hashes(F.col("text"), MEET), lambda x: x.isNotNull())
-    each = known.select("doc_id", "h", said.alias("said")).select("doc_id", "h", F.explode(F.array_distinct(blocks(F.col("said")))).alias("block"))
+    each = known.select("doc_id", "h", said.alias("said")).select("doc_id", "h", F.inline(blocks(F.col("said"))))
     each = written(each, "blocks")
-    first = F.min(F.struct("doc_id", "h")).alias("first")
-    met = written(each.groupBy("block").agg(first, F.max("doc_id").alias("last")).where("first.doc_id < last").select("block", "first"), "met")
-    pairs = each.join(met, "block").where("doc_id > first.doc_id").select("doc_id", "h", F.col("first.doc_id").alias("o"), F.col("first.h").alias("oh"))
+    row = F.struct("doc_id", "h")
+    met = each.groupBy("block").agg(F.min(row).alias("first"), F.min(F.when(F.col("once"), row)).alias("first_once"), F.max("doc_id").alias("last"))
+    met = written(met.where("first.doc_id < last").select("block", F.array_distinct(F.array("first", F.coalesce("first_once", "first"))).alias("firsts")), "met")
+    pairs = each.join(met, "block").select("doc_id", "h", F.explode("firsts").alias("first")).where("doc_id > first.doc_id")
+    pairs = pairs.select("doc_id", "h", F.col("first.doc_id").alias("o"), F.col("first.h").alias("oh"))
     pairs = written(pairs.distinct(), "pairs")
     lines = known.groupBy("doc_id", "h").agg(F.first(line_hashes(F.col("text"), COMPARE)).alias("lines"))
     lines = written(lines, "lines")
@@ -120,7 +126,12 @@ def without_lines(docs: DataFrame) -> DataFrame:
     doc, hash_, lost = fresh(docs, "_doc", "_hash", "_gone")
     gone = aligned_lines(docs).select(F.col("doc_id").alias(doc), F.col("h").alias(hash_), F.col("gone").alias(lost))
     joined = docs.join(gone, (docs["doc_id"] == gone[doc]) & (row_hash(docs["text"]) == gone[hash_]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
+
+    def rest(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))  # by a hash set, so linear
+        return F.array_join(F.transform(stay, lambda i: lines[i]), "\n")
+
+    kept = F.transform(F.array(F.split("text", "\n")), rest)[0]  # the lines are split once, not for each line
     return joined.select(*[(F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(named(c))) for c in docs.columns])
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, named, ship, trimmed, written
+from .common import connected_components, fresh, named, row_hash, ship, trimmed, written
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -43,16 +43,16 @@ def fingerprint(text: str, shingle: int, words: int = 1) -> np.ndarray:
     return np.packbits(votes * 2 > len(hashes), axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
-    """(doc_id, f0, f1, ...): the fingerprint of each whole text as signed 64-bit numbers; 0 where a text has no word."""
-    names = [f"f{j}" for j in range(words)]
+def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, f0, f1, ...): the fingerprint of each whole text as signed 64-bit numbers; 0 where a text has no word."""
+    names, n = [f"f{j}" for j in range(words)], len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py() or "", shingle, words) for x in batch.column(1)], np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, j]) for j in range(words))], ["doc_id", *names])
+            fps = np.array([fingerprint(x.as_py() or "", shingle, words) for x in batch.column(n)], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(fps[:, j]) for j in range(words))], [*keys, *names])
 
-    return ship(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return ship(docs).select(*[F.col(k).cast("long") for k in keys], F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in [*keys, *names]))
 
 
 def segments(words: int, m: int, sure: int) -> list[tuple[int, int, int, int]]:
@@ -254,22 +254,26 @@ BLOCK = 4000
 
 
 def similar_groups(docs: DataFrame, share: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs`` (doc_id, text) that has an id.
+    """(doc_id, h, component_id, component_h) for every row of ``docs`` (doc_id, text) that has an id; h: its text's hash.
 
-    component_id is the smallest doc_id that links of documents with a Jaccard similarity of ``share`` or more reach.
-    Fingerprints (``SIMILAR``) give groups of candidates; within a group, shingle sets decide, and any two members meet.
-    Texts of equal fingerprints are one node. Texts without a word are copies of each other.
+    component_id and component_h name the text of the smallest (doc_id, h) that links of texts with a Jaccard similarity
+    of ``share`` or more reach. Fingerprints (``SIMILAR``) give groups of candidates; within a group, shingle sets
+    decide, and any two members meet. Texts of equal fingerprints are one node, known by a number of its own, so that
+    different texts of one doc_id are different nodes. Texts without a word are copies of each other.
     """
     names = [f"f{j}" for j in range(SIMILAR["words"])]
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    fps = written(fingerprints(docs, SIMILAR["shingle"], SIMILAR["words"]), "fingerprints")
-    nodes = written(fps.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), row_hash(F.col("text")).alias("h"), F.col("text").cast("string"))
+    fps = written(fingerprints(docs, SIMILAR["shingle"], SIMILAR["words"], ("doc_id", "h")), "fingerprints")
+    nodes = fps.groupBy(*names).agg(F.min(F.struct("doc_id", "h")).alias("head"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     groups = written(connected_components(near_links(nodes, SIMILAR["words"], SIMILAR["m"], SIMILAR["sure"], SIMILAR["bits"])), "groups")
     sized = groups.join(groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "root")
     own = sized.select("root", "node", "blocks", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)").alias("own"))
     dealt = own.select("root", "node", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("blocks = 1 or own <> other")
     dealt = dealt.select("root", "node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    members = dealt.join(docs, dealt["node"] == docs["doc_id"]).select("root", "low", "high", "node", "text")
+    heads = nodes.join(groups.select("node"), "node").select("node", F.col("head.doc_id").alias("doc_id"), F.col("head.h").alias("h"))
+    texts = docs.join(heads, ["doc_id", "h"]).groupBy("node").agg(F.first("text").alias("text"))  # repeated rows are one
+    members = dealt.join(texts, "node").select("root", "low", "high", "node", "text")
 
     @trimmed
     def link(group: pa.Table) -> pa.Table:
@@ -279,19 +283,24 @@ def similar_groups(docs: DataFrame, share: float = 0.8, block: int = BLOCK) -> D
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     links = ship(members).groupBy("root", "low", "high").applyInArrow(link, "a long, b long")
-    every = written(nodes.join(connected_components(links), "node", "left").select(*names, F.coalesce("root", "node").alias("component_id")), "components")
-    return fps.join(every, names).select("doc_id", "component_id")
+    joined = nodes.join(connected_components(links), "node", "left").select(*names, "head", "root")
+    tops = joined.where("root is not null").groupBy("root").agg(F.min("head").alias("top"))
+    top = F.coalesce("top", "head")
+    every = joined.join(tops, "root", "left").select(*names, top["doc_id"].alias("component_id"), top["h"].alias("component_h"))
+    return fps.join(written(every, "components"), names).select("doc_id", "h", "component_id", "component_h")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies, that of the smallest doc_id; all columns stay.
+    """``docs`` with one text of each group of near copies, that of the smallest doc_id; all columns stay.
 
-    Of repeated rows of a doc_id one stays, that of the smallest hash of its text; rows without doc_id all stay, for they
-    are in no group.
+    Of rows of equal doc_id and text one stays. Different texts of one doc_id are judged each; where they are near
+    copies of each other, that of the smallest hash stays. Rows without doc_id all stay, for they are in no group.
     """
-    gone = similar_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*map(named, docs.columns))
+    (hash_,) = fresh(docs, "_hash")
+    gone = similar_groups(docs).where("doc_id <> component_id or h <> component_h").select("doc_id", F.col("h").alias(hash_)).distinct()
+    known = docs.where("doc_id is not null").withColumn(hash_, row_hash(F.col("text")))
+    kept = known.join(gone, ["doc_id", hash_], "left_anti")
     row = F.struct(*[F.col(named(c)).alias(f"_{i}") for i, c in enumerate(docs.columns)])
-    one = kept.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("_row"))  # partial results from each task
+    one = kept.groupBy("doc_id", hash_).agg(F.first(row).alias("_row"))  # partial results from each task
     once = one.select(*[F.col(f"_row._{i}").alias(c) for i, c in enumerate(docs.columns)])
     return once.unionByName(docs.where("doc_id is null"))

@@ -73,13 +73,27 @@ def test_block_of_two_documents_in_reverse_order_elsewhere(spark):
     assert got[3] == ""
 
 
+def test_lines_that_first_holders_repeat_or_have_elsewhere(spark):
+    got = kept(spark, [(1, "x\na\nx\nb\nx"), (2, "c\nx\nd"), (3, "b\nx\na")])
+    assert got[3] == "b" or got[3] == "a"
+    got = kept(spark, [(1, "t\nu\nt"), (2, "p\nt\nq\nr"), (3, "s\nt")])
+    assert got[3] == "s"
+
+
+def test_many_removed_lines(spark):
+    """The cost of taking lines out does not grow with the square of their number."""
+    copied = "\n".join(f"line {i}" for i in range(60_000))
+    got = kept(spark, [(1, copied), (2, f"own\n{copied}\n\nlast")])
+    assert got[1] == copied and got[2] == "own\n\nlast"
+
+
 def test_against_every_earlier_document(spark, docs):
-    """What aligns with any earlier document goes, but for few lines whose order the chosen partners lack; nothing else goes."""
+    """What aligns with any earlier document goes, nothing else."""
     texts = {r.doc_id: r.text.split("\n") for r in docs.select("doc_id", "text").collect()}
     lines = {i: [x if x.strip(" \t\n\x0b\f\r") else None for x in t] for i, t in texts.items()}
     want = {(i, j) for i in lines for o in lines if o < i and set(lines[o]) & set(lines[i]) - {None} for _, j in L.patience(lines[o], lines[i])}
     got = {(r.doc_id, j) for r in L.aligned_lines(docs).collect() for j in r.gone}
-    assert got <= want and len(got) >= 0.98 * len(want)
+    assert got <= want and len(got) >= 0.999 * len(want)
     digest = {r.doc_id: (r.n_lines, r.kept_chars, r.kept_sha256) for r in L.line_digest(docs).collect()}
     for i, t in texts.items():
         left = "\n".join(x for j, x in enumerate(t) if (i, j) not in got)

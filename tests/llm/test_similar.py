@@ -64,3 +64,12 @@ def test_dropped_documents_have_a_similar_one(spark, docs):
     want = exact(rows)
     got = {r.doc_id: r.component_id for r in S.similar_groups(docs).collect()}
     assert got == want
+
+
+def test_different_texts_of_one_doc_id_are_judged_each(spark):
+    words = [f"w{i}" for i in range(400)]
+    one, two, three = " ".join(words[:120]), " ".join(words[120:260]), " ".join(words[260:])
+    rows = [(1, one, "a"), (1, two, "b"), (1, two, "b"), (2, one + " more", "c"), (3, two + " more", "d"), (4, three, "e"), (4, three + " more", "f"), (None, one, "g")]
+    got = sorted((r.doc_id or 0, r.text, r._hash) for r in S.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, _hash string")).collect())
+    assert [x for x in got if x[0] != 4] == sorted([(0, one, "g"), (1, one, "a"), (1, two, "b")])
+    assert len([x for x in got if x[0] == 4]) == 1
