@@ -7,15 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shared import written
-from .ranks import places
+from .ranks import places, quantiles
 from .selective import accepted, accepted_jaccard, running
 
 
-def average_rank(col: str, cond: list[str]):
-    """Rank from 1 in ascending order; equal values share the mean of theirs."""
-    return F.rank().over(W.partitionBy(*cond).orderBy(col)) + (F.count("*").over(W.partitionBy(*cond, col)) - 1) / 2.0
-
-
 def side_ranks(pairs: DataFrame, cond: list[str], col: str, name: str) -> DataFrame:
     """(cond, col, name): the average rank of each value of a side, the largest first, over pairs with counts ``w``."""
     v = running(pairs.groupBy(*cond, col).agg(F.sum("w").alias("_g")), cond, col, {"_g": "_above"})
@@ -103,7 +98,9 @@ def score_agreement(rows: DataFrame, cond: list[str], key: str, methods: list[st
 def error_to_reference(rows: DataFrame, cond: list[str], score: str, reference: str) -> DataFrame:
     """Absolute differences from a reference score: mean, median, 95th percentile, largest, share of equal values."""
     e = F.abs(F.col(score) - F.col(reference))
-    return rows.groupBy(*cond).agg(F.avg(e).alias("mean"), F.percentile(e, F.lit(0.5)).alias("median"), F.percentile(e, F.lit(0.95)).alias("p95"), F.max(e).alias("largest"), F.avg((F.col(score) == F.col(reference)).cast("double")).alias("equal_share"))
+    rows = written(rows.select(*cond, e.alias("_e"), (F.col(score) == F.col(reference)).cast("double").alias("_same")), "errors")
+    own = rows.groupBy(*cond).agg(F.avg("_e").alias("mean"), F.max("_e").alias("largest"), F.avg("_same").alias("equal_share"))
+    return own.join(quantiles(rows, cond, F.col("_e"), {"median": 0.5, "p95": 0.95}), cond).select(*cond, "mean", "median", "p95", "largest", "equal_share")
 
 
 def wasserstein(rows: DataFrame, cond: list[str], x: str, y: str) -> DataFrame:
@@ -119,7 +116,9 @@ def strata_summary(rows: DataFrame, cond: list[str], value, stratum, strata: lis
     A stratum without rows has the count 0 and nulls.
     """
     each = rows.select(*cond, value.alias("v"), F.explode(F.array(F.lit("all"), stratum)).alias("stratum"))
-    quantiles = [F.percentile("v", F.lit(q)).alias(name) for q, name in ((0.1, "p10"), (0.5, "median"), (0.9, "p90"))]
-    got = each.groupBy(*cond, "stratum").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.avg(F.abs("v")).alias("mean_absolute"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rmse"), *quantiles)
+    each = written(each.where("stratum is not null"), "strata")
+    group = [*cond, "stratum"]
+    got = each.groupBy(*group).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.avg(F.abs("v")).alias("mean_absolute"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rmse"))
+    got = got.join(quantiles(each, group, F.col("v"), {"p10": 0.1, "median": 0.5, "p90": 0.9}), group)
     every = rows.select(*cond).distinct().withColumn("stratum", F.explode(F.array(*[F.lit(x) for x in ("all", *strata)])))
     return every.join(got, [*cond, "stratum"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shared import written
+from .ranks import places
 
 #: Terms of the harmonic sum that are looked up; beyond, its expansion is exact to a double.
 TERMS = 64
@@ -87,9 +88,15 @@ def summary(rows: DataFrame, group: list[str], score: str, risk: str) -> DataFra
 
 
 def plain_aurc(rows: DataFrame, group: list[str], score: str, risk: str, tie: str) -> DataFrame:
-    """The same area in one fixed order: ties stay in the order of ``tie``."""
-    w = W.partitionBy(*group).orderBy(F.desc(score), tie).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("_m", F.avg(risk).over(w)).groupBy(*group).agg(F.avg("_m").alias("aurc"))
+    """The same area in one fixed order: ties stay in the order of ``tie``.
+
+    Rows are dealt to ranges of that order, so no task holds a group. NaN scores come first and null ones last; rows of
+    null risk stand in the order but in no mean.
+    """
+    s, x = F.col(score).cast("double"), F.col(risk).cast("double")
+    one = rows.select(*group, s.alias("_s"), F.col(tie).alias("_tie"), x.alias("_x"), x.isNotNull().cast("long").alias("_c"))
+    ordered = places(one, group, [F.col("_s").isNull(), F.coalesce(~F.isnan("_s"), F.lit(True)), -F.col("_s"), "_tie"], sums={"_x": "_sum", "_c": "_count"})
+    return ordered.groupBy(*group).agg(F.avg(F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count"))).alias("aurc"))
 
 
 def curve(rows: DataFrame, group: list[str], score: str, risk: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.shared import written
 from . import agreement as A
 from . import pixels as P
 from . import selective as S
-from .ranks import equal_bins
+from .ranks import equal_bins, quantiles
 
 
 def grouped_reliability(rows: DataFrame, cond: list[str], predicted: str, observed: str, tie: str, bins: int = 10) -> DataFrame:
@@ -109,7 +109,9 @@ def fine_grid(rows: DataFrame, cond: list[str], coarse: str, fine: str, risk: st
 
 def timings(rows: DataFrame, cond: list[str], method: str, seconds: str, images: int, megapixels: float, base: str) -> DataFrame:
     """Wall-clock range and median, rates, and the ratio of the median to that of a base method."""
-    t = rows.groupBy(*cond, method).agg(F.count("*").alias("runs"), F.min(seconds).alias("low"), F.percentile(seconds, F.lit(0.5)).alias("median"), F.max(seconds).alias("high"))
+    group = [*cond, method]
+    t = rows.groupBy(*group).agg(F.count("*").alias("runs"), F.min(seconds).alias("low"), F.max(seconds).alias("high"))
+    t = written(t.join(quantiles(rows, group, F.col(seconds), {"median": 0.5}), group), "timings")  # a row for each method
     b = t.where(F.col(method) == base).select(*cond, F.col("median").alias("_base"))
     m = F.col("median")
     return t.join(b, cond, "left").select(*cond, method, "runs", "low", "median", "high", (1000 * m / images).alias("ms_per_image"), (1000 * m / megapixels).alias("ms_per_megapixel"), (images / m).alias("images_per_second"), (m / F.col("_base")).alias("ratio"))
@@ -118,15 +120,30 @@ def timings(rows: DataFrame, cond: list[str], method: str, seconds: str, images:
 # --- cases ---
 
 
-def safety_rank(rows: DataFrame, cond: list[str], score: str):
-    """Average rank from 0 (least confident) to 1; 0 in a condition of one row."""
-    n = F.count("*").over(W.partitionBy(*cond))
-    return F.when(n > 1, (A.average_rank(score, cond) - 1) / (n - 1)).otherwise(F.lit(0.0))
+def safety_ranks(rows: DataFrame, cond: list[str], scores: dict[str, str]) -> DataFrame:
+    """``rows`` with the safety rank of each score (score column to new name): its average rank from 0 (least confident)
+    to 1, and 0 in a condition of one row.
+
+    Ranks come from running sums over distinct scores and are joined back, so no task holds a condition. Null scores are
+    the least confident, NaN the most. ``rows`` should be a written table, as each score reads it again.
+    """
+    n = rows.groupBy(*cond).agg(F.count("*").alias("_n"))
+    for score, name in scores.items():
+        v = written(rows.groupBy(*cond, F.col(score).alias("_v")).agg(F.count("*").alias("_g")), "ranks")
+        v = S.running(v, cond, "_v", {"_g": "_above"}).join(n, cond)
+        rank = F.col("_n") - F.col("_above") - (F.col("_g") + 1) / 2.0  # the average rank, counted from 0
+        v = v.select(*[F.col(c).alias(f"_c_{c}") for c in cond], "_v", F.when(F.col("_n") > 1, rank / (F.col("_n") - 1)).otherwise(F.lit(0.0)).alias(name))
+        on = F.col(score).eqNullSafe(F.col("_v"))
+        for c in cond:
+            on = on & (F.col(c) == F.col(f"_c_{c}"))
+        rows = rows.join(v, on).drop("_v", *[f"_c_{c}" for c in cond])
+    return rows
 
 
 def rank_disagreement(rows: DataFrame, cond: list[str], key: str, left: str, right: str) -> DataFrame:
     """left_rank, right_rank (safety ranks of two scores) and gap, their absolute difference, for each row."""
-    r = rows.select(*cond, key, safety_rank(rows, cond, left).alias("left_rank"), safety_rank(rows, cond, right).alias("right_rank"))
+    rows = written(rows.select(*cond, key, F.col(left).alias("_left"), F.col(right).alias("_right")), "scores")
+    r = safety_ranks(rows, cond, {"_left": "left_rank", "_right": "right_rank"}).select(*cond, key, "left_rank", "right_rank")
     return r.withColumn("gap", F.abs(F.col("left_rank") - F.col("right_rank")))
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scores import rounded
-from ..functions.shared import scratch
+from ..functions.shared import scratch, written
 from ..operators import agreement as A
 from ..operators import assembly as T
 from ..operators import pixels as P
 from ..operators import selective as S
 from ..operators import summaries as M
 from ..operators import validate as V
+from ..operators.ranks import quantiles
 from ..sources import io
 from ..sources.views import COND, KEY, pixels, read, records, stream_rows
 from ..streaming import monitor
@@ -156,7 +157,7 @@ def safety(x: str) -> str:
     return f"CASE WHEN count(*) OVER (PARTITION BY {C}) > 1 THEN ({ranked(x, C)} - 1) / (count(*) OVER (PARTITION BY {C}) - 1) ELSE 0 END"
 
 
-add("x1_safety_rank", lambda s, d: records(s, d).transform(lambda df: df.select(*KEY, M.safety_rank(df, COND, "confidence_sdc").alias("rank"))), f"{REC} SELECT {K}, {r(safety('confidence_sdc'), 'rank')} FROM rec", ("rank",))
+add("x1_safety_rank", lambda s, d: M.safety_ranks(written(records(s, d).select(*KEY, "confidence_sdc"), "scores"), COND, {"confidence_sdc": "rank"}).select(*KEY, "rank"), f"{REC} SELECT {K}, {r(safety('confidence_sdc'), 'rank')} FROM rec", ("rank",))
 DIS = f"ds AS (SELECT {K}, {safety('confidence_sdc')} AS left_rank, {safety('confidence_dice_m32')} AS right_rank FROM rec)"
 add("x2_rank_disagreement", lambda s, d: M.rank_disagreement(records(s, d), COND, "sample_id", "confidence_sdc", "confidence_dice_m32"), f"{REC}, {DIS} SELECT {K}, {r('left_rank', 'left_rank')}, {r('right_rank', 'right_rank')}, {r('abs(left_rank - right_rank)', 'gap')} FROM ds", ("left_rank", "right_rank", "gap"))
 LOSSES = {"risk_dice": "confidence_dice_m32", "risk_nhd": "confidence_nhd_m32"}
@@ -258,7 +259,8 @@ add("v6_condition_matrix", v6, f"{REC}, a AS (SELECT DISTINCT {C} FROM rec), g A
 def v7(spark, sf_dir):
     """Quantiles of each condition's scores as threshold rules: those with ties or outside (0, 1) are no rules."""
     w = F.expr("explode(sequence(0, 7))").alias("k")
-    q = records(spark, sf_dir).groupBy(*COND).agg(F.percentile("confidence_sdc", F.array(*[F.lit(i / 7) for i in range(8)])).alias("q"))
+    eighths = {f"q{i}": i / 7 for i in range(8)}
+    q = quantiles(records(spark, sf_dir), COND, F.col("confidence_sdc"), eighths).select(*COND, F.array(*eighths).alias("q"))
     n = q.select(F.concat_ws("/", *COND).alias("rule"), "q", w).select("rule", "k", F.get("q", F.col("k")).alias("t"), (F.lit(1.0) / F.when(F.col("rule").endswith("F"), 8).otherwise(9)).alias("w"))
     return V.check_rules(n, "rule")
 

@@ -326,3 +326,44 @@ def test_cohort_digest_over_ranges(spark):
     sha = lambda ids: hashlib.sha256("\n".join(map(str, ids)).encode()).hexdigest()
     assert got == {"a": (500, sha(range(500))), "b": (2, sha([7])), "c": (1, sha([])), None: (1, sha([3]))}
     assert io.cohort_digest(spark.createDataFrame([], "c string, id long"), ["c"], "id").count() == 0
+
+
+@pytest.mark.parametrize("stretches", [2, 7, 64])
+def test_quantiles_are_those_of_percentile(spark, stretches):
+    """One condition with most rows, ties, nulls and NaN, and conditions of one row and of nulls alone."""
+    rng = np.random.default_rng(8)
+    v = [("big", float(x)) for x in np.round(rng.normal(size=3000), 2)] + [("big", 0.5)] * 2000 + [("big", float("nan"))] * 3 + [("big", None)] * 9
+    v += [("few", float(x)) for x in (3, -1, 3, float("inf"))] + [("one", 7.0), ("none", None), ("nan", float("nan")), ("nan", 1.0)]
+    rows = spark.createDataFrame(v, "c string, v double").repartition(5)
+    wanted = {"q0": 0.0, "q10": 0.1, "q33": 1 / 3, "q50": 0.5, "q95": 0.95, "q999": 0.9999, "q100": 1.0}
+    got = ranks.quantiles(rows, ["c"], F.col("v"), wanted, stretches)
+    want = rows.groupBy("c").agg(*[F.percentile("v", F.lit(q)).alias(name) for name, q in wanted.items()])
+    assert got.columns == want.columns
+    assert {str(tuple(r)) for r in got.collect()} == {str(tuple(r)) for r in want.collect()}  # bit for bit
+    assert ranks.quantiles(rows.limit(0), ["c"], F.col("v"), wanted, stretches).count() == 0
+
+
+def test_quantiles_keep_no_condition_in_one_task(spark):
+    rows = spark.range(20_000).select(F.lit("c").alias("c"), F.col("id").cast("double").alias("v"))
+    plan = ranks.quantiles(rows, ["c"], F.col("v"), {"m": 0.5})._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
+    windows = [line for line in plan.splitlines() if "Window [" in line and "_v#" in line]
+    assert windows and all("_stretch#" in line for line in windows)
+
+
+def test_safety_ranks_share_ties(spark):
+    s = [0.3, 0.1, None, 0.3, float("nan"), None, 0.9]
+    rows = spark.createDataFrame([("c", i, x) for i, x in enumerate(s)] + [("one", 0, 5.0)], "c string, id int, s double")
+    got = {(r.c, r.id): r["rank"] for r in summaries.safety_ranks(rows, ["c"], {"s": "rank"}).collect()}
+    assert got == {("c", 2): 0.5 / 6, ("c", 5): 0.5 / 6, ("c", 1): 2 / 6, ("c", 0): 3.5 / 6, ("c", 3): 3.5 / 6, ("c", 6): 5 / 6, ("c", 4): 1.0, ("one", 0): 0.0}
+
+
+def test_plain_area_over_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [("big", i, float(np.round(rng.random(), 1)), float(rng.random())) for i in range(4000)]
+    rows += [("big", 5000, None, 0.7), ("big", 5001, float("nan"), 0.2), ("big", 5002, 0.4, None), ("one", 1, 0.5, 0.25)]
+    df = spark.createDataFrame(rows, "c string, id int, s double, x double").repartition(6)
+    w = W.partitionBy("c").orderBy(F.desc("s"), "id").rowsBetween(W.unboundedPreceding, 0)
+    want = {r.c: r.a for r in df.withColumn("m", F.avg("x").over(w)).groupBy("c").agg(F.avg("m").alias("a")).collect()}
+    got = {r.c: r.aurc for r in selective.plain_aurc(df, ["c"], "s", "x", "id").collect()}
+    assert got == pytest.approx(want)
