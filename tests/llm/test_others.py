@@ -96,6 +96,10 @@ def test_names_inside_an_article():
         assert H.main_text(page(f'<div class="{gone}">x y</div>'), set()) == "one two", gone
     for kept in ('<div class="form-notes">x y</div>', '<figcaption class="banner">x y</figcaption>', '<div class="article-body">x y</div>', '<div class="note">x y</div>'):
         assert H.main_text(page(kept), set()) == "one x y two", kept
+    for gone in ('<p class="notice">x y</p>', '<li class="sponsor">x y</li>', '<p class="ad-box">x y</p>', '<td class="cookie-consent">x y</td>', '<h3 class="advertisement">x y</h3>'):
+        assert H.main_text(page(gone), set()) == "one two", gone
+    for kept in ('<p class="notice-of-motion">x y</p>', '<h2 class="header">x y</h2>', '<p class="lead">x y</p>', '<li class="promo">x y</li>'):
+        assert H.main_text(page(kept), set()) == "one x y two", kept
     doubt = page('<div class="form-notes">a b c d e f</div>')
     assert H.main_text(doubt, {"a b c d e"}) == "one f two" and H.main_text(doubt, {"a b c d e", "b c d e f"}) == "one two"
 
@@ -139,6 +143,15 @@ def test_repeated_runs_of_a_host_go(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_rows_without_page_id_lose_what_the_host_repeats(spark):
+    menu = "All the news that we have today in one place"
+    own = lambda i: f"own{i} words{i} of page number {i} and{i} nothing{i} else{i}"
+    page = lambda i, more=menu: f"<body><div>{more}</div><div>{own(i)}</div>"
+    rows = [(1, "http://h.example/a", page(1)), (2, "http://h.example/b", page(2)), (None, "http://h.example/c", page(3)), (None, "http://n.example/d", page(4)), (None, "http://n.example/e", page(5)), (2, "http://h.example/b", page(6, "nothing that any other page here has"))]
+    got = sorted(r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == sorted([own(1), own(2), own(3), f"{menu} {own(4)}", f"{menu} {own(5)}", f"nothing that any other page here has {own(6)}"])
+
+
 # --- sentencepiece ---
 
 
