@@ -100,8 +100,11 @@ def plain_aurc(rows: DataFrame, group: list[str], score: str, risk: str, tie: st
 
 
 def curve(rows: DataFrame, group: list[str], score: str, risk: str) -> DataFrame:
-    """Expected risk at each number of accepted rows, j from 1 on, with the coverage."""
-    t = tie_groups(rows, group, score, risk)
+    """Expected risk at each number of accepted rows, j from 1 on, with the coverage.
+
+    The distinct scores are written, so that the plan of a curve does not repeat theirs.
+    """
+    t = written(tie_groups(rows, group, score, risk), "ties")
     each = t.join(t.groupBy(*group).agg(F.sum("g").alias("n")), group).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("g").cast("int"))))
     j = F.col("before") + F.col("i")
     return each.select(*group, j.cast("long").alias("j"), (j / F.col("n")).alias("coverage"), ((F.col("sum") + F.col("i") * F.col("s") / F.col("g")) / j).alias("risk"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scores import hash_seed, rounded
+from ..functions.shared import written
 from ..operators import agreement as A
 from ..operators import inference as I  # noqa: E741
 from ..operators import selective as S
@@ -50,11 +51,11 @@ CURVE = """{n}_t AS (SELECT {g}, {s} AS score, count(*) AS g_, sum({k}) AS s_ FR
 
 def r4(spark, sf_dir):
     """The curve of a score beside those of the oracle and of a random order."""
-    rec = records(spark, sf_dir)
+    rec = written(records(spark, sf_dir).select(*COND, "confidence_sdc", "risk_dice"), "records")
     own = S.curve(rec, COND, "confidence_sdc", "risk_dice")
     oracle = S.curve(rec.withColumn("o", -F.col("risk_dice")), COND, "o", "risk_dice").select(*COND, "j", F.col("risk").alias("oracle"))
     mean = rec.groupBy(*COND).agg(F.avg("risk_dice").alias("random"))
-    return own.join(oracle, [*COND, "j"]).join(mean, COND)
+    return own.hint("merge").join(oracle.hint("merge"), [*COND, "j"]).join(mean, COND)  # a few ties may stand for many rows
 
 
 add("r4_risk_coverage", r4, f"{REC}, " + CURVE.format(n="a", g=C, s="confidence_sdc", k="risk_dice") + ", " + CURVE.format(n="b", g=C, s="-risk_dice", k="risk_dice") + f", m AS (SELECT {C}, avg(risk_dice) AS random FROM rec GROUP BY {C}) SELECT {C}, j, {r('a.coverage', 'coverage')}, {r('a.risk', 'risk')}, {r('b.risk', 'oracle')}, {r('random', 'random')} FROM a JOIN b USING ({C}, j) JOIN m USING ({C})", ("coverage", "risk", "oracle", "random"))

@@ -148,6 +148,16 @@ def test_holm(spark):
     assert [r.adjusted for r in inference.holm(rows, ["family"]).orderBy("name").collect()] == pytest.approx([0.03, 0.06, 0.06])
 
 
+def test_curve_writes_its_ties_and_is_never_broadcast(spark, sf):
+    """The plan of both curves does not repeat the records, and joins by sorting: few ties may stand for many rows."""
+    from maskrisk.plans import REGISTRY
+
+    plan = REGISTRY["r4_risk_coverage"][0](spark, sf)._jdf.queryExecution()
+    logical, physical = plan.optimizedPlan().toString(), plan.executedPlan().toString()
+    assert "lineitem" not in logical and "l_orderkey" not in logical
+    assert "SortMergeJoin" in physical
+
+
 def test_bootstrap_of_equal_scores_is_zero(spark):
     rows = scores(spark, [(i % 3, i % 2) for i in range(12)]).withColumn("other", F.col("score"))
     r = inference.contrast(rows, ["cond"], "score", "other", "risk", "id", resamples=20).first()
