@@ -170,6 +170,22 @@ def test_bootstrap_weights_sum_to_clusters(spark):
     assert [r.w for r in w.collect()] == [7] * 5
 
 
+def test_draws_of_many_clusters_and_kinds(spark):
+    """Draws in pieces are those of the formula; a condition of 70,000 records is one stretch, whose clusters are drawn once."""
+    m, reps = 2 * inference.DRAWS + 5, np.array([3, 4])
+    c = spark.range(m).select(F.lit("c").alias("cond"), F.col("id").alias("cluster"))
+    want = np.zeros((5, m), int)
+    for r in inference.cluster_weights(c, ["cond"], "cluster", 5, F.lit(9)).where("rep >= 3").collect():
+        want[r.rep, r.cluster] = r.weight
+    assert (inference.drawn_weights(9, m, reps) == want[3:]).all()
+    assert inference.STRETCH >= 70_000
+    left, right, risk = np.array([1.0, 2.0, np.nan, 1.0, np.nan]), np.array([5.0, 4.0, 4.0, 5.0, 4.0]), np.array([0.5, 1.0, 0.0, 0.5, 0.0])
+    kinds = inference.Kinds([risk, left, right], np.array([0, 1, 2, 2, 0]), np.array([1, 2, 1, 1, 1]))
+    assert len(kinds.first) == 3  # rows 0 and 3, and rows 2 and 4, are alike
+    g, s = inference.Ties(left[kinds.first], risk[kinds.first], np.arange(3)).sums(kinds.weights(np.array([1.0, 2.0, 3.0])))
+    assert (g.tolist(), s.tolist()) == ([4, 4, 4], [4.0, 2.0, 0.0])
+
+
 @pytest.mark.parametrize("stretch", [5, 1 << 16])
 def test_bootstrap_areas_against_drawn_rows(spark, monkeypatch, stretch):
     """Areas by stretches and blocks are those of the rows drawn by ``cluster_weights``; ties, repeats and a null score."""
