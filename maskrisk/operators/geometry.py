@@ -13,17 +13,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.shared import shipped
+from ..functions.shared import shipped, written
+from .images import WHOLE, by_size, per_image, shares
 
 #: More than any distance within an image, and the bits of a squared distance within it.
 FAR, REACH = 1 << 22, 42
 #: Rows up to so many columns compare all their places at once; numbers that a task holds for that at a time, about.
 NARROW, CELLS = 64, 1 << 20
+#: More than any step within an image that a task holds.
+FAR_WHOLE = 1 << 14
 
 
 def with_neighbours(px: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -178,50 +181,144 @@ def pooled_distances(px: DataFrame, key: list[str], value: str, fixed: str, node
     return rows.mapInArrow(across, counts).groupBy(*key, "k", "d2").agg(F.sum("n").alias("n"))
 
 
-def hausdorff(pooled: DataFrame, key: list[str], images: DataFrame) -> DataFrame:
-    """nhd and nhd95 for each row of ``images`` (key, diagonal, left_size, right_size): pooled surface distances.
+def lowest_beside(image: np.ndarray, y: np.ndarray, x: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """``with_neighbours`` of pixels in order of image, y and x: the smallest of the four neighbours, 0 outside the frame."""
+    low = np.full(len(value), np.inf)
+    for line, order in ((y, None), (x, np.lexsort((y, x, image)))):
+        i, at, v = (image, line, value) if order is None else (image[order], line[order], value[order])
+        beside = (i[1:] == i[:-1]) & (at[1:] == at[:-1])
+        near = np.minimum(np.append(0, np.where(beside, v[:-1], 0)), np.append(np.where(beside, v[1:], 0), 0))
+        if order is not None:
+            near, back = np.empty_like(near), near
+            near[order] = back
+        low = np.minimum(low, near)
+    return low
 
-    Largest and 95th percentile of the distances of both surfaces to each other, over the diagonal, at most 1. Both masks
-    empty gives 0, one empty gives 1.
+
+def steps_along(on: np.ndarray) -> np.ndarray:
+    """For each cell of arrays (..., y, x) the steps along its column to the nearest that is ``on``, ``FAR_WHOLE`` if none is."""
+    ys = np.arange(on.shape[-2], dtype=np.int32)[:, None]
+    last = np.maximum.accumulate(np.where(on, ys, np.int32(-FAR_WHOLE)), axis=-2)
+    after = np.minimum.accumulate(np.where(on, ys, np.int32(2 * FAR_WHOLE))[..., ::-1, :], axis=-2)[..., ::-1, :]
+    return np.minimum(np.minimum(ys - last, after - ys), FAR_WHOLE)
+
+
+def extremes(h: int, w: int, nodes: np.ndarray, image: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray, low: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(images, nodes) of the largest and the 95th percentile of pooled distances, of images of one frame; NaN where none is.
+
+    The same separable transform as ``pooled_distances``, for a few whole images at once.
+    """
+    n, m = int(image[-1]) + 1, len(nodes)
+    fixed, level, below = np.zeros((n, h, w), bool), np.zeros((n, h, w)), np.zeros((n, h, w))
+    fixed[image, y, x], level[image, y, x], below[image, y, x] = s, v, low
+    xs = np.arange(w, dtype=np.int32)
+    # a level's points lie at one distance from the fixed surface, for all nodes between low and v
+    i, a, b = np.nonzero(below < level)
+    first, last = np.searchsorted(nodes, below[i, a, b], "right"), np.searchsorted(nodes, level[i, a, b], "right")
+    i, a, b, first, times = (z[last > first] for z in (i, a, b, first, last - first))
+    own = steps_along(fixed)
+    near = (own[i, a].astype(np.int64) ** 2 + (b[:, None] - xs) ** 2).min(-1, initial=FAR_WHOLE**2)
+    k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+    found = [(np.repeat(i, times) * m + k) << REACH | np.repeat(near, times)]
+    # the fixed surface's points look at each node's level
+    i, a, b = np.nonzero(fixed)
+    if len(i):
+        gaps = np.ascontiguousarray(steps_along((below[:, None] < nodes[:, None, None]) & (nodes[:, None, None] <= level[:, None])).transpose(0, 2, 1, 3))
+        gaps *= gaps
+        step = max(1, CELLS // (m * w))
+        for at in range(0, len(i), step):
+            part = slice(at, at + step)
+            d2 = (gaps[i[part], a[part]] + ((b[part, None] - xs) ** 2).astype(np.int32)[:, None]).min(-1)
+            found.append(((i[part, None] * m + np.arange(m)) << REACH | d2).ravel())
+    pooled = np.concatenate(found)
+    pooled = np.sort(pooled[(pooled & ((1 << REACH) - 1)) < FAR_WHOLE**2])
+    far, most = np.full(n * m, np.nan), np.full(n * m, np.nan)
+    if len(pooled):
+        of, d = pooled >> REACH, np.sqrt((pooled & ((1 << REACH) - 1)).astype(float))
+        start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        size = np.diff(np.append(start, len(of)))
+        place = 0.95 * (size - 1)
+        lo, hi = np.floor(place).astype(int), np.ceil(place).astype(int)
+        far[of[start]] = d[start + size - 1]
+        most[of[start]] = np.where(lo == hi, d[start + lo], (hi - place) * d[start + lo] + (place - lo) * d[start + hi])
+    return far.reshape(n, m), most.reshape(n, m)
+
+
+def farthest(px: DataFrame, key: list[str], value: str, fixed: str, nodes: list[float], whole: int = WHOLE) -> DataFrame:
+    """(key, far, far95): arrays over nodes of the largest and the 95th percentile of the distances that ``pooled_distances``
+    counts, null where a surface is empty. ``px`` is a written table.
+
+    Images that a task can hold are taken whole, so that no row arises for a pixel and a node; larger ones go by their
+    columns and rows.
     """
-    d = pooled.groupBy(*key).agg(F.max("d2").alias("m"), F.percentile(F.sqrt(F.col("d2").cast("double")), F.lit(0.95), F.col("n")).alias("q"))
-    joined = images.join(d, key, "left")
-    both, one = (F.col("left_size") == 0) & (F.col("right_size") == 0), (F.col("left_size") == 0) | (F.col("right_size") == 0)
-    out = lambda v: F.when(both, F.lit(0.0)).when(one, F.lit(1.0)).otherwise(F.least(F.lit(1.0), v / F.col("diagonal")))
-    return joined.select(*key, "diagonal", out(F.sqrt(F.col("m").cast("double"))).alias("nhd"), out(F.col("q")).alias("nhd95"))
+    t = np.array(nodes)
+    both = px.select(*key, "y", "x", F.col(value).cast("double").alias("_v"), F.col(fixed).cast("double").alias("_m"))
+    small, large = by_size(both, key, whole)
+    lists = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*(both.schema[k] for k in key), T.StructField("far", lists), T.StructField("far95", lists)])
+
+    def work(piece: pa.Table, first: np.ndarray) -> pa.Table:
+        y, x = (piece.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+        v, m = (piece.column(c).fill_null(0.0).to_numpy() for c in ("_v", "_m"))
+        counts = np.diff([*first, len(y)])
+        image = np.repeat(np.arange(len(first)), counts)
+        low = lowest_beside(image, y, x, np.where(np.isnan(v), np.inf, v))
+        v = np.where(np.isnan(v), -np.inf, v)  # reaches no node
+        s = (m == 1) & (lowest_beside(image, y, x, m) == 0)
+        h, w = (np.maximum.reduceat(z, first) + 1 for z in (y, x))
+        out = np.full((2, len(first), len(t)), np.nan)
+        for frame in np.unique(h << 32 | w):
+            high, wide = int(frame >> 32), int(frame & ((1 << 32) - 1))
+            same = np.flatnonzero((h == high) & (w == wide))
+            step = max(1, CELLS // (len(t) * high * wide))
+            for at in range(0, len(same), step):
+                part = same[at : at + step]
+                rows = np.concatenate([np.arange(first[i], first[i] + counts[i]) for i in part])
+                out[:, part] = extremes(high, wide, t, np.repeat(np.arange(len(part)), counts[part]), *(z[rows] for z in (y, x, v, low, s)))
+        places = pa.array(np.arange(len(first) + 1, dtype=np.int32) * len(t))
+        arrays = [pa.ListArray.from_arrays(places, pa.array(z.ravel(), mask=np.isnan(z.ravel()))) for z in out]
+        return pa.table([*(piece.column(k).take(pa.array(first)) for k in key), *arrays], names=schema.names)
+
+    found = per_image(small, key, shares(px), work, schema)
+    if large is None:
+        return found
+    d = pooled_distances(large, key, "_v", "_m", nodes).groupBy(*key, "k").agg(F.sqrt(F.max("d2").cast("double")).alias("m"), F.percentile(F.sqrt(F.col("d2").cast("double")), F.lit(0.95), F.col("n")).alias("q"))
+    d = d.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("m", "q")))).alias("d"))
+    at = F.sequence(F.lit(0), F.lit(len(t) - 1))
+    return found.unionByName(d.select(*key, F.transform(at, lambda k: F.try_element_at("d", k)["m"]).alias("far"), F.transform(at, lambda k: F.try_element_at("d", k)["q"]).alias("far95")))
 
 
 def image_sizes(px: DataFrame, key: list[str], left, right) -> DataFrame:
-    """diagonal, left_size and right_size (sums of two 0/1 columns) for each image; rows of one place count each."""
+    """diagonal, left_size and right_size of two columns for each image: numbers of pixels; rows of one place count each."""
     h, w = F.max("y") + 1, F.max("x") + 1
-    s = px.groupBy(*key).agg(F.sqrt((h * h + w * w).cast("double")).alias("diagonal"), F.sum(left).alias("left_size"), F.sum(right).alias("right_size"))
-    return s
+    return px.groupBy(*key).agg(F.sqrt((h * h + w * w).cast("double")).alias("diagonal"), left.alias("left_size"), right.alias("right_size"))
 
 
-def mask_distances(px: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
-    """``hausdorff`` of two 0/1 columns of a pixel table, with pixel-unit values hd and hd95."""
-    d = hausdorff(pooled_distances(px, key, left, right, [0.5]).drop("k"), key, image_sizes(px, key, F.col(left), F.col(right)))
-    return d.select(*key, "nhd", "nhd95", (F.col("nhd") * F.col("diagonal")).alias("hd"), (F.col("nhd95") * F.col("diagonal")).alias("hd95"))
+def over_diagonal(distance: Column, left: Column, right: Column) -> Column:
+    """A distance over the diagonal, at most 1; both masks empty give 0, one empty gives 1."""
+    return F.when((left == 0) & (right == 0), F.lit(0.0)).when((left == 0) | (right == 0), F.lit(1.0)).otherwise(F.least(F.lit(1.0), distance / F.col("diagonal")))
+
 
+def mask_distances(px: DataFrame, key: list[str], left: str, right: str, whole: int = WHOLE) -> DataFrame:
+    """nhd, nhd95 of two 0/1 columns of a pixel table, and hd and hd95 in pixels.
 
-def level_distances(px: DataFrame, key: list[str], nodes: list[float], gamma: float = 0.5) -> DataFrame:
-    """(key, t, nhd, nhd95) of each node's level set against the action."""
-    nodes = sorted(float(t) for t in nodes)
-    at = F.array(*map(F.lit, nodes))
-    masked = px.withColumn("a", (F.col("p") >= gamma).cast("int"))
-    pooled = pooled_distances(masked, key, "p", "a", nodes).withColumn("t", F.get(at, F.col("k"))).drop("k")
-    sizes = image_sizes(px, key, F.lit(0), (F.col("p") >= gamma).cast("int")).drop("left_size")
-    counts = px.groupBy(*key).agg(F.max("p").alias("top"))
-    images = sizes.join(counts, key).withColumn("t", F.explode(at)).withColumn("left_size", (F.col("top") >= F.col("t")).cast("int"))
-    return hausdorff(pooled, [*key, "t"], images)
+    Largest and 95th percentile of the distances of both surfaces to each other, over the diagonal, at most 1.
+    """
+    px = written(px.select(*key, "y", "x", left, right), "masks")
+    d = image_sizes(px, key, F.sum(left), F.sum(right)).join(farthest(px, key, left, right, [0.5], whole), key, "left")
+    d = d.select(*key, "diagonal", *(over_diagonal(F.get(c, F.lit(0)), F.col("left_size"), F.col("right_size")).alias(n) for c, n in (("far", "nhd"), ("far95", "nhd95"))))
+    return d.select(*key, "nhd", "nhd95", (F.col("nhd") * F.col("diagonal")).alias("hd"), (F.col("nhd95") * F.col("diagonal")).alias("hd95"))
 
 
-def distance_ladder(px: DataFrame, key: list[str], ms: list[int], gamma: float = 0.5) -> DataFrame:
-    """confidence_nhd_m{m} and confidence_nhd95_m{m}: minus the mean distance over nodes, all rules at once."""
+def distance_ladder(px: DataFrame, key: list[str], ms: list[int], gamma: float = 0.5, whole: int = WHOLE) -> DataFrame:
+    """confidence_nhd_m{m} and confidence_nhd95_m{m}: minus the mean distance of each node's level set from the action, all rules at once."""
     midpoints = {m: [(k + 0.5) / m for k in range(m)] for m in ms}
     union = sorted({t for ts in midpoints.values() for t in ts})
-    d = level_distances(px, key, union, gamma)
-    out = []
-    for m, ts in midpoints.items():
-        out += [(-F.avg(F.when(F.col("t").isin(ts), F.col(c)))).alias(f"confidence_{c}_m{m}") for c in ("nhd", "nhd95")]
-    return d.groupBy(*key).agg(*out)
+    px = written(px.select(*key, "y", "x", "p", (F.col("p") >= gamma).cast("int").alias("_a")), "levels")
+    d = image_sizes(px, key, F.max("p"), F.sum("_a")).join(farthest(px, key, "p", "_a", union, whole), key, "left")
+    size = lambda t: (F.col("left_size") >= t).cast("int")
+    none = F.array_repeat(F.lit(None).cast("double"), len(union))  # of images without a surface
+    each = {c: F.zip_with(F.coalesce(f, none), F.array(*map(F.lit, union)), lambda v, t: over_diagonal(v, size(t), F.col("right_size"))) for c, f in (("nhd", "far"), ("nhd95", "far95"))}
+    d = d.select(*key, *(v.alias(c) for c, v in each.items()))
+    mean = lambda c, ts: F.aggregate(F.array(*[F.get(c, F.lit(union.index(t))) for t in ts]), F.lit(0.0), lambda s, v: s + v) / len(ts)
+    return d.select(*key, *((-mean(c, ts)).alias(f"confidence_{c}_m{m}") for m, ts in midpoints.items() for c in each))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 KEY = ["dataset", "condition", "sample_id"]
 COND = ["dataset", "condition"]
+#: Lines that a task orders by supplier, about.
+LINES = 1 << 18
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def large_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy discs of 24 columns, one for each supplier, with a pixel for each of its order lines."""
     li = read(spark, sf_dir, "lineitem")
+    parts = -(-li.count() // LINES)  # the rows of a task do not grow with the table
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        li = li.repartition(parts, "l_suppkey")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
     r = li.withColumn("r", F.row_number().over(W.partitionBy("l_suppkey").orderBy(*order)) - 1)
     k = r.select(F.col("l_suppkey").alias("s"), F.expr("CAST(r div 24 AS INT)").alias("y"), F.expr("CAST(r % 24 AS INT)").alias("x"), F.round(100 * F.col("l_discount")).cast("int").alias("d"), F.round(100 * F.col("l_tax")).cast("int").alias("t"))
