@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.scores import dice_loss, hash_unit
 from ..functions.shared import shipped, written
+from .images import WHOLE, by_size, changes, per_image, shares
 
 #: Rows of a band: a task joins the runs of one band of one image.
 BAND_ROWS = 128
@@ -76,11 +78,39 @@ def contracted(edges: DataFrame, key: list[str]) -> DataFrame:
     return now.select(*at, F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def components(px: DataFrame, key: list[str], value: str, band_rows: int = BAND_ROWS) -> DataFrame:
+def components(px: DataFrame, key: list[str], value: str, band_rows: int = BAND_ROWS, whole: int = WHOLE) -> DataFrame:
     """``px`` with label: 4-connected components of equal ``value``, contiguous from 0 in reading order of their first pixel.
 
-    Rows are collapsed to runs; the runs of each band of rows are joined in one task; runs that touch across the border
-    of two bands are edges between the components of the bands, and these are contracted.
+    Rows are collapsed to runs, and runs that touch are joined: for images that a task can hold within the image, for
+    larger ones within each band of rows and then over the borders of bands.
+    """
+    px = written(px, "pixels")
+    small, large = by_size(px, key, whole)
+    schema = T.StructType([*px.schema.fields, T.StructField("label", T.IntegerType())])
+
+    def label(piece: pa.Table, first: np.ndarray) -> pa.Table:
+        y, x = (piece.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+        image = np.repeat(np.arange(len(first)), np.diff([*first, len(y)]))
+        start = changes(piece.column("y")) | changes(piece.column(value))
+        start[first] = True
+        at = np.flatnonzero(start)
+        end = np.append(at[1:], len(y)) - 1
+        # images lie far apart in y, so no run touches one of another image
+        root = np.array(band_roots((y + (image << 33))[at].tolist(), x[at].tolist(), x[end].tolist(), piece.column(value).take(pa.array(at)).to_pylist()))
+        number = np.cumsum(root == np.arange(len(at))) - 1  # of a component, at its first run
+        run = np.cumsum(start) - 1
+        labels = number[root][run] - number[root][run[first]][image]
+        return piece.append_column("label", pa.array(labels, pa.int32()))
+
+    found = per_image(small, key, shares(px), label, schema)
+    return found if large is None else found.unionByName(banded(large, key, value, band_rows).select(schema.names))
+
+
+def banded(px: DataFrame, key: list[str], value: str, band_rows: int) -> DataFrame:
+    """``components`` of images of any size.
+
+    The runs of each band of rows are joined in one task; runs that touch across the border of two bands are edges
+    between the components of the bands, and these are contracted.
     """
     w = W.partitionBy(*key, "y").orderBy("x")
     run = F.sum(F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)).over(w)
@@ -105,17 +135,18 @@ def components(px: DataFrame, key: list[str], value: str, band_rows: int = BAND_
     return numbered.join(at, [*key, "y", "_run"]).drop("_run")
 
 
-def grid(px: DataFrame, key: list[str], blocks: DataFrame) -> DataFrame:
+def grid(px: DataFrame, key: list[str], blocks: DataFrame, parts: int | None = None) -> DataFrame:
     """``px`` with label: a balanced grid of exactly ``blocks.target`` cells for each image, by arithmetic on columns alone.
 
-    Rows of cells are near the square shape; the first rows take one cell more; edges are evenly spaced whole numbers.
+    ``parts``: tasks that the pixels are dealt to. Rows of cells are near the square shape; the first rows take one cell
+    more; edges are evenly spaced whole numbers.
     """
     size = px.groupBy(*key).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")).join(blocks.select(*key, F.col("target").cast("int").alias("target")), key)
     wish = F.greatest(F.lit(1), F.bround(F.sqrt(F.col("target") * F.col("h") / F.col("w")), 0).cast("int"))
     first = F.least(F.col("h"), wish, F.col("target"))
     fit = F.filter(F.sequence(first, F.least(F.col("h"), F.col("target"))), lambda r: F.ceil(F.col("target") / r) <= F.col("w"))
     size = size.withColumn("rows", F.get(fit, F.lit(0)))
-    j = px.join(size, key)
+    j = px.join(size, key) if parts is None else px.repartition(parts, *key).join(size.repartition(parts, *key), key)
     # edges floor(i * h / rows): the last i whose edge is at most y
     row = F.floor((F.col("rows") * (F.col("y") + 1) - 1) / F.col("h")).cast("int")
     base, more = F.floor(F.col("target") / F.col("rows")).cast("int"), F.col("target") % F.col("rows")
@@ -135,7 +166,8 @@ def partition(px: DataFrame, key: list[str], coupling: str, gamma: float = 0.5,
     found = components(px.withColumn("_m", (F.col("p") >= cut).cast("int")), key, "_m").drop("_m")
     if coupling.endswith("components"):
         return found
-    return grid(px, key, found.groupBy(*key).agg((F.max("label") + 1).alias("target")))
+    found = written(found, "found")
+    return grid(found.drop("label"), key, found.groupBy(*key).agg((F.max("label") + 1).alias("target")), shares(found))
 
 
 def partition_diagnostics(labelled: DataFrame, key: list[str]) -> DataFrame:
@@ -144,13 +176,53 @@ def partition_diagnostics(labelled: DataFrame, key: list[str]) -> DataFrame:
     return b.groupBy(*key).agg(F.count("*").alias("num_blocks"), (F.max("c") / F.sum("c")).alias("largest_block_fraction"))
 
 
-def partition_dice(labelled: DataFrame, key: list[str], coupling: str, draws: int, repeats: int, seed: int, gamma: float = 0.5) -> DataFrame:
+def thresholds(seed: int, sample: str | None, coupling: str, repeats: int, draws: int, label: int) -> np.ndarray:
+    """``hash_unit`` of a block's draws, as (repeat, draw)."""
+    head, tail = "|".join(x for x in (str(seed), sample, coupling) if x is not None), f"|{label}"
+    raw = b"".join(hashlib.sha256(f"{head}|{r}|{d}{tail}".encode()).digest()[:8] for r in range(repeats) for d in range(draws))
+    return (((np.frombuffer(raw, ">u8") >> 12) + 0.5) / 2.0**52).reshape(repeats, draws)
+
+
+def partition_dice(labelled: DataFrame, key: list[str], coupling: str, draws: int, repeats: int, seed: int, gamma: float = 0.5, whole: int = WHOLE) -> DataFrame:
     """(key, repeat, confidence): minus the mean Dice loss over antithetic draws of one threshold for each block.
 
     Thresholds are hashes of seed, sample, coupling, repeat, draw and block; the second half of the draws mirrors the first.
-    A block's thresholds and its distinct probabilities are put in one descending order, where a running sum has at each
-    threshold what reaches it: rows grow with both numbers and not with their product.
+    A block's probabilities are put in descending order, where running sums have at each threshold what reaches it. Of
+    images that a task can hold no threshold leaves the task; the others' are rows.
     """
+    px = written(labelled.select(*key, "y", "x", "p", "label", F.col("sample_id").cast("string").alias("_name")), "labelled")
+    small, large = by_size(px, key, whole)
+    schema = T.StructType([*(px.schema[k] for k in key), T.StructField("repeat", T.IntegerType()), T.StructField("confidence", T.DoubleType())])
+
+    def work(piece: pa.Table, first: np.ndarray) -> pa.Table:
+        p = piece.column("p").cast(pa.float64()).fill_null(-np.inf).to_numpy()
+        p, label = np.where(np.isnan(p), np.inf, p), piece.column("label").to_numpy()
+        image = np.repeat(np.arange(len(first)), np.diff([*first, len(p)]))
+        order = np.lexsort((-p, label, image))
+        down, label, of = -p[order], label[order], image[order]
+        inside = np.append(0, np.cumsum(-down >= gamma))
+        starts = np.flatnonzero(np.append(True, (label[1:] != label[:-1]) | (of[1:] != of[:-1])))
+        z, w = np.zeros((2, len(first), 2, repeats, draws // 2), np.int64)
+        names = piece.column("_name").take(pa.array(first)).to_pylist()
+        for at, to in zip(starts.tolist(), [*starts[1:].tolist(), len(p)], strict=True):
+            u = thresholds(seed, names[of[at]], coupling, repeats, draws // 2, int(label[at]))
+            reach = at + np.searchsorted(down[at:to], -np.stack([u, 1 - u]), "right")
+            over = inside[reach] - inside[at]
+            z[of[at]] += over
+            w[of[at]] += reach - at - over
+        action = np.diff(inside[[*first, len(p)]])[:, None, None, None]
+        sizes = z + w + action
+        loss = np.where(sizes == 0, 0.0, 1 - 2 * z / np.maximum(sizes, 1))
+        keys = pa.array(np.repeat(first, repeats))
+        return pa.table([*(piece.column(k).take(keys) for k in key), pa.array(np.tile(np.arange(repeats), len(first)), pa.int32()), pa.array(-loss.mean((1, 3)).ravel())], names=schema.names)
+
+    found = per_image(small, key, shares(px), work, schema)
+    return found if large is None else found.unionByName(spread_dice(large, key, coupling, draws, repeats, seed, gamma))
+
+
+def spread_dice(labelled: DataFrame, key: list[str], coupling: str, draws: int, repeats: int, seed: int, gamma: float) -> DataFrame:
+    """``partition_dice`` of images of any size: rows grow with the numbers of thresholds and of distinct probabilities,
+    not with their product."""
     a = F.col("p") >= gamma
     cells = labelled.groupBy(*key, "label", F.col("p").alias("v")).agg(F.sum(F.when(a, 1).otherwise(0)).alias("i"), F.sum(F.when(a, 0).otherwise(1)).alias("o"))
     sizes = cells.groupBy(*key).agg(F.sum("i").alias("action"))
