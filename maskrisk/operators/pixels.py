@@ -103,12 +103,38 @@ def mean_of(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda s, x: s + x) / F.size(array)
 
 
+def place(p: Column, at: list[float]) -> Column:
+    """How many of the ascending nodes p reaches, by halving."""
+
+    def cut(low: int, high: int) -> Column:
+        middle = (low + high) // 2
+        return F.lit(low) if low == high else F.when(p >= at[middle], cut(middle + 1, high)).otherwise(cut(low, middle))
+
+    return cut(0, len(at))
+
+
 def dice_ladder(px: DataFrame, key: list[str], ms: list[int], gamma: float = 0.5) -> DataFrame:
-    """confidence_dice_m{m} for several m at once: losses at the union of their nodes, averaged for each."""
+    """confidence_dice_m{m} for several m at once: losses at the union of their nodes, averaged for each.
+
+    Pixels are counted by how many nodes they reach. Nodes between two such numbers have one level set, so a running sum
+    gives its loss, and each rule takes it as often as it has nodes there.
+    """
     union = sorted({t for m in ms for t in nodes(m)})
-    losses = node_losses(count_ladders(px, key, union, gamma))
-    out = [(-mean_of(F.array(*[F.get("loss", F.lit(union.index(t))) for t in nodes(m)]))).alias(f"confidence_dice_m{m}") for m in ms]
-    return losses.select(*key, *out)
+    a = F.col("p") >= gamma
+    g = px.groupBy(*key, place(F.col("p"), union).alias("_k")).agg(count_if(a).alias("i"), count_if(~a).alias("o"))
+    by, down = W.partitionBy(*key), W.partitionBy(*key).orderBy(F.desc("_k"))
+    upto = down.rowsBetween(W.unboundedPreceding, 0)
+    g = g.withColumns({"z": F.sum("i").over(upto), "w": F.sum("o").over(upto), "under": F.coalesce(F.lead("_k").over(down), F.lit(0)), "action": F.sum("i").over(by), "top": F.max("_k").over(by)})
+    loss, empty = dice_loss(F.col("z"), F.col("z") + F.col("w"), F.col("action")), F.when(F.col("action") > 0, 1.0).otherwise(0.0)
+    out = []
+    for m in ms:
+        own, reached = set(nodes(m)), [0]
+        for t in union:
+            reached.append(reached[-1] + (t in own))
+        upon = F.array(*map(F.lit, reached))
+        below = lambda c, upon=upon: F.get(upon, F.col(c))
+        out.append((-(F.sum(loss * (below("_k") - below("under"))) + F.max(empty * (m - below("top")))) / m).alias(f"confidence_dice_m{m}"))
+    return g.groupBy(*key).agg(*out)
 
 
 def level_set_risk(px: DataFrame, key: list[str], weights: dict[float, float], loss, gamma: float = 0.5) -> DataFrame:

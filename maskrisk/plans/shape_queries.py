@@ -96,7 +96,7 @@ add("q2_mask_loss", lambda s, d: P.mask_risk(large_pixels(s, d), KEY, {0.25: 0.2
 
 def q8(spark, sf_dir):
     """Scores of the fine and of the working grid, and their difference, for each image."""
-    px = large_pixels(spark, sf_dir)
+    px = written(large_pixels(spark, sf_dir), "pixels")
     dice = P.dice_ladder(px, KEY, [32, 128])
     nhd = geometry.distance_ladder(px, KEY, [32, 128])
     return dice.join(nhd, KEY).select(*KEY, "confidence_dice_m32", "confidence_dice_m128", (F.col("confidence_dice_m32") - F.col("confidence_dice_m128")).alias("dice_error"), (F.col("confidence_nhd_m32") - F.col("confidence_nhd_m128")).alias("nhd_error"), (F.col("confidence_nhd95_m32") - F.col("confidence_nhd95_m128")).alias("nhd95_error"))
@@ -114,7 +114,7 @@ LOSSES = ("dice", "nhd", "nhd95")
 
 def fine(spark, sf_dir):
     """(key, loss, coarse, fine, risk): the scores of both grids and the realised loss, for each of the three losses."""
-    px = masks(spark, sf_dir)
+    px = written(masks(spark, sf_dir), "pixels")
     own = geometry.mask_distances(px, KEY, "truth", "a").join(P.image_scores(px, KEY).select(*KEY, F.col("dice_loss").alias("dice")), KEY)
     both = P.dice_ladder(px, KEY, [32, 128]).join(geometry.distance_ladder(px, KEY, [32, 128]), KEY).join(own, KEY)
     place = F.explode(F.array(*[F.struct(F.lit(c).alias("loss"), F.round(f"confidence_{c}_m32", 9).alias("coarse"), F.round(f"confidence_{c}_m128", 9).alias("fine"), F.round(c, 9).alias("risk")) for c in LOSSES]))
@@ -137,10 +137,11 @@ WIDE = ("sdc", "dice", "nhd", "nhd95", *(f"confidence_{c}_m{m}" for m in (2, 8,
 
 def t1(spark, sf_dir):
     """The wide row of each image: common scores and losses, and a table of three scores for each rule, of one cohort."""
-    px = masks(spark, sf_dir)
+    px = written(masks(spark, sf_dir), "pixels")
     common = P.image_scores(px, KEY).select(*KEY, "n", "sdc", F.col("dice_loss").alias("dice")).join(geometry.mask_distances(px, KEY, "truth", "a").select(*KEY, "nhd", "nhd95"), KEY)
     count = px.groupBy(*KEY).agg(F.count("*").alias("n"))
-    rules = [count.join(P.dice_ladder(px, KEY, [m]), KEY).join(geometry.distance_ladder(px, KEY, [m]), KEY) for m in (2, 8, 32)]
+    ladders = written(count.join(P.dice_ladder(px, KEY, [2, 8, 32]), KEY).join(geometry.distance_ladder(px, KEY, [2, 8, 32]), KEY), "ladders")
+    rules = [ladders.select(*KEY, "n", *(f"confidence_{c}_m{m}" for c in LOSSES)) for m in (2, 8, 32)]
     for i, rule in enumerate(rules):
         common = assembly.assemble(common, [rule if i == 0 else rule.drop("n")], KEY, ["n"] if i == 0 else [])
     return common.select(*KEY, "n", *WIDE)
@@ -183,8 +184,8 @@ add("c8_proposal_grid", labelled("proposal_grid", 0.25), f"RECURSIVE {DISC}, {co
 DRAWS, REPEATS, SEED = 256, 4, 20260721
 
 
-def estimates(s, d):
-    return CC.partition_dice(CC.partition(large_pixels(s, d), KEY, "action_components"), KEY, "action_components", DRAWS, REPEATS, SEED)
+def estimates(px):
+    return CC.partition_dice(CC.partition(px, KEY, "action_components"), KEY, "action_components", DRAWS, REPEATS, SEED)
 
 
 EST = f"""cl AS (SELECT {K}, label, p, sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) AS i, sum(CASE WHEN p >= 0.5 THEN 0 ELSE 1 END) AS o FROM cmp GROUP BY {K}, label, p),
@@ -194,14 +195,15 @@ EST = f"""cl AS (SELECT {K}, label, p, sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END)
  ru AS (SELECT {K}, rep, draw, half, drawn, sum(i) OVER w AS z, sum(o) OVER w AS w FROM ev WINDOW w AS (PARTITION BY {K}, label ORDER BY v DESC, drawn ROWS UNBOUNDED PRECEDING)),
  ds AS (SELECT {K}, rep, draw, half, sum(z) AS z, sum(w) AS w FROM ru WHERE drawn = 1 GROUP BY {K}, rep, draw, half),
  es AS (SELECT {K}, rep, -avg(CASE WHEN z + w + action = 0 THEN 0 ELSE 1 - 2.0::DOUBLE * z / (z + w + action) END) AS confidence FROM ds JOIN ac USING ({K}) GROUP BY {K}, rep)"""
-add("c9_partition_dice", estimates, f"RECURSIVE {DISC}, {comp(0.5)}, {EST} SELECT {K}, CAST(rep AS INT) AS \"repeat\", {r('confidence', 'confidence')} FROM es", ("confidence",))
+add("c9_partition_dice", lambda s, d: estimates(large_pixels(s, d)), f"RECURSIVE {DISC}, {comp(0.5)}, {EST} SELECT {K}, CAST(rep AS INT) AS \"repeat\", {r('confidence', 'confidence')} FROM es", ("confidence",))
 add("c10_partition_diagnostics", lambda s, d: CC.partition_diagnostics(CC.partition(large_pixels(s, d), KEY, "action_components"), KEY), f"RECURSIVE {DISC}, {comp(0.5)}, b AS (SELECT {K}, label, count(*) AS c FROM cmp GROUP BY {K}, label) SELECT {K}, count(*) AS num_blocks, {r('max(c) / sum(c)', 'largest_block_fraction')} FROM b GROUP BY {K}", ("largest_block_fraction",))
 
 
 def c11(spark, sf_dir):
     """Mean and deviation over repeats, by condition: mean deviation, range of the repeats' areas, least rank agreement with the mean."""
-    est = written(estimates(spark, sf_dir), "estimates")
-    risk = P.image_scores(large_pixels(spark, sf_dir), KEY).select(*KEY, "dice_loss")
+    px = written(large_pixels(spark, sf_dir), "pixels")
+    est = written(estimates(px), "estimates")
+    risk = P.image_scores(px, KEY).select(*KEY, "dice_loss")
     one = CC.repeat_summary(est, KEY)
     areas = selective.aurc(est.withColumn("confidence", F.round("confidence", 9)).join(risk, KEY), [*COND, "repeat"], "confidence", "dice_loss")
     each = est.withColumn("c", F.round("confidence", 9)).join(one.select(*KEY, F.round("mean", 9).alias("m")), KEY)
