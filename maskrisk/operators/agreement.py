@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shared import written
 from .ranks import places, quantiles
-from .selective import accepted, accepted_jaccard, running
+from .selective import accepted_jaccard, accepted_shares, running
 
 
 def side_ranks(pairs: DataFrame, cond: list[str], col: str, name: str) -> DataFrame:
@@ -17,13 +17,14 @@ def side_ranks(pairs: DataFrame, cond: list[str], col: str, name: str) -> DataFr
     return v.select(*cond, col, (F.col("_above") + (F.col("_g") + 1) / 2.0).alias(name))
 
 
-def spearman(rows: DataFrame, cond: list[str], x: str, y: str) -> DataFrame:
+def spearman(rows: DataFrame, cond: list[str], x: str, y: str, count: Column | None = None) -> DataFrame:
     """rho of average ranks for each condition; null where a side is constant. Rows with a null side are left out.
 
-    Rows are collapsed to distinct pairs with their counts; ranks of both sides fall, which leaves rho as it is.
+    Rows are collapsed to distinct pairs with their counts; ranks of both sides fall, which leaves rho as it is. A row
+    stands for ``count`` rows.
     """
-    pairs = rows.select(*cond, F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    pairs = written(pairs.groupBy(*cond, "x", "y").agg(F.count("*").alias("w")), "pairs")
+    pairs = rows.select(*cond, F.col(x).alias("x"), F.col(y).alias("y"), (F.lit(1) if count is None else count).alias("c")).where("x is not null and y is not null")
+    pairs = written(pairs.groupBy(*cond, "x", "y").agg(F.sum("c").alias("w")), "pairs")
     ranked = pairs.join(side_ranks(pairs, cond, "x", "rx"), [*cond, "x"]).join(side_ranks(pairs, cond, "y", "ry"), [*cond, "y"])
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
@@ -40,17 +41,17 @@ def dense(rows: DataFrame, cond: list[str], col: str, name: str) -> DataFrame:
     return rows.join(v.select(*cond, col, F.col(name).cast("long").alias(name)), [*cond, col])
 
 
-def discordant_counts(rows: DataFrame, cond: list[str], x: str, y: str, radix: int = 4) -> DataFrame:
+def discordant_counts(rows: DataFrame, cond: list[str], x: str, y: str, radix: int = 4, count: Column | None = None) -> DataFrame:
     """For each condition the numbers of concordant and discordant pairs, and of pairs tied in x or in y.
 
     Rows are collapsed to distinct (x, y), and y becomes a dense rank. Any two different ranks agree in their leading
     digits and part at one digit, so each pair is counted at one level: there, among the rows of equal leading digits, it
     is concordant if the larger digit goes with the larger x. With counts for each digit and x, that takes running sums
     over x. Rows are sent once for each level, as many as the rank has digits; no pairs are formed. Rows with a null or
-    NaN in x or y are left out; an empty table gives no rows.
+    NaN in x or y are left out; an empty table gives no rows. A row stands for ``count`` rows.
     """
     good = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double"))
-    d = rows.select(*cond, F.col(x).alias("x"), F.col(y).alias("y")).where(good).groupBy(*cond, "x", "y").agg(F.count("*").alias("c"))
+    d = rows.select(*cond, F.col(x).alias("x"), F.col(y).alias("y"), (F.lit(1) if count is None else count).alias("c")).where(good).groupBy(*cond, "x", "y").agg(F.sum("c").alias("c"))
     d = dense(d, cond, "y", "ry").withColumnRenamed("x", "rx")
     depth = F.ceil(F.log(float(radix), F.greatest(F.max("ry"), F.lit(1)) + 1.0) + 1e-9).cast("int")
     d = written(d, "ranks")
@@ -72,27 +73,34 @@ def discordant_counts(rows: DataFrame, cond: list[str], x: str, y: str, radix: i
     return ties(["rx"], "tie_x").join(ties(["ry"], "tie_y"), cond).join(pairs, cond, "left").na.fill(0, ["con", "dis"])
 
 
-def kendall(rows: DataFrame, cond: list[str], x: str, y: str, radix: int = 4) -> DataFrame:
-    """tau-b for each condition; null where a side is constant."""
-    s = discordant_counts(rows, cond, x, y, radix)
+def kendall(rows: DataFrame, cond: list[str], x: str, y: str, radix: int = 4, count: Column | None = None) -> DataFrame:
+    """tau-b for each condition; null where a side is constant. A row stands for ``count`` rows."""
+    s = discordant_counts(rows, cond, x, y, radix, count)
     all_ = F.expr("n * (n - 1) div 2")
     room = F.sqrt((all_ - F.col("tie_x")).cast("double")) * F.sqrt((all_ - F.col("tie_y")).cast("double"))
     return s.select(*cond, F.when(room > 0, (F.col("con") - F.col("dis")) / room).alias("tau"))
 
 
 def score_agreement(rows: DataFrame, cond: list[str], key: str, methods: list[str], coverages: list[float]) -> DataFrame:
-    """Spearman, tau-b and the overlap of accepted sets for each pair of methods in each condition."""
-    long = rows.unpivot([*cond, key], methods, "method", "score")
-    a, b = long.select(*cond, key, F.col("method").alias("left"), F.col("score").alias("x")), long.select(*cond, key, F.col("method").alias("right"), F.col("score").alias("y"))
-    both = a.join(b, [*cond, key]).where("left < right")
+    """Spearman, tau-b and the overlap of accepted sets for each pair of methods in each condition; ``key`` names a row.
+
+    A row's share of an accepted set depends on its score alone, so all three come from distinct pairs of scores and
+    their counts.
+    """
+    names = sorted(methods)
+    rows = written(rows.select(*cond, key, *names), "scores")
+    sides = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(names) for b in names[i + 1 :]]
     group = [*cond, "left", "right"]
-    w = accepted(long, [*cond, "method"], "score", coverages, key)
-    pair = w.select(*cond, key, "coverage", F.col("method").alias("left"), F.col("w").alias("a")).join(w.select(*cond, key, "coverage", F.col("method").alias("right"), F.col("w").alias("b")), [*cond, key, "coverage"]).where("left < right")
-    top = F.sum(F.greatest("a", "b"))
-    jac = pair.groupBy(*group, "coverage").agg(F.when(top <= 0, F.lit(1.0)).otherwise(F.sum(F.least("a", "b")) / top).alias("j"))
+    named = rows.dropna(subset=[*cond, key]).select(*cond, F.explode(F.array(*sides)).alias("s")).select(*cond, "s.*")
+    both = written(named.groupBy(*group, "x", "y").agg(F.count("*").alias("c")), "both")
+    w = written(accepted_shares(rows.select(*cond, *names).unpivot(cond, names, "method", "score"), [*cond, "method"], "score", coverages), "shares")
+    side = lambda name, score, share: w.select(*cond, "coverage", F.col("method").alias(name), F.col("score").alias(score), F.col("w").alias(share))
+    pair = both.join(side("left", "x", "a"), [*cond, "left", "x"]).join(side("right", "y", "b"), [*cond, "coverage", "right", "y"])
+    top = F.sum(F.col("c") * F.greatest("a", "b"))
+    jac = pair.groupBy(*group, "coverage").agg(F.when(top <= 0, F.lit(1.0)).otherwise(F.sum(F.col("c") * F.least("a", "b")) / top).alias("j"))
     jac = jac.groupBy(*group).pivot("coverage", [float(c) for c in coverages]).agg(F.first("j"))
     jac = jac.select(*group, *[F.col(f"`{float(c)}`").alias(f"jaccard_{int(100 * c)}") for c in coverages])
-    return spearman(both, group, "x", "y").select(*group, "rho").join(kendall(both, group, "x", "y"), group).join(jac, group)
+    return spearman(both, group, "x", "y", F.col("c")).select(*group, "rho").join(kendall(both, group, "x", "y", count=F.col("c")), group).join(jac, group)
 
 
 def error_to_reference(rows: DataFrame, cond: list[str], score: str, reference: str) -> DataFrame:

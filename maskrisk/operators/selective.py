@@ -112,13 +112,18 @@ def curve(rows: DataFrame, group: list[str], score: str, risk: str) -> DataFrame
     return each.select(*group, j.cast("long").alias("j"), (j / F.col("n")).alias("coverage"), ((F.col("sum") + F.col("i") * F.col("s") / F.col("g")) / j).alias("risk"))
 
 
-def accepted(rows: DataFrame, group: list[str], score: str, coverages: list[float], row: str) -> DataFrame:
-    """w for each row and coverage: how much of it is accepted, so that the accepted mass is coverage times n."""
+def accepted_shares(rows: DataFrame, group: list[str], score: str, coverages: list[float]) -> DataFrame:
+    """(group, score, coverage, w): how much of a row of each distinct score is accepted at each coverage."""
     t = rows.groupBy(*group, F.col(score).alias("score")).agg(F.count("*").alias("g"))
     t = running(t, group, "score", {"g": "before"}).join(t.groupBy(*group).agg(F.sum("g").alias("n")), group)
     c = t.withColumn("coverage", F.explode(F.array(*[F.lit(float(x)) for x in coverages])))
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("coverage") * F.col("n") - F.col("before")) / F.col("g")))
-    c = c.select(*group, "score", "coverage", share.alias("w"))
+    return c.select(*group, "score", "coverage", share.alias("w"))
+
+
+def accepted(rows: DataFrame, group: list[str], score: str, coverages: list[float], row: str) -> DataFrame:
+    """w for each row and coverage: how much of it is accepted, so that the accepted mass is coverage times n."""
+    c = accepted_shares(rows, group, score, coverages)
     return rows.select(*group, row, F.col(score).alias("score")).join(c, [*group, "score"]).select(*group, row, "coverage", "w")
 
 

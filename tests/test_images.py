@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from maskrisk.operators import components, geometry, pixels
+from maskrisk.operators import agreement, components, geometry, pixels
 from maskrisk.sources import views
 
 
@@ -58,3 +58,12 @@ def test_tasks_grow_with_the_lines(spark, sf, monkeypatch):
     parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     monkeypatch.setattr(views, "LINES", views.read(spark, sf, "lineitem").count() // parts, raising=False)
     assert views.large_pixels(spark, sf).rdd.getNumPartitions() >= parts
+
+
+def test_agreement_sends_distinct_scores(spark, monkeypatch):
+    """Copies of rows reach the rank counts as one row with its count."""
+    rows = spark.createDataFrame([("d", i, float(i % 4), float(i % 3)) for i in range(240)], "dataset string, id long, a double, b double")
+    seen, plain = [], agreement.kendall
+    monkeypatch.setattr(agreement, "kendall", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k))
+    got = agreement.score_agreement(rows, ["dataset"], "id", ["a", "b"], [0.5]).first()
+    assert seen == [12] and abs(got["rho"]) < 1e-12 and abs(got["tau"]) < 1e-12 and abs(got["jaccard_50"] - 1 / 3) < 1e-12
