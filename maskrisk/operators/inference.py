@@ -139,11 +139,17 @@ def bootstrap_differences(rows: DataFrame, cond: list[str], left: str, right: st
     fit in a task as integers. Null and NaN scores come last, as one tie; null risks count as 0; an empty table gives no
     rows. Rows are written once, as several parts read them.
     """
-    whole = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-    rows = written(shipped(rows).select(*cond, cluster, whole(left).alias("left"), whole(right).alias("right"), F.coalesce(F.col(risk).cast("double"), F.lit(0.0)).alias("risk")), "drawn")
-    each = rows.groupBy(*cond, cluster, "left", "right", "risk").agg(F.count("*").cast("int").alias("copies"))
+    return differences(drawn_rows(rows, cond, left, right, risk, cluster), cond, left, right, risk, cluster, resamples, seed)
+
+
+def drawn_rows(rows: DataFrame, cond: list[str], left: str, right: str, risk: str, cluster: str) -> DataFrame:
+    """The columns of a bootstrap, written once."""
+    return written(rows.select(*dict.fromkeys([*cond, cluster, left, right, risk])), "drawn")
+
+
+def stretches(each: DataFrame, rows: DataFrame, sizes: DataFrame, cond: list[str]) -> DataFrame:
+    """``each`` with left_at and right_at, the stretch of each side that a row is in, and a row for each of them; ``parts`` of its condition."""
     cuts = []
-    sizes = rows.groupBy(*cond).agg(F.least(F.lit(STRETCHES), F.ceil(F.count("*") / STRETCH)).cast("int").alias("parts"))
     for side in ("left", "right"):
         # Distinct ends are scores of the side; a stretch that only one side has is empty on the other.
         long = rows.join(sizes.where("parts > 1"), cond).groupBy(*cond).agg(F.percentile_approx(side, [k / STRETCHES for k in range(1, STRETCHES)], 4 * STRETCHES).alias("ends"))
@@ -156,7 +162,18 @@ def bootstrap_differences(rows: DataFrame, cond: list[str], left: str, right: st
     for side in ("left", "right"):
         above = F.size(F.filter(f"{side}_ends", lambda e: e > F.col(side)))  # 0 for the stretch of the largest scores
         each = each.withColumn(f"{side}_at", F.when(F.col(side).isNull(), F.size(f"{side}_ends")).otherwise(above))
-    each = each.withColumn("stretch", F.explode(F.array_distinct(F.array("left_at", "right_at")))).drop("left_ends", "right_ends")
+    return each.withColumn("stretch", F.explode(F.array_distinct(F.array("left_at", "right_at")))).drop("left_ends", "right_ends")
+
+
+def differences(rows: DataFrame, cond: list[str], left: str, right: str, risk: str, cluster: str, resamples: int, seed: Column) -> DataFrame:
+    """``bootstrap_differences`` of a written table."""
+    whole = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    rows = shipped(rows).select(*cond, cluster, whole(left).alias("left"), whole(right).alias("right"), F.coalesce(F.col(risk).cast("double"), F.lit(0.0)).alias("risk"))
+    each = rows.groupBy(*cond, cluster, "left", "right", "risk").agg(F.count("*").cast("int").alias("copies"))
+    sizes = rows.groupBy(*cond).agg(F.least(F.lit(STRETCHES), F.ceil(F.count("*") / STRETCH)).cast("int").alias("parts"))
+    several = not sizes.where("parts > 1").isEmpty()
+    zero = F.lit(0)
+    each = stretches(each, rows, sizes, cond) if several else each.withColumns({"parts": F.lit(1), "left_at": zero, "right_at": zero, "stretch": zero})
     each = each.join(numbered_clusters(rows, cond, cluster, seed), [*cond, cluster])
     in_left, in_right = F.col("left_at") == F.col("stretch"), F.col("right_at") == F.col("stretch")
     each = each.select(*cond, "stretch", "parts", "left", "right", in_left.alias("in_left"), in_right.alias("in_right"), "risk", "copies", F.col("i").cast("int").alias("i"), F.col("m").cast("int").alias("m"), "seed")
@@ -227,11 +244,15 @@ def bootstrap_differences(rows: DataFrame, cond: list[str], left: str, right: st
         return gathered(key, last, steps())
 
     dealt = each.repartition(TASKS, *task)
-    many = each.where("stretch < parts - 1").groupBy(*task).applyInArrow(totals, first)
-    past = W.partitionBy(*cond, "side", "rep").orderBy("stretch").rowsBetween(W.unboundedPreceding, 0)
-    before = many.select(*cond, "side", (F.col("stretch") + 1).alias("stretch"), "rep", F.sum("g").over(past).alias("g"), F.sum("s").over(past).alias("s"))
-    before = before.withColumn("block", (F.floor(F.col("rep") / size)).cast("int"))
-    got = dealt.groupBy(*task).cogroup(before.groupBy(*task)).applyInArrow(areas, last)
+    if several:
+        many = each.where("stretch < parts - 1").groupBy(*task).applyInArrow(totals, first)
+        past = W.partitionBy(*cond, "side", "rep").orderBy("stretch").rowsBetween(W.unboundedPreceding, 0)
+        before = many.select(*cond, "side", (F.col("stretch") + 1).alias("stretch"), "rep", F.sum("g").over(past).alias("g"), F.sum("s").over(past).alias("s"))
+        before = before.withColumn("block", (F.floor(F.col("rep") / size)).cast("int"))
+        got = dealt.groupBy(*task).cogroup(before.groupBy(*task)).applyInArrow(areas, last)
+    else:
+        nothing = first_arrow.empty_table()
+        got = dealt.groupBy(*task).applyInArrow(lambda key, mine: areas(key, mine, nothing), last)
     share = got.groupBy(*cond, "rep", "side").agg((F.sum("step") / F.sum("g")).alias("aurc"))
     a = share.groupBy(*cond, "rep").agg(F.max(F.when(F.col("side") == 0, F.col("aurc"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("aurc"))).alias("right"))
     return a.withColumn("difference", F.col("left") - F.col("right"))
@@ -240,7 +261,8 @@ def bootstrap_differences(rows: DataFrame, cond: list[str], left: str, right: st
 def contrast(rows: DataFrame, cond: list[str], left: str, right: str, risk: str, cluster: str, resamples: int = 10_000, level: float = 0.95, seed: Column | None = None) -> DataFrame:
     """The paired difference of areas, its percentile interval and two-sided tail area for each condition."""
     seed = hash_seed(F.lit("0"), *[F.col(c) for c in cond], F.lit(left), F.lit(right), F.lit(risk)) if seed is None else seed
-    d = bootstrap_differences(rows, cond, left, right, risk, cluster, resamples, seed)
+    rows = drawn_rows(rows, cond, left, right, risk, cluster)
+    d = differences(rows, cond, left, right, risk, cluster, resamples, seed)
     tail = (1 - level) / 2
     b = d.groupBy(*cond).agg(F.percentile("difference", F.lit(tail)).alias("low"), F.percentile("difference", F.lit(1 - tail)).alias("high"), tail_area(F.col("difference")).alias("p_value"))
     own = aurc(rows, cond, left, risk).select(*cond, F.col("aurc").alias("_l")).join(aurc(rows, cond, right, risk).select(*cond, F.col("aurc").alias("_r")), cond)
@@ -295,7 +317,8 @@ def equal_count_reliability(rows: DataFrame, cond: list[str], predicted: str, ob
 def percent_margin(rows: DataFrame, cond: list[str], base: str, rival: str, risk: str, cluster: str, resamples: int, level: float = 0.95, seed: Column | None = None) -> DataFrame:
     """100 (base - rival) / base of the areas, with its percentile interval."""
     seed = F.lit(0) if seed is None else seed
-    d = bootstrap_differences(rows, cond, base, rival, risk, cluster, resamples, seed)
+    rows = drawn_rows(rows, cond, base, rival, risk, cluster)
+    d = differences(rows, cond, base, rival, risk, cluster, resamples, seed)
     tail = (1 - level) / 2
     m = 100 * F.col("difference") / F.col("left")
     ci = d.groupBy(*cond).agg(F.percentile(m, F.lit(tail)).alias("low"), F.percentile(m, F.lit(1 - tail)).alias("high"))

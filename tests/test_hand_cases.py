@@ -393,3 +393,24 @@ def test_plain_area_over_ranges(spark):
     want = {r.c: r.a for r in df.withColumn("m", F.avg("x").over(w)).groupBy("c").agg(F.avg("m").alias("a")).collect()}
     got = {r.c: r.aurc for r in selective.plain_aurc(df, ["c"], "s", "x", "id").collect()}
     assert got == pytest.approx(want)
+
+
+def test_bootstrap_reads_its_records_once(spark):
+    """Areas and replicates come from one written table, whatever the records cost; so do those of several stretches."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x)
+
+    rows = scores(spark, [(i % 3, i % 2) for i in range(12)]).withColumn("other", F.col("id") % 5).withColumn("risk", counted("risk"))
+    inference.contrast(rows, ["cond"], "score", "other", "risk", "id", resamples=3).collect()
+    inference.percent_margin(rows, ["cond"], "score", "other", "risk", "id", resamples=3).collect()
+    assert seen.value == 24
+
+
+def test_a_single_stretch_asks_for_no_quantiles(spark):
+    rows = scores(spark, [(i % 3, i % 2) for i in range(12)]).withColumn("other", F.col("id") % 5)
+    plan = inference.bootstrap_differences(rows, ["cond"], "score", "other", "risk", "id", 3, F.lit(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan and "CoGroup" not in plan
