@@ -5,9 +5,11 @@ from __future__ import annotations
 from math import exp
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import count_if, dice_loss, entropy_nats
+from ..functions.shared import written
 
 
 def mean_map(ens: DataFrame, key: list[str], members: int) -> DataFrame:
@@ -25,6 +27,25 @@ def threshold_iou_stability(px: DataFrame, key: list[str], offset: float = 1.0)
     return s.select(*key, F.when(F.col("a") == 0, F.lit(1.0)).otherwise(F.col("b") / F.col("a")).alias("stability"))
 
 
+def member_masks(ens: DataFrame, key: list[str], members: int, gamma: float = 0.5) -> DataFrame:
+    """(key, member, y, x, m, a): each member's mask and the action of ``mean_map``, over one deal of the pixels."""
+    w = W.partitionBy(*key, "y", "x")
+    e = ens.withColumns({"_mean": F.avg(F.col("p").cast("double")).over(w), "_n": F.count("*").over(w), "_low": F.min("truth").over(w), "_high": F.max("truth").over(w)})
+    wrong = (F.col("_n") != members) | (F.col("_low") != F.col("_high"))
+    mean = F.when(wrong, F.raise_error(F.lit("members of an image differ in shape or truth")).cast("double")).otherwise(F.col("_mean"))
+    return e.select(*key, "member", "y", "x", (F.col("p") >= gamma).cast("int").alias("m"), (mean.cast("float").cast("double") >= gamma).cast("int").alias("a"))
+
+
+def member_scores(ens: DataFrame, key: list[str], members: int, gamma: float = 0.5) -> DataFrame:
+    """``member_dice`` and ``member_distances`` against ``mean_map`` in one table; masks are worked out and written once."""
+    from .geometry import mask_distances
+
+    j = written(member_masks(ens, key, members, gamma), "members")
+    s = j.groupBy(*key, "member").agg(F.sum(F.col("m") * F.col("a")).alias("_z"), F.sum("m").alias("_s"), F.sum("a").alias("_a"))
+    each = s.select(*key, "member", dice_loss(F.col("_z"), F.col("_s"), F.col("_a")).alias("_d")).join(mask_distances(j, [*key, "member"], "m", "a", kept=True), [*key, "member"])
+    return each.groupBy(*key).agg((-F.avg("_d")).alias("confidence_q_dice"), (-F.avg("nhd")).alias("confidence_q_nhd"), (-F.avg("nhd95")).alias("confidence_q_nhd95"))
+
+
 def member_dice(ens: DataFrame, mean: DataFrame, key: list[str], gamma: float = 0.5) -> DataFrame:
     """confidence_q_dice: minus the mean Dice loss of the members' masks against the mean map's action."""
     j = ens.select(*key, "member", "y", "x", (F.col("p") >= gamma).alias("m")).join(mean.select(*key, "y", "x", (F.col("p") >= gamma).alias("a")), [*key, "y", "x"])

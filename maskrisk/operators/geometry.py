@@ -299,12 +299,13 @@ def over_diagonal(distance: Column, left: Column, right: Column) -> Column:
     return F.when((left == 0) & (right == 0), F.lit(0.0)).when((left == 0) | (right == 0), F.lit(1.0)).otherwise(F.least(F.lit(1.0), distance / F.col("diagonal")))
 
 
-def mask_distances(px: DataFrame, key: list[str], left: str, right: str, whole: int = WHOLE) -> DataFrame:
-    """nhd, nhd95 of two 0/1 columns of a pixel table, and hd and hd95 in pixels.
+def mask_distances(px: DataFrame, key: list[str], left: str, right: str, whole: int = WHOLE, kept: bool = False) -> DataFrame:
+    """nhd, nhd95 of two 0/1 columns of a pixel table, and hd and hd95 in pixels; ``kept``: ``px`` is a written table.
 
     Largest and 95th percentile of the distances of both surfaces to each other, over the diagonal, at most 1.
     """
-    px = written(px.select(*key, "y", "x", left, right), "masks")
+    px = px.select(*key, "y", "x", left, right)
+    px = px if kept else written(px, "masks")
     d = image_sizes(px, key, F.sum(left), F.sum(right)).join(farthest(px, key, left, right, [0.5], whole), key, "left")
     d = d.select(*key, "diagonal", *(over_diagonal(F.get(c, F.lit(0)), F.col("left_size"), F.col("right_size")).alias(n) for c, n in (("far", "nhd"), ("far95", "nhd95"))))
     return d.select(*key, "nhd", "nhd95", (F.col("nhd") * F.col("diagonal")).alias("hd"), (F.col("nhd95") * F.col("diagonal")).alias("hd95"))

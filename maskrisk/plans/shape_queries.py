@@ -231,7 +231,7 @@ LOW = "0.2689414213699951::DOUBLE"
 add("e2_iou_stability", lambda s, d: E.threshold_iou_stability(mean(s, d), KEY), f"{ENS}, {MEAN} SELECT {K}, {r(f'CASE WHEN sum(CASE WHEN p >= {LOW} THEN 1 ELSE 0 END) = 0 THEN 1 ELSE sum(CASE WHEN p >= 1 - {LOW} THEN 1 ELSE 0 END) / sum(CASE WHEN p >= {LOW} THEN 1 ELSE 0 END) END', 'stability')} FROM mn GROUP BY {K}", ("stability",))
 JOINED = f"{MEAN}, jm AS (SELECT e.dataset, e.condition, e.sample_id, e.member, y, x, CAST(e.p >= 0.5 AS INT) AS m, CAST(mn.p >= 0.5 AS INT) AS a FROM ens e JOIN mn USING ({K}, y, x))"
 KM = f"{K}, member"
-add("e3_member_scores", lambda s, d: E.member_dice(members(s, d), mean(s, d), KEY).join(E.member_distances(members(s, d), mean(s, d), KEY), KEY),
+add("e3_member_scores", lambda s, d: E.member_scores(members(s, d), KEY, 3),
     f"""{ENS}, {JOINED}, dc AS (SELECT {KM}, CASE WHEN sum(m) + sum(a) = 0 THEN 0 ELSE 1 - 2.0::DOUBLE * sum(m * a) / (sum(m) + sum(a)) END AS dl, sqrt((max(y) + 1) * (max(y) + 1) + (max(x) + 1) * (max(x) + 1)) AS diagonal, sum(m) AS ls, sum(a) AS rs FROM jm GROUP BY {KM}),
     {surf('sm', 'jm', 'm', KM)}, {surf('sa', 'jm', 'a', KM)}, {pooled('pd', 'sm', 'sa', KM)}
     SELECT {K}, {r('-avg(dl)', 'confidence_q_dice')}, {r(f"-avg({capped('m')})", 'confidence_q_nhd')}, {r(f"-avg({capped('q')})", 'confidence_q_nhd95')} FROM dc LEFT JOIN pd USING ({KM}) GROUP BY {K}""", ("confidence_q_dice", "confidence_q_nhd", "confidence_q_nhd95"))

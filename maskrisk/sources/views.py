@@ -16,9 +16,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8 x 8 probability maps of ``embeddings``; a pixel's truth is its label's majority."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "e"))
+def pixels(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """8 x 8 probability maps of ``embeddings``; a pixel's truth is its label's majority.
+
+    ``spread`` deals the maps to tasks before pixels arise, as a file of few row groups is read by few tasks.
+    """
+    maps = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    e = (maps.repartition("vec_id") if spread else maps).select("vec_id", "label", F.posexplode("embedding").alias("i", "e"))
     q = e.select("vec_id", "label", "i", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + 2 * F.col("e").cast("double"))).alias("p"))
     on = F.sum(F.when(F.col("p") >= 0.5, 1).otherwise(0))
     t = q.groupBy("label", "i").agg((2 * on >= F.count("*")).cast("int").alias("truth"))
@@ -55,7 +59,7 @@ def large_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three ensemble members for each map of ``pixels``."""
-    px = pixels(spark, sf_dir).withColumn("member", F.explode(F.array(*[F.lit(j) for j in range(3)])))
+    px = pixels(spark, sf_dir, spread=True).withColumn("member", F.explode(F.array(*[F.lit(j) for j in range(3)])))
     return px.withColumn("p", F.expr("least(1.0D, greatest(0.0D, p + (((7*y + 3*x + 5*member) % 11) - 5) / 100.0D))"))
 
 

@@ -447,3 +447,23 @@ def test_large_files_are_hashed_by_ranges(spark, tmp_path):
     assert {r["name"]: (r["size"], r["sha256"]) for r in now.collect()} == {n: (len(d), want(n, d)) for n, d in some.items()}
     (tmp_path / "a.bin").write_bytes(some["a.bin"][:-1] + bytes([some["a.bin"][-1] ^ 1]))
     assert [(r["name"], r["wrong"]) for r in io.audit(io.listing(spark, str(tmp_path), whole=whole), now).collect()] == [("a.bin", "changed")]
+
+
+def test_member_scores_deal_the_pixels_once(spark):
+    """The same as by mean map, Dice and distances apart; members are evaluated once, and missing ones are an error."""
+    rng = np.random.default_rng(2)
+    each = [image(spark, np.round(rng.random((4, 3)), 1)).withColumn("member", F.lit(j)).withColumn("truth", F.lit(1)).withColumnRenamed("s", "k") for j in range(3)]
+    ens = each[0].unionByName(each[1]).unionByName(each[2])
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(p):
+        seen.add(1)
+        return p
+
+    got = ensemble.member_scores(ens.withColumn("p", counted("p")), ["k"], 3).collect()
+    mean = ensemble.mean_map(ens, ["k"], 3)
+    want = ensemble.member_dice(ens, mean, ["k"]).join(ensemble.member_distances(ens, mean, ["k"]), ["k"]).collect()
+    assert [tuple(r) for r in got] == [pytest.approx(tuple(r)) for r in want] and seen.value == 36
+    with pytest.raises(Exception, match="differ"):
+        ensemble.member_scores(each[0].unionByName(each[1]), ["k"], 3).collect()
