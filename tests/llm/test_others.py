@@ -453,3 +453,11 @@ def test_next_rows(spark, odd_docs, no_docs, buckets):
     assert {r.fingerprint for r in got if r.doc_id in (3, 4, 5)} == {"0" * M.BINS} and len({r.fingerprint for r in got if r.doc_id in (1, 2, None)}) == 1
     assert M.fingerprint_edits(no_docs, buckets).count() == 0
     assert M.with_next(spark.createDataFrame([(5, "a")], "doc_id long, text string"), buckets).first()["next_text"] == "a"
+
+
+def test_a_passage_of_an_article_is_not_boilerplate(spark):
+    """The host's array has what lies outside articles: a page without one keeps the passage that an article shares."""
+    shared = "a passage that two pages of this host have in common"
+    rows = [(1, "http://h.example/a", f"<body><article><p>{shared}</p><p>more of one</p></article>"), (2, "http://h.example/b", f"<body><div>{shared}</div><div>and more of two here</div>")]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"{shared} more of one", 2: f"{shared} and more of two here"}
