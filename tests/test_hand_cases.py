@@ -187,6 +187,30 @@ def test_draws_of_many_clusters_and_kinds(spark):
     assert (g.tolist(), s.tolist()) == ([4, 4, 4], [4.0, 2.0, 0.0])
 
 
+@pytest.mark.parametrize("clusters", [7, inference.DRAWS + 9, 2 * inference.LOW + 5])
+@pytest.mark.parametrize("alike", [3, 1 << 30])
+def test_draws_of_classes_are_those_of_clusters(clusters, alike):
+    """Clusters whose records agree are one class, however many there are, and its draws give each kind the same weight."""
+    cluster = np.r_[np.arange(clusters - 1), np.arange(0, clusters - 1, 2), np.full(inference.LONGEST + 1, 2)].astype(np.int32)  # the last has no record
+    risk, copies = (cluster % alike).astype(float), 1 + cluster.astype(np.int64) % 2
+    score = risk + (np.arange(len(cluster)) >= clusters - 1)
+    plain, classed = (inference.Kinds([risk, score], cluster, copies) for _ in range(2))
+    of, classes = classed.classed(clusters)
+    assert of[clusters - 1] == 0 and len(of) == clusters
+    assert (classes <= 9) if alike == 3 else (classes == clusters)
+    reps = np.array([2, 5, 11])
+    for weights, counts in zip(inference.drawn_weights(3, clusters, reps), inference.counted(3, clusters, reps, of, classes), strict=True):
+        assert counts.sum() == clusters
+        assert (plain.weights(weights.astype(float)) == classed.weights(counts.astype(float))).all()
+
+
+def test_bootstrap_packs_records_before_blocks(spark):
+    """Records reach a task once for each stretch; blocks of replicates share what was worked out from them."""
+    rows = scores(spark, [(i % 3, i % 2) for i in range(12)]).withColumn("other", F.col("id") % 5)
+    plan = inference.bootstrap_differences(rows, ["cond"], "score", "other", "risk", "id", 3, F.lit(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(") < plan.rindex("FlatMapGroupsInArrow")
+
+
 @pytest.mark.parametrize("stretch", [5, 1 << 16])
 def test_bootstrap_areas_against_drawn_rows(spark, monkeypatch, stretch):
     """Areas by stretches and blocks are those of the rows drawn by ``cluster_weights``; ties, repeats and a null score."""
