@@ -104,6 +104,30 @@ def test_names_inside_an_article():
     assert H.main_text(doubt, {"a b c d e"}) == "one f two" and H.main_text(doubt, {"a b c d e", "b c d e f"}) == "one two"
 
 
+def test_no_article_is_lost_to_what_stands_around_it():
+    """Forms and names of furniture go, but not the article in them; formulas and verbatim text are text."""
+    article = "<article><p>one two</p></article>"
+    for around in ('<form id="aspnetForm"><div>Field</div>{}<input></form>', '<div class="content-sidebar-wrap"><nav>Menu</nav><main>{}</main></div>', '<form><div id="page-header-layout"><main class="site">{}</main></div>Go</form>', "<main><form>{}Send</form></main>"):
+        for body in (article, "<main><p>one two</p></main>"):
+            assert H.main_text("<body><p>Top</p>" + around.format(body) + "<footer>Foot</footer>", set()) == "one two", around
+    for gone in ('<div id="comments">{}</div>', "<aside><main>{}</main></aside>", '<div class="widget">{}</div>', '<form><article class="comment"><p>one two</p></article></form>', "<nav><form>{}</form></nav>"):
+        assert H.main_text("<body><article>three</article>" + gone.format(article), set()) == "three", gone
+    text = "<p>so <math><mi>x</mi><mo>=</mo><msup><mn>2</mn><mn>3</mn></msup><annotation>x = 2^3</annotation></math> holds</p>"
+    assert H.main_text(f"<article>{text}</article>", set()) == "so x=23 holds"
+    assert H.main_text("<article><p>see<xmp>a &amp;  <b>b</b></xmp>and</article>", set()) == "see a &amp; <b>b</b> and"
+    assert H.main_text("<article>see<plaintext>a </article> b", set()) == "see a </article> b"
+
+
+def test_structure_settles_what_the_array_could_not_change(spark):
+    """A page that structure settles has the same text whatever its host repeats, so its text needs no look-up."""
+    pages = [PAGE, "", "<nav>Menu</nav>", "<body><p>a b c d e f</p><article>a b c d e f g</article>"]
+    for page in pages:
+        found = H.blocks(page)
+        assert H.settled(found) is not None
+        tokens = [x for _, text in found for x in text.split()]
+        assert H.judged(found, set(H.leading(tokens))) == H.judged(found, set()) == H.settled(found)
+
+
 def test_deep_and_unmatched_tags_cost_their_number():
     import time
 
