@@ -204,6 +204,15 @@ def test_draws_of_classes_are_those_of_clusters(clusters, alike):
         assert (plain.weights(weights.astype(float)) == classed.weights(counts.astype(float))).all()
 
 
+@pytest.mark.parametrize("clusters", [inference.SORTED + 2 * inference.LOW + 5, inference.CACHED + 1])
+def test_sorted_draws_are_those_of_the_hash(clusters):
+    """Counts of draws that are sorted in pieces, with classes and without, against those of ``drawn``."""
+    reps, of = np.array([4]), (np.arange(clusters) * 7 % 5000).astype(np.uint16)
+    picks = np.concatenate([p[0] for _, p in inference.drawn(3, clusters, reps)])
+    assert (next(inference.counted(3, clusters, reps)) == np.bincount(picks, minlength=clusters)).all()
+    assert (next(inference.counted(3, clusters, reps, of, 5000)) == np.bincount(of[picks], minlength=5000)).all()
+
+
 def test_bootstrap_packs_records_before_blocks(spark):
     """Records reach a task once for each stretch; blocks of replicates share what was worked out from them."""
     rows = scores(spark, [(i % 3, i % 2) for i in range(12)]).withColumn("other", F.col("id") % 5)
